@@ -119,13 +119,16 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark, "arrays") + "/data"
     o = T.table(spark, sf, "orders")
-    # one whole-file array per line file: JSON lines that each hold an array of one
-    o.select(F.to_json(F.array(F.struct(
+    record = F.struct(
         F.col("o_orderkey").cast("string").alias("id"),
         F.concat(F.lit("svc-"), F.col("o_custkey").cast("string")).alias("service"),
         F.lit("").alias("commit"), F.col("o_orderdate").cast("string").alias("timestamp"),
-        F.col("o_orderpriority").alias("summary")))).alias("value")).write.text(path)
-    return spark.read.schema(S.DEPLOYMENT).json(path).select("id", "service", "summary")
+        F.col("o_orderpriority").alias("summary"))
+    # an array file holds the orders of one thousand consecutive keys
+    o.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("chunk")).agg(
+        F.to_json(F.collect_list(record)).alias("value")
+    ).write.partitionBy("chunk").text(path)
+    return readers.read_json_array(spark, path, S.DEPLOYMENT).select("id", "service", "summary")
 
 
 # ---- B -----------------------------------------------------------------------------------

@@ -42,7 +42,10 @@ LABELLED = """labelled AS (
 # ---- events as an alert log ----------------------------------------------------------
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw alert-log lines, one per event, in (ts, event_id) order."""
-    e = table(spark, sf_dir, "events")
+    return alert_lines(table(spark, sf_dir, "events"))
+
+
+def alert_lines(e: DataFrame) -> DataFrame:
     user = F.col("user_id")
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     node = F.concat(

@@ -184,39 +184,30 @@ def tfidf_terms(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_i
     ).select(*keys, "_p.term", (F.col("_p.weight") / F.col("_length")).alias("weight"))
 
 
-def indexed_vocabulary(vocabulary: Vocabulary) -> tuple[DataFrame, int]:
-    """Vocabulary with dense feature numbers in term order, and its size."""
+def numbered_vocabulary(vocabulary: Vocabulary) -> tuple[Vocabulary, int]:
+    """The vocabulary with dense feature numbers in term order as ids, and its size.
+
+    Numbering writes the table once, so later joins do not fit it again.
+    """
     numbered = dense_index(vocabulary.terms, F.col("term"), name="feature")
-    return numbered, numbered.count()
+    terms = numbered.withColumn("term_id", F.col("feature"))
+    return Vocabulary(terms, vocabulary.options, vocabulary.scope), terms.count()
 
 
 @F.udf(VectorUDT())
-def _sparse(size: int, indices: list[int], values: list[float]) -> SparseVector:
+def _sparse(size, indices, values):
     return SparseVector(size, indices, values)
 
 
-def to_sparse(
-    packed: DataFrame, features: DataFrame, size: int, keys: Sequence[str]
-) -> DataFrame:
-    """Spark ML vectors. The only Python step, one call per document."""
-    pairs = packed.select(*keys, F.inline(F.arrays_zip("term_ids", "weights"))).select(
-        *keys, F.col("term_ids").alias("term_id"), F.col("weights").alias("weight")
-    )
-    placed = (
-        pairs.join(features.select("term_id", "feature"), "term_id")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("_pairs"))
-    )
-    empty = F.array().cast("array<struct<feature:bigint,weight:double>>")
-    return (
-        packed.select(*keys)
-        .join(placed, list(keys), "left")
-        .withColumn("_pairs", F.coalesce("_pairs", empty))
-        .select(
-            *keys,
-            _sparse(F.lit(size), F.col("_pairs.feature"), F.col("_pairs.weight")).alias("features"),
-        )
-    )
+def to_sparse(packed: DataFrame, size: int) -> DataFrame:
+    """Adds ``features`` for Spark ML to rows packed under a numbered vocabulary.
+
+    The only Python step, one call per document.
+    """
+    pairs = F.sort_array(F.arrays_zip("term_ids", "weights"))
+    return packed.withColumn("_pairs", pairs).withColumn(
+        "features", _sparse(F.lit(size), F.col("_pairs.term_ids"), F.col("_pairs.weights"))
+    ).drop("_pairs")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

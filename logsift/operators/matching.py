@@ -46,8 +46,8 @@ class _Postings:
     """Inverted index of one block of documents."""
 
     def __init__(self, table: pa.Table, order: np.ndarray) -> None:
-        offsets, terms = _ragged(table["term_ids"], np.int64)
-        _, weights = _ragged(table["weights"], np.float64)
+        offsets, terms = _ragged(table["d_term_ids"], np.int64)
+        _, weights = _ragged(table["d_weights"], np.float64)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         docs = place[_rows(offsets)]
@@ -105,7 +105,7 @@ def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool
                 q_offsets, q_terms = _ragged(queries["term_ids"], np.int64)
                 _, q_weights = _ragged(queries["weights"], np.float64)
             if dense:
-                _, flat = _ragged(index["embedding"], np.float64)
+                _, flat = _ragged(index["d_embedding"], np.float64)
                 documents = flat.reshape(n_docs, -1)[order]
                 _, flat = _ragged(queries["embedding"], np.float64)
                 vectors = flat.reshape(n_queries, -1)
@@ -176,9 +176,13 @@ def top_matches(
     left = queries.select("query_id", *scope, *vectors).withColumn(
         "_query_block", F.pmod(F.xxhash64("query_id"), query_blocks).cast("int")
     ).withColumn("_index_block", blocks(index_blocks))
-    right = index.select("doc_id", F.col("doc_pos").cast("bigint"), *scope, *vectors).withColumn(
-        "_index_block", F.pmod(F.xxhash64("doc_id"), index_blocks).cast("int")
-    ).withColumn("_query_block", blocks(query_blocks))
+    # both sides may stem from one table: the index side gets names of its own
+    right = index.select(
+        "doc_id", F.col("doc_pos").cast("bigint").alias("doc_pos"),
+        *[F.col(c).alias(f"d_{c}") for c in (*scope, *vectors)],
+        blocks(query_blocks).alias("d_query_block"),
+    ).withColumn("d_index_block", F.pmod(F.xxhash64("doc_id"), index_blocks).cast("int"))
+    right_keys = [*[f"d_{c}" for c in scope], "d_query_block", "d_index_block"]
     schema = (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, semantic_weight double, "
         f"doc_id {index.schema['doc_id'].dataType.simpleString()}, doc_pos bigint, "
@@ -186,7 +190,7 @@ def top_matches(
     )
     found = (
         left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        .cogroup(right.groupBy(*right_keys))
         .applyInArrow(
             _block_matcher(k, tuple(float(w) for w in semantic_weights), sparse, dense), schema
         )

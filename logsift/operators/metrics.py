@@ -56,11 +56,15 @@ def class_report(predictions: DataFrame, label: str = "label", prediction: str =
     """H3: precision, recall, F1 and support per class, with macro and weighted averages."""
     pairs = predictions.groupBy(F.col(label).alias("y"), F.col(prediction).alias("yhat")).count()
     # each confusion cell counts once for its true class and once for its predicted class
+    zero = F.lit(0).cast("bigint")
+
+    def side(label: str, support: Column, predicted: Column, tp: Column) -> Column:
+        return F.struct(F.col(label).alias("class"), support.alias("support"),
+                        predicted.alias("predicted"), tp.alias("tp"))
+
+    right = F.when(F.col("y") == F.col("yhat"), F.col("count")).otherwise(0)
     sides = pairs.select(F.inline(F.array(
-        F.struct(F.col("y").alias("class"), F.col("count").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
-                 F.when(F.col("y") == F.col("yhat"), F.col("count")).otherwise(0).alias("tp")),
-        F.struct(F.col("yhat").alias("class"), F.lit(0).cast("bigint"), F.col("count"), F.lit(0).cast("bigint")),
-    )))
+        side("y", F.col("count"), zero, right), side("yhat", zero, F.col("count"), zero))))
     per = sides.groupBy("class").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp")
     ).select(

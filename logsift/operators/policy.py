@@ -285,13 +285,14 @@ def _packed_cells(
         for i, g in enumerate(grid)
     ])
     opened = cells.select(*keys, "total", "cells", F.inline(points))
-    return opened.select(*keys, "total", "threshold", *[
-        F.aggregate(
+
+    def from_threshold(name: str) -> Column:
+        return F.aggregate(
             "cells", F.lit(0).cast("bigint"),
-            lambda acc, c, n=n: acc + F.when(c["cell"] >= F.col("at"), c[n]).otherwise(0),
-        ).alias(n)
-        for n in measures
-    ])
+            lambda acc, c: acc + F.when(c["cell"] >= F.col("at"), c[name]).otherwise(0),
+        ).alias(name)
+
+    return opened.select(*keys, "total", "threshold", *[from_threshold(n) for n in measures])
 
 
 def calibrate_retrieval_hybrid(
