@@ -30,12 +30,12 @@ def rounded(df, *names, places=6):
 
 
 def window_incidents(spark, sf):
-    """Windows of three alert-log lines: doc_id, doc_pos, text, label."""
+    """Windows of three alert-log lines with every number masked: doc_id, doc_pos, text, label."""
     w = windows.count_windows(
         windows.alert_events(T.alert_log(spark, sf)), F.col("ts"), F.col("event_id"), size=3)
     return w.select(
         F.col("incident_id").alias("doc_id"), F.col("window_number").alias("doc_pos"),
-        X.incident_text(F.col("events"), "cross_domain_newline").alias("text"),
+        X.error_template(X.incident_text(F.col("events"), "cross_domain_newline")).alias("text"),
         F.col("is_anomaly").alias("label"))
 
 
@@ -305,7 +305,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY semantic_weigh
   WHERE a = 0 OR 1.0::DOUBLE - c::DOUBLE / a <= 0.05::DOUBLE) WHERE k = 1),
 pr AS (SELECT semantic_weight, avg(CASE WHEN evidence_label = label THEN 1.0 ELSE 0 END) AS p1, sum(hits3) / sum(matches) AS p3 FROM votes GROUP BY 1)
 SELECT semantic_weight, round(p1, 6) AS precision_at_1, round(p3, 6) AS precision_at_3, threshold, round(a::DOUBLE / n, 6) AS coverage,
-  round(CASE WHEN a > 0 THEN c::DOUBLE / a ELSE 0 END, 6) AS accuracy, round(CASE WHEN a > 0 THEN 1 - c::DOUBLE / a ELSE 0 END, 6) AS unsafe_rate
+  round(CASE WHEN a > 0 THEN c::DOUBLE / a WHEN a = 0 THEN 0 END, 6) AS accuracy,
+  round(CASE WHEN a > 0 THEN 1 - c::DOUBLE / a WHEN a = 0 THEN 0 END, 6) AS unsafe_rate
 FROM pr LEFT JOIN best USING (semantic_weight)""")
 def _(spark, sf):
     rows = P.calibrate_retrieval_hybrid(hybrid_votes(spark, sf, C.HYBRID_WEIGHTS).persist())

@@ -127,8 +127,8 @@ def _(spark, sf):
 CHECKS = HYPOTHESES + """, words AS (SELECT incident_id, list(cause) AS causes, flatten(list(keywords)) AS ws FROM hypotheses GROUP BY 1),
 books AS (SELECT e.*, unnest(steps) AS step, unnest(range(len(steps))) AS place FROM evidence e JOIN words w USING (incident_id)
   WHERE kind = 'runbook' AND (coalesce(list_contains(causes, root_cause), false) OR len(list_filter(ws, lambda k: contains(lower(title), k))) > 0)),
-steps AS (SELECT incident_id, step, min(rank * 1000 + place) AS at, arg_min(id, rank * 1000 + place) AS source_id FROM books GROUP BY 1, 2),
-plan AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY at) AS rank FROM steps) WHERE rank <= 6)"""
+steps AS (SELECT incident_id, step, min(rank * 1000 + place) AS spot, arg_min(id, rank * 1000 + place) AS source_id FROM books GROUP BY 1, 2),
+plan AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY spot) AS rank FROM steps) WHERE rank <= 6)"""
 
 
 @query("i5_plan_checks", f"WITH {CHECKS} SELECT incident_id, rank, step, source_id FROM plan")
