@@ -62,7 +62,8 @@ def _(spark, sf):
 SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS weight, round(max(w), 6) AS heaviest FROM t GROUP BY 1""")
 def _(spark, sf):
     docs = masked(spark, sf)
-    terms = D.tfidf_terms(docs, D.fit_vocabulary(docs, D.RETRIEVAL))
+    counts = D.term_counts(docs, D.RETRIEVAL, ["doc_id"]).persist()
+    terms = D.tfidf_terms(docs, D.vocabulary_from_counts(counts, docs, D.RETRIEVAL), counts=counts)
     return terms.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"),
         F.round(F.max("weight"), 6).alias("heaviest"))
@@ -356,7 +357,8 @@ SELECT term, count(*) AS postings, round(sum(w), 6) AS weight FROM tv GROUP BY 1
 def _(spark, sf):
     split = splits.chronological_split(masked(spark, sf), ["doc_id"])
     train = split.filter("split = 'train'").select("doc_id", "text")
-    terms = D.tfidf_terms(train, D.fit_vocabulary(train, D.RETRIEVAL))
+    counts = D.term_counts(train, D.RETRIEVAL, ["doc_id"]).persist()
+    terms = D.tfidf_terms(train, D.vocabulary_from_counts(counts, train, D.RETRIEVAL), counts=counts)
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.round(F.sum("weight"), 6).alias("weight"))
 
 

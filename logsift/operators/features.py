@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logsift.functions import text as X
 from logsift.operators.ordering import BROADCAST_ROWS, attach, dense_index
@@ -55,8 +55,14 @@ def term_arrays(docs: DataFrame, options: TextOptions, keys: Sequence[str]) -> D
 
 
 def term_counts(docs: DataFrame, options: TextOptions, keys: Sequence[str]) -> DataFrame:
-    """One row per (document, term) with ``tf``; counted before the shuffle already."""
-    return count_terms(term_arrays(docs, options, keys), keys)
+    """One row per (document, term) with ``tf``.
+
+    The texts are placed by document before they are cut into terms. Counting, norms and
+    packing then all find a document's terms in one partition, and the terms themselves,
+    far more bytes than the texts, are never shuffled.
+    """
+    placed = docs.select(*keys, "text").repartition(*[F.col(k) for k in keys])
+    return count_terms(term_arrays(placed, options, keys), keys)
 
 
 def count_terms(docs: DataFrame, keys: Sequence[str], grams: str = "_grams") -> DataFrame:
@@ -108,7 +114,8 @@ def vocabulary_from_counts(
         "total",
         (F.log((1.0 + F.col("_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
     )
-    return Vocabulary(fitted, options, scope)
+    # read for its size, for the index and for every batch of queries
+    return Vocabulary(fitted.persist(), options, scope)
 
 
 def assert_distinct_ids(vocabulary: Vocabulary) -> None:
@@ -170,18 +177,34 @@ def pack(weighted: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def tfidf_terms(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id") -> DataFrame:
+def tfidf_terms(
+    docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id",
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """D3 as a long table (document, term, weight) with unit-norm rows."""
     keys = [*vocabulary.scope, id_column]
-    counts = term_counts(docs, vocabulary.options, keys)
-    weighted = weigh(counts, vocabulary, keys).groupBy(*keys).agg(
-        F.collect_list(F.struct("term", "weight")).alias("_pairs"))
-    length = F.sqrt(F.aggregate(
-        "_pairs", F.lit(0.0), lambda total, p: total + p["weight"] * p["weight"]
-    ))
-    return weighted.select(
-        *keys, length.alias("_length"), F.explode("_pairs").alias("_p")
-    ).select(*keys, "_p.term", (F.col("_p.weight") / F.col("_length")).alias("weight"))
+    if counts is None:
+        counts = term_counts(docs, vocabulary.options, keys)
+    weighted = weigh(counts, vocabulary, keys)
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(*keys)))
+    return weighted.select(*keys, "term", (F.col("weight") / length).alias("weight"))
+
+
+def vector_rows(
+    ids: DataFrame, weighted: DataFrame | None, keys: Sequence[str], extra: Sequence[str] = ()
+) -> DataFrame:
+    """Long form of vectors for matching: a row per term, and a row per document.
+
+    The document rows carry ``extra`` columns (position, embedding) and stand for
+    documents without any term. Weights are those of ``weigh``; matching norms them.
+    """
+    rows = ids.select(
+        *keys, F.lit(None).cast("bigint").alias("term_id"),
+        F.lit(None).cast("double").alias("weight"), *extra)
+    if weighted is None:
+        return rows
+    terms = weighted.select(*keys, "term_id", "weight")
+    return rows.unionByName(terms, allowMissingColumns=True)
 
 
 def numbered_vocabulary(vocabulary: Vocabulary) -> tuple[Vocabulary, int]:

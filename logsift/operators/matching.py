@@ -24,16 +24,34 @@ _CELLS = 4_000_000  # scores held at once by a task
 _PAIRS = 4_000_000  # term pairs expanded at once by a task
 
 
-def _ragged(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Row offsets and flat values of a list column."""
-    array = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    offsets = np.asarray(array.offsets, dtype=np.int64)
-    flat = np.asarray(array.values, dtype=dtype)
-    return offsets - offsets[0], flat[offsets[0]:offsets[-1]]
-
-
-def _rows(offsets: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Row numbers of ids by first appearance, and the distinct ids."""
+    encoded = column.combine_chunks()
+    if isinstance(encoded, pa.ChunkedArray):
+        encoded = pa.concat_arrays(encoded.chunks)
+    encoded = encoded.dictionary_encode()
+    return np.asarray(encoded.indices, dtype=np.int64), encoded.dictionary
+
+
+def _terms(table: pa.Table, prefix: str, rows: np.ndarray, n: int):
+    """(row, term, unit weight) of the term rows, ordered by row."""
+    present = np.asarray(table[f"{prefix}term_id"].is_valid())
+    rows = rows[present]
+    terms = np.asarray(table[f"{prefix}term_id"].drop_null(), dtype=np.int64)
+    weights = np.asarray(table[f"{prefix}weight"].drop_null(), dtype=np.float64)
+    length = np.sqrt(np.bincount(rows, weights=weights * weights, minlength=n))
+    by_row = np.argsort(rows, kind="stable")
+    return rows[by_row], terms[by_row], (weights / np.where(length > 0, length, 1.0)[rows])[by_row]
+
+
+def _dense(column: pa.ChunkedArray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Matrix of the vectors, one per document row."""
+    present = np.asarray(column.is_valid())
+    flat = np.concatenate([np.asarray(c.drop_null().flatten(), dtype=np.float64) for c in column.chunks])
+    found = flat.reshape(int(present.sum()), -1)
+    matrix = np.zeros((n, found.shape[1]))
+    matrix[rows[present]] = found
+    return matrix
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -45,18 +63,13 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class _Postings:
     """Inverted index of one block of documents."""
 
-    def __init__(self, table: pa.Table, order: np.ndarray) -> None:
-        offsets, terms = _ragged(table["d_term_ids"], np.int64)
-        _, weights = _ragged(table["d_weights"], np.float64)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        docs = place[_rows(offsets)]
+    def __init__(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> None:
         by_term = np.argsort(terms, kind="stable")
         self.docs, self.weights = docs[by_term], weights[by_term]
         self.terms, self.starts, self.counts = np.unique(
             terms[by_term], return_index=True, return_counts=True
         )
-        self.size = len(order)
+        self.size = size
 
     def scores(self, queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int):
         """Dot products of ``n`` query rows given as (row, term, weight) triples."""
@@ -95,40 +108,42 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool):
     def match(queries: pa.Table, index: pa.Table) -> pa.Table:
-        positions = np.asarray(index["doc_pos"], dtype=np.int64)
-        order = np.argsort(-positions, kind="stable")
-        n_docs, n_queries = len(order), queries.num_rows
         parts: list[pa.Table] = []
-        if n_docs and n_queries:
-            postings = _Postings(index, order) if sparse else None
+        if queries.num_rows and index.num_rows:
+            q_rows, query_ids = _codes(queries["query_id"])
+            d_rows, doc_ids = _codes(index["doc_id"])
+            n_queries, n_docs = len(query_ids), len(doc_ids)
+            marked = np.asarray(index["doc_pos"].is_valid())
+            positions = np.empty(n_docs, dtype=np.int64)
+            positions[d_rows[marked]] = np.asarray(index["doc_pos"].drop_null(), dtype=np.int64)
+            # later documents come first, so that the earlier column wins a tie
+            order = np.argsort(-positions, kind="stable")
+            place = np.empty(n_docs, dtype=np.int64)
+            place[order] = np.arange(n_docs)
+            doc_ids, positions, d_rows = doc_ids.take(pa.array(order)), positions[order], place[d_rows]
             if sparse:
-                q_offsets, q_terms = _ragged(queries["term_ids"], np.int64)
-                _, q_weights = _ragged(queries["weights"], np.float64)
+                postings = _Postings(*_terms(index, "d_", d_rows, n_docs), n_docs)
+                row, term, value = _terms(queries, "", q_rows, n_queries)
             if dense:
-                _, flat = _ragged(index["d_embedding"], np.float64)
-                documents = flat.reshape(n_docs, -1)[order]
-                _, flat = _ragged(queries["embedding"], np.float64)
-                vectors = flat.reshape(n_queries, -1)
-            sorted_index = index.select(["doc_id", "doc_pos"]).take(pa.array(order))
+                documents = _dense(index["d_embedding"], d_rows, n_docs)
+                vectors = _dense(queries["embedding"], q_rows, n_queries)
             batch = max(1, _CELLS // n_docs)
             for lo in range(0, n_queries, batch):
                 hi = min(lo + batch, n_queries)
                 semantic = lexical = np.zeros((hi - lo, n_docs))
                 if sparse:
-                    a, b = q_offsets[lo], q_offsets[hi]
-                    rows = _rows(q_offsets[lo:hi + 1] - a)
-                    lexical = postings.scores(rows, q_terms[a:b], q_weights[a:b], hi - lo)
+                    a, b = np.searchsorted(row, [lo, hi])
+                    lexical = postings.scores(row[a:b] - lo, term[a:b], value[a:b], hi - lo)
                 if dense:
                     semantic = vectors[lo:hi] @ documents.T
                 for weight in weights:
                     blended = weight * semantic + (1.0 - weight) * lexical
                     rows, columns = _best(blended, k)
-                    found = sorted_index.take(pa.array(columns))
                     parts.append(pa.table({
-                        "query_id": queries["query_id"].take(pa.array(rows + lo)),
+                        "query_id": query_ids.take(pa.array(rows + lo)),
                         "semantic_weight": pa.array(np.full(len(rows), weight)),
-                        "doc_id": found["doc_id"],
-                        "doc_pos": found["doc_pos"],
+                        "doc_id": doc_ids.take(pa.array(columns)),
+                        "doc_pos": pa.array(positions[columns]),
                         "score": pa.array(blended[rows, columns]),
                         "semantic": pa.array(semantic[rows, columns]),
                         "lexical": pa.array(lexical[rows, columns]),
@@ -158,8 +173,8 @@ def top_matches(
 ) -> DataFrame:
     """Top-k documents of each query and weight: rank 1 is best, ties go to later documents.
 
-    ``queries``: query_id, [scope...], term_ids + weights and/or embedding.
-    ``index``: doc_id, doc_pos (unique, chronological), [scope...], the same vectors.
+    Both sides are ``vector_rows``: a row per term (term_id, weight) and one row per
+    document (embedding, and on the index side doc_pos: unique, chronological).
     A query meets documents of its own scope only.
     """
     for weight in semantic_weights:
@@ -167,7 +182,7 @@ def top_matches(
             raise ValueError("semantic_weight must be between 0 and 1.")
     sparse = any(w < 1.0 for w in semantic_weights)
     dense = any(w > 0.0 for w in semantic_weights)
-    vectors = (["term_ids", "weights"] if sparse else []) + (["embedding"] if dense else [])
+    vectors = (["term_id", "weight"] if sparse else []) + (["embedding"] if dense else [])
     keys = [*scope, "_query_block", "_index_block"]
 
     def blocks(n: int):

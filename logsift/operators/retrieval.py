@@ -14,7 +14,7 @@ from logsift.operators.matching import reduce_copies, top_matches
 from logsift.operators.ordering import top_per_group
 
 # Text a block of documents may hold; a task works on one query and one index block.
-BLOCK_CHARACTERS = 32_000_000
+BLOCK_CHARACTERS = 8_000_000
 BLOCK_ROWS = 20_000
 
 
@@ -23,7 +23,7 @@ class EvidenceIndex:
     """A labelled corpus prepared for search."""
 
     documents: DataFrame  # doc_id, doc_pos, label, text, [scope...], [embedding]
-    vectors: DataFrame  # doc_id, doc_pos, [scope...], term_ids, weights, [embedding]
+    vectors: DataFrame  # vector_rows of the documents
     vocabulary: D.Vocabulary | None
     blocks: int
     scope: tuple[str, ...] = ()
@@ -53,15 +53,15 @@ def build_index(
     """
     scope = tuple(scope)
     keys = [*scope, "doc_id"]
-    carried = [*keys, "doc_pos"] + (["embedding"] if "embedding" in documents.columns else [])
     content = [c for c in ("text", "embedding") if c in documents.columns]
-    reduced = reduce_copies(documents.select(*{*carried, *content}), k, content, scope)
-    vocabulary, vectors = None, reduced.select(*carried)
+    extra = ["doc_pos", *[c for c in content if c == "embedding"]]
+    reduced = reduce_copies(documents.select(*keys, "doc_pos", *content), k, content, scope)
+    vocabulary = weighted = None
     if options is not None:
         counts = D.term_counts(documents, options, keys).persist()
         vocabulary = D.vocabulary_from_counts(counts, documents, options, scope)
-        packed = D.pack(D.weigh(counts, vocabulary, keys), reduced.select(*keys), keys)
-        vectors = vectors.join(packed, keys)
+        weighted = D.weigh(counts, vocabulary, keys).join(reduced.select(*keys), keys, "left_semi")
+    vectors = D.vector_rows(reduced, weighted, keys, extra)
     return EvidenceIndex(documents, vectors, vocabulary, _blocks(documents, 1), scope)
 
 
@@ -78,25 +78,22 @@ def search_batch(
     is evaluated, an empty batch gives an empty result. Unknown-term queries still get k
     documents, at similarity zero.
     """
-    vectors = queries
+    keys = [*index.scope, "query_id"]
+    weighted = None
     if index.vocabulary is not None:
-        checked = queries
-        if "text" in queries.columns:
-            blank = F.raise_error(F.lit("Query text cannot be empty.")).cast("string")
-            checked = queries.withColumn(
-                "text", F.when(X.strip(F.col("text")) == "", blank).otherwise(F.col("text"))
-            )
-        packed = D.tfidf(checked, index.vocabulary, "query_id")
-        keys = [*index.scope, "query_id"]
-        extra = [*keys] + (["embedding"] if "embedding" in queries.columns else [])
-        vectors = packed if extra == keys else queries.select(*extra).join(packed, keys)
+        blank = F.raise_error(F.lit("Query text cannot be empty.")).cast("string")
+        checked = queries.withColumn(
+            "text", F.when(X.strip(F.col("text")) == "", blank).otherwise(F.col("text"))
+        )
+        counts = D.term_counts(checked, index.vocabulary.options, keys)
+        weighted = D.weigh(counts, index.vocabulary, keys)
+    extra = ["embedding"] if "embedding" in queries.columns else []
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    found = top_matches(
-        vectors, index.vectors, k,
+    return top_matches(
+        D.vector_rows(queries, weighted, keys, extra), index.vectors, k,
         semantic_weights=semantic_weights, scope=index.scope,
         query_blocks=_blocks(queries, 2 * cores), index_blocks=index.blocks,
     )
-    return found
 
 
 def with_documents(matches: DataFrame, index: EvidenceIndex, *columns: str) -> DataFrame:

@@ -81,8 +81,10 @@ def test_dense_blend_and_weights(spark):
     rng = random.Random(1)
     vec = lambda: [rng.random() for _ in range(4)]
     d, q = [vec() for _ in range(20)], [vec() for _ in range(5)]
-    index = spark.createDataFrame([(i, i, v) for i, v in enumerate(d)], "doc_id long, doc_pos long, embedding array<double>")
-    queries = spark.createDataFrame(list(enumerate(q)), "query_id long, embedding array<double>")
+    index = D.vector_rows(spark.createDataFrame(
+        [(i, i, v) for i, v in enumerate(d)], "doc_id long, doc_pos long, embedding array<double>"), None, ["doc_id"], ["doc_pos", "embedding"])
+    queries = D.vector_rows(spark.createDataFrame(
+        list(enumerate(q)), "query_id long, embedding array<double>"), None, ["query_id"], ["embedding"])
     found = M.top_matches(queries, index, 4, semantic_weights=(1.0,), index_blocks=3)
     for i, qv in enumerate(q):
         best = sorted(range(20), key=lambda j: -sum(a * b for a, b in zip(qv, d[j])))[:4]
