@@ -85,13 +85,17 @@ def deployments(spark, sf):
                     F.col("o_orderpriority").alias("summary"))
 
 
-@query("i3_correlate_deployments", f"""WITH {SUMMARY}, d AS (SELECT 'svc-' || (o_custkey % 4) AS service, o_orderkey FROM orders)
-SELECT incident_id, affected_service AS service, count(*) AS deployments, CAST(min(o_orderkey) AS VARCHAR) AS first_id
+@query("i3_correlate_deployments", f"""WITH {SUMMARY}, d AS (SELECT 'svc-' || (o_custkey % 4) AS service, CAST(o_orderkey AS VARCHAR) AS id FROM orders)
+SELECT incident_id, affected_service AS service, count(*) AS deployments, min(id) AS first_id, max(id) AS last_id
 FROM summary JOIN d ON service = affected_service GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = I.correlate_deployments(I.incident_summary(user_events(spark, sf)), deployments(spark, sf))
-    return rows.groupBy("incident_id", "service").agg(
-        F.count(F.lit(1)).alias("deployments"), F.min(F.col("id").cast("bigint")).cast("string").alias("first_id"))
+    return I.correlate_deployments(I.incident_summary(user_events(spark, sf)), deployments(spark, sf))
+
+
+@query("i3_deployment_context", f"""WITH {SUMMARY} SELECT CAST(o_orderkey AS VARCHAR) AS id, 'svc-' || (o_custkey % 4) AS service, o_orderpriority AS summary
+FROM orders WHERE 'svc-' || (o_custkey % 4) IN (SELECT affected_service FROM summary)""")
+def _(spark, sf):
+    return I.deployment_context(I.incident_summary(user_events(spark, sf)), deployments(spark, sf)).select("id", "service", "summary")
 
 
 def turn_events(spark, sf):

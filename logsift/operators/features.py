@@ -103,7 +103,7 @@ def vocabulary_from_counts(
         terms = terms.orderBy(F.desc("total"), "term").limit(options.max_features)
     if scope:
         sizes = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("_docs"))
-        terms = terms.join(sizes, list(scope))
+        terms = attach(terms, sizes, list(scope))
     else:
         terms = terms.withColumn("_docs", F.lit(docs.count()))
     fitted = terms.select(

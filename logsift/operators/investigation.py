@@ -122,10 +122,24 @@ def knowledge_evidence(
 
 
 def correlate_deployments(summary: DataFrame, deployments: DataFrame) -> DataFrame:
-    """Deployments of the affected service, one row each (no time bound)."""
-    return attach(
-        summary.select("incident_id", F.col("affected_service").alias("service")),
-        deployments, "service")
+    """Incidents whose affected service was deployed, with that service's deployments
+    counted and bounded (no time limit applies).
+
+    Deployments are combined per service before the join; a popular service would
+    otherwise pair every one of its incidents with every one of its deployments. The
+    deployments themselves are ``deployment_context``, one row each, keyed by service.
+    """
+    per_service = deployments.groupBy("service").agg(
+        F.count(F.lit(1)).alias("deployments"),
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    affected = summary.select("incident_id", F.col("affected_service").alias("service"))
+    return attach(affected, per_service, "service")
+
+
+def deployment_context(summary: DataFrame, deployments: DataFrame) -> DataFrame:
+    """The deployments of all affected services."""
+    services = summary.select(F.col("affected_service").alias("service")).distinct()
+    return attach(deployments, services, "service", "left_semi")
 
 
 def affected_by_deployment(summary: DataFrame, deployments: DataFrame) -> DataFrame:

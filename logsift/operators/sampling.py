@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from logsift.operators.ordering import top_per_group
+from logsift.operators.ordering import attach, top_per_group
 
 # rows of a class first compete inside this many salted groups
 SALTS = 32
@@ -17,10 +17,14 @@ def draw_key(seed: int, id_column: str):
 def sample_per_class(
     df: DataFrame, n: int, seed: int, id_column: str = "incident_id", label: str = "is_anomaly"
 ) -> DataFrame:
-    """C4: at most ``n`` rows of each class, uniform and repeatable."""
-    drawn = df.withColumn("_draw", draw_key(seed, id_column))
+    """C4: at most ``n`` rows of each class, uniform and repeatable; ids must be unique.
+
+    Classes compete on ids alone; the rows themselves are only filtered by the winners.
+    """
+    drawn = df.select(label, id_column).withColumn("_draw", draw_key(seed, id_column))
     order = [F.col("_draw"), F.col(id_column)]
-    return top_per_group(drawn, [label], order, n, "_rank", SALTS).drop("_draw", "_rank")
+    winners = top_per_group(drawn, [label], order, n, "_rank", SALTS).select(id_column)
+    return attach(df, winners, id_column, "left_semi")
 
 
 def _class_counts(df: DataFrame, label: str) -> dict[int, int]:

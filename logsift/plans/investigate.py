@@ -13,12 +13,13 @@ from logsift.operators import investigation as I, metrics as H
 
 @dataclass(frozen=True)
 class Investigation:
-    """One table per result, keyed by incident_id."""
+    """One table per result, keyed by incident_id (deployment_context: by service)."""
 
     summary: DataFrame
     errors: DataFrame
     evidence: DataFrame
     deployments: DataFrame
+    deployment_context: DataFrame
     hypotheses: DataFrame
     checks: DataFrame
     decisions: DataFrame
@@ -56,6 +57,7 @@ def investigate(
         errors=I.dominant_errors(events),
         evidence=evidence,
         deployments=I.correlate_deployments(summary, deployments),
+        deployment_context=I.deployment_context(summary, deployments),
         hypotheses=hypotheses,
         checks=I.plan_checks(evidence, hypotheses),
         decisions=incidents.drop("log_text").withColumn("decision", F.lit(C.ENGINEER_REVIEW)),
