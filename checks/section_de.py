@@ -122,7 +122,8 @@ def _(spark, sf):
 # ---- E: lexical search of labelled documents -------------------------------------------------
 def document_search(spark, sf, k=C.TOP_K):
     """Top-k labelled documents of every unlabelled one; columns query_id, rank, doc_id, score, label."""
-    docs, labels = masked(spark, sf), T.labelled(spark, sf)
+    # masked once: sizes, vocabulary, copies and queries all read it
+    docs, labels = masked(spark, sf).persist(), T.labelled(spark, sf)
     known = docs.join(labels, "doc_id").withColumn("doc_pos", F.col("doc_id"))
     asked = docs.join(labels, "doc_id", "left_anti").withColumnRenamed("doc_id", "query_id")
     index = R.build_index(known, k=k)
@@ -189,7 +190,7 @@ def hybrid_parts(spark, sf):
     docs = masked(spark, sf).join(
         T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "label", "embedding"), "doc_id")
     split = splits.chronological_split(docs, ["doc_id"]).withColumn(
-        "embedding", V.unit_vector(F.col("embedding"))).withColumn("label", (F.col("label") < 5).cast("int"))
+        "embedding", V.unit_vector(F.col("embedding"))).withColumn("label", (F.col("label") < 5).cast("int")).persist()
     old = split.filter("split = 'train'").withColumn("doc_pos", F.col("doc_id"))
     late = split.filter("split <> 'train'").withColumnRenamed("doc_id", "query_id")
     return old, late
