@@ -168,13 +168,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Copies set aside: (doc_id, first_id) of every copy; the other texts; their bytes.
+    """Copies set aside: (doc_id, first_id) of texts with copies; all but the later copies; bytes.
 
-    ``first_id`` is the smallest id with the same bytes. Only digests are shuffled.
+    ``first_id`` is the smallest id with the same bytes; it has a row too. Only digests are
+    shuffled.
     """
     digests = cut(docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size")))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(digests.join(firsts, "digest").where("doc_id <> first_id").select("doc_id", "first_id"))
+    copies = cut(digests.join(firsts, "digest").select("doc_id", "first_id"))
     total = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rest = docs.join(checked_broadcast(copies.select("doc_id"), 32), "doc_id", "left_anti")
+    later = copies.where("doc_id <> first_id").select("doc_id")
+    rest = docs.join(checked_broadcast(later, 32), "doc_id", "left_anti")
     return copies, rest, total

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.routing import Bucket, Runs, distinct_texts, route
-from logsift.llm.shared import cut
+from logsift.llm.shared import checked_broadcast, cut
 
 GRAM = 3
 #: Packed bytes per byte of text: runs of about six windows carry thirteen words more.
@@ -154,13 +154,12 @@ def normalised(docs: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document."""
-    from logsift.llm.shared import checked_broadcast
-
     docs = normalised(docs)
     copies, rest, total = distinct_texts(docs)
     spans = cut(route(rest, total, SPREAD, _runs(window), _judge(window)))
     size = spans.agg(F.max(F.size("spans"))).first()[0] or 0
-    marked = docs.join(checked_broadcast(copies, 48), "doc_id", "left").join(
+    marked = docs.join(
+        checked_broadcast(copies.where("doc_id <> first_id"), 48), "doc_id", "left").join(
         checked_broadcast(spans, 64 + 24 * size), "doc_id", "left")
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return marked.select("doc_id", "text", "spans", "first_id").mapInArrow(lambda b: _apply(b, window, with_text), columns)
