@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from logsift.llm import chat_format, url_rules
 from logsift.llm.near_duplicates import near_duplicates
 from logsift.llm.substring_dedup import substring_dedup
+from logsift.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,6 +24,60 @@ def table(spark, sf: str, name: str):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op5_url_filters", """
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r(rule_host, rule_path, rule_verdict) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + """),
+fit AS (
+  SELECT page_id, arg_max(struct_pack(rule := rule_host || rule_path, verdict := rule_verdict),
+      length(rule_host || rule_path)) AS best
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM p LEFT JOIN fit USING (page_id)""")
+def _(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf, "pages"), rules)
+
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op6_chat_format", f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}')),
+m AS (
+  SELECT *, row_number() OVER w > 1 AND lag(role) OVER w = role AS merged,
+    length(replace(replace(replace(text, '\\', '\\\\'), '<', '<\\'), '[', '[\\')) AS text_chars,
+    length(replace(replace(replace(role, '\\', '\\\\'), '<', '<\\'), '[', '[\\')) AS role_chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(text_chars + CASE WHEN merged THEN 7 ELSE role_chars + 13 END) AS BIGINT) AS formatted_chars
+  FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars FROM g""")
+def _(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{_PROBE}' AS text")
+    return chat_format.digests(chat_format.read_back(chat_format.format_chats(turns.unionByName(probe))))
+
+
+@query("op7_suffix_array_dedup")
+def _(spark, sf):
+    return suffix_dedup(table(spark, sf, "documents"))
+
+
 @query("op8_minhash_near_dedup")
 def _(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))

@@ -18,6 +18,7 @@ so repeated rows and null ids stay. Rules with a null or empty host fit nothing.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,39 +89,46 @@ def _better(a, b):
     return max(a, b, key=lambda r: (len(r[0]), r[1] == "block", r[0]))
 
 
+def _place(batches: Iterator[pa.RecordBatch], cuts: list[tuple[str, int]]):
+    """Adds the range of each page, and one row per range that a rule's interval meets."""
+    low, high = -(2**63), 2**63 - 1
+    for batch in batches:
+        take, part = [], []
+        for k, (key, mixed, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "mixed", "kind")))):
+            first = last = bisect.bisect_right(cuts, (key, mixed if kind else low))
+            if not kind:
+                last = bisect.bisect_right(cuts, (key + "\U0010ffff", high))
+            for at in range(first, last + 1):
+                take.append(k)
+                part.append(at)
+        some = batch.take(pa.array(take, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *some.columns], names=["part", *some.schema.names])
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every page; ``rules``: host, path, verdict."""
-    spark = pages.sparkSession
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     keyed = cut(keyed.withColumn("key", F.when(F.col("host") == "", F.lit("")).otherwise(host_key(F.col("host"))))
                 .withColumn("mixed", F.xxhash64("path", "page_id")))
-    rule = rules.select(
-        F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    rule = rule.where("host <> ''").withColumn("key", host_key(F.col("host")))
-    rule = rule.withColumn("rule", F.concat("host", "path"))
-    parts = max(1, -(-keyed.count() // RANGE_ROWS))
-    parts = max(parts, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
-    # a cut is (key, mixed); a sample bounded by the number of ranges is enough to place cuts
-    every = max(1, keyed.count() // (parts * 64))
-    sample = sorted((r.key, r.mixed) for r in keyed.where(F.pmod(F.xxhash64("mixed"), F.lit(every)) == 0).select("key", "mixed").toLocalIterator())
+    rows = keyed.count()
+    parts = max(-(-rows // RANGE_ROWS), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a sample in proportion to the ranges places the cuts, as a range partitioner's does
+    every = max(1, rows // (parts * 64))
+    sample = keyed.where(F.pmod(F.xxhash64("mixed"), F.lit(every)) == 0).select("key", "mixed").toLocalIterator()
+    sample = sorted((r.key, r.mixed) for r in sample)
     cuts = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
-    bounds = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(m).alias("mixed")) for k, m in cuts]) if cuts else None
-
-    def range_of(key: Column, mixed: Column) -> Column:
-        if bounds is None:
-            return F.lit(0)
-        at = F.struct(key.alias("key"), mixed.alias("mixed"))
-        return F.size(F.filter(bounds, lambda c: c <= at))
-    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
-    shape = ["part", "key", "kind", "page_id", "host", "path", "rule", "verdict"]
-    page_rows = keyed.select(range_of(F.col("key"), F.col("mixed")).alias("part"), "key", F.lit(1).alias("kind"), "page_id", "host", "path",
-                             F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    last = F.concat(F.substring("key", 1, 2**31 - 1), F.lit("\U0010ffff"))
-    rule_rows = rule.select(
-        F.explode(F.sequence(range_of(F.col("key"), low), range_of(last, high))).alias("part"), "key", F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("page_id"), "host", "path", "rule", "verdict").select(*shape)
+    nothing = F.lit(None).cast("string")
+    page_rows = keyed.select("key", "mixed", F.lit(1).alias("kind"), "page_id", "host", "path", nothing.alias("rule"), nothing.alias("verdict"))
+    rule_rows = (
+        rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+        .where("host <> ''")
+        .select(host_key(F.col("host")).alias("key"), F.lit(0).cast("long").alias("mixed"), F.lit(0).alias("kind"),
+                F.lit(None).cast("long").alias("page_id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
+    )
+    shape = "key string, mixed long, kind int, page_id long, host string, path string, rule string, verdict string"
     return (
-        page_rows.unionByName(rule_rows).repartition(parts, "part").sortWithinPartitions("part", "key", "kind")
+        page_rows.unionByName(rule_rows).mapInArrow(lambda b: _place(b, cuts), "part int, " + shape)
+        .repartition(parts, "part").sortWithinPartitions("part", "key", "kind")
         .mapInArrow(lambda b: _sweep(b, default), "page_id long, host string, path string, rule string, verdict string")
     )
