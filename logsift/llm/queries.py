@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from logsift.llm import chat_format, url_rules
+from pyspark.sql import functions as F
+
+from logsift.llm import chat_format, license_scan, quality, url_rules
 from logsift.llm.near_duplicates import near_duplicates
 from logsift.llm.substring_dedup import substring_dedup
 from logsift.llm.suffix_dedup import suffix_dedup
@@ -24,6 +26,18 @@ def table(spark, sf: str, name: str):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op3_license_scan")
+def _(spark, sf):
+    return license_scan.license_scan(table(spark, sf, "documents"))
+
+
+@query("op4_quality_classifier")
+def _(spark, sf):
+    scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", (~quality.may_learn(F.col("doc_id"))).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 

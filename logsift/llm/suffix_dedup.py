@@ -48,7 +48,7 @@ for _k, _b in enumerate(_SPACES):
 for _k, _b in enumerate(b for b in range(256) if b not in _SPACES and b not in _UNUSED):
     _ORDERED[_b] = _k + 8
 _TOKEN = re.compile(rb"[^\x01-\x06]+[\x01-\x06]*|[\x01-\x06]+")
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 _PLACE_BITS = np.uint64(23)
 
 

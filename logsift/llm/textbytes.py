@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 2_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -94,17 +94,16 @@ class Words:
 
 
 def words(part: Slice, kept: np.ndarray, lower: bool) -> Words:
+    """Longest runs of bytes of one class; class 0 (or False) separates."""
     data = LOWER[part.data] if lower else part.data
-    inside = kept[data]
+    kind = kept[data]
     n = len(data)
     edge = np.zeros(n + 1, dtype=bool)
-    edge[part.bounds[part.bounds <= n]] = True  # a text's first byte, and the end
-    before = np.zeros(n, dtype=bool)
-    before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:n]))
-    after = np.zeros(n, dtype=bool)
-    after[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    edge[part.bounds] = True  # a text's first byte, and the end
+    edge[1:n] |= kind[1:] != kind[:-1]
+    inside = kind > 0
+    start = np.flatnonzero(inside & edge[:n])
+    end = np.flatnonzero(inside & edge[1:]) + 1
     row = np.searchsorted(part.bounds, start, "right") - 1
     per_row = np.bincount(row, minlength=len(part)).astype(np.int64)
     first_of_row = np.concatenate([[0], np.cumsum(per_row)[:-1]]) if len(part) else per_row
