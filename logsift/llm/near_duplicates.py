@@ -10,9 +10,9 @@ and an empty bin borrows from a bin drawn for it by hashing until a filled one i
 In a bucket the smallest document is the hub of a star: n rows give n - 1 candidate edges,
 never all pairs. Candidates are confirmed on the full shingle sets of whole texts. Where
 confirmed edges leave a bucket in several components, the members outside its largest
-component meet the bucket once more, block by block, as signatures inside a task; only
-pairs whose signatures agree far enough to reach the similarity leave it, and are
-confirmed on full sets too. A pair of similarity 0.8 shares no band in one of 8 million cases.
+component meet the bucket once more, block by block, inside a task, as whole shingle sets;
+a pair is compared in the first bucket that it shares, and only linked pairs leave it. A
+pair of similarity 0.8 shares no band in one of 8 million cases.
 
 Null and empty texts have no shingles, are linked with nothing and form their own
 component. Repeated rows of one id count as one document (the smallest text).
@@ -32,12 +32,8 @@ from logsift.llm.shared import checked_broadcast, components, cut
 BANDS = 40
 ROWS = 5
 BINS = BANDS * ROWS
-#: Share of equal signature bins below which two sets can't be similar; a similarity of
-#: 0.8 lies seven standard deviations above for sets of 400 or more, smaller sets fill
-#: fewer bins and get a wider margin.
-AGREE_LARGE, AGREE_SMALL, LARGE_SET = 0.60, 0.40, 400
-#: Signatures that meet at once in a task.
-BLOCK = 512
+#: Shingles in a block of sets that meet another in a task.
+BLOCK_SHINGLES = 65_536
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                      ("fingerprint", pa.binary()), ("signature", pa.binary())])
@@ -104,6 +100,12 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int):
     return T.mapped(batches, work, _SKETCH)
 
 
+def band_hashes(signed: np.ndarray) -> np.ndarray:
+    some = signed.astype(np.uint64).reshape(-1, ROWS)
+    some = T.mix(some + (np.arange(len(some)) % BANDS).astype(np.uint64)[:, None] * np.uint64(1 << 33))
+    return T.fold(some).view(np.int64).reshape(-1, BANDS)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]):
     schema = pa.schema([("doc_id", pa.int64()), ("bucket", pa.int64())])
 
@@ -112,11 +114,22 @@ def _bands(batches: Iterator[pa.RecordBatch]):
             return
         signed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, BINS)
         for first in range(0, len(signed), 4096):
-            some = signed[first : first + 4096].astype(np.uint64).reshape(-1, ROWS)
-            some = T.mix(some + (np.arange(len(some)) % BANDS).astype(np.uint64)[:, None] * np.uint64(1 << 33))
-            bucket = T.fold(some).view(np.int64)
             ids = np.repeat(batch.column("doc_id").to_numpy()[first : first + 4096], BANDS)
-            yield pa.table([pa.array(ids), pa.array(bucket)], schema=schema)
+            yield pa.table([pa.array(ids), pa.array(band_hashes(signed[first : first + 4096]).ravel())], schema=schema)
+    return T.mapped(batches, work, schema)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], size: int):
+    """Bands and upper hash halves of the full shingle sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bands", pa.binary()), ("shingles", pa.binary())])
+
+    def work(batch):
+        for part in T.slices(batch.column("text")):
+            value, row, count = shingle_sets(part, size)
+            bands = band_hashes(signatures(value, row, len(part)))
+            halves = np.split((value >> np.uint64(32)).astype(np.uint32), np.cumsum(count)[:-1])
+            yield pa.table([batch.column("doc_id").slice(part.first, len(part)), pa.array([b.tobytes() for b in bands], pa.binary()),
+                            pa.array([h.tobytes() for h in halves], pa.binary())], schema=schema)
     return T.mapped(batches, work, schema)
 
 
@@ -146,26 +159,37 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int):
-    """Blocks of signatures that share a bucket: pairs that may reach the similarity."""
+    """Blocks of sets that share a bucket: pairs of two components that reach the similarity.
+
+    Half hashes can only make an intersection look larger by chance; pairs are confirmed later.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def unpack(rows):
-        ids, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in ("doc_id", "component", "n_shingles"))
-        return ids, comps, sizes, np.frombuffer(b"".join(r["signature"] for r in rows), np.uint32).reshape(-1, BINS)
+        ids, comps = (np.array([r[k] for r in rows], np.int64) for k in ("doc_id", "component"))
+        bands = np.frombuffer(b"".join(r["bands"] for r in rows), np.int64).reshape(-1, BANDS)
+        return ids, comps, bands, [np.frombuffer(r["shingles"], np.uint32) for r in rows]
 
     def work(batch):
-        for outer, inner in zip(batch.column("outer_block").to_pylist(), batch.column("inner_block").to_pylist()):
-            a, a_comp, a_size, a_sign = unpack(outer)
-            b, b_comp, b_size, b_sign = unpack(inner)
-            found_a, found_b = [], []
-            for k in range(len(a)):
-                agree = (b_sign == a_sign[k]).mean(axis=1)
-                small, large = np.minimum(b_size, a_size[k]), np.maximum(b_size, a_size[k])
-                ok = (b_comp != a_comp[k]) & (100 * small >= percent * large)
-                ok &= agree >= np.where(small >= LARGE_SET, AGREE_LARGE, AGREE_SMALL)
-                found_a.append(np.minimum(b[ok], a[k]))
-                found_b.append(np.maximum(b[ok], a[k]))
-            yield pa.table([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], schema=schema)
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "largest", "outer_block", "inner_block"))
+        for bucket, largest, outer, inner in zip(*columns):
+            a, a_comp, a_bands, a_sets = unpack(outer)
+            b, b_comp, b_bands, b_sets = unpack(inner)
+            b_size = np.array([len(x) for x in b_sets])
+            for k, own in enumerate(a_sets):
+                ok = (b_comp != a_comp[k]) & ((b_comp == largest) | (b > a[k]))
+                ok &= 100 * np.minimum(b_size, len(own)) >= percent * np.maximum(b_size, len(own))
+                place = int(np.argmax(a_bands[k] == bucket))
+                ok &= np.argmax(b_bands == a_bands[k], axis=1) == place
+                some = np.flatnonzero(ok)
+                if not len(some):
+                    continue
+                all_of = np.concatenate([b_sets[i] for i in some.tolist()])
+                there = own[np.minimum(np.searchsorted(own, all_of), len(own) - 1)] == all_of
+                size = b_size[some]
+                common = np.add.reduceat(there.astype(np.int64), np.cumsum(size) - size)
+                linked = some[100 * (common + 1) >= percent * (len(own) + size - common - 1)]
+                yield pa.table([pa.array(np.minimum(b[linked], a[k])), pa.array(np.maximum(b[linked], a[k]))], schema=schema)
     return T.mapped(batches, work, schema)
 
 
@@ -223,16 +247,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     sizes = placed.join(unresolved, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     open_rows = cut(placed.join(largest, "bucket"))
-    signed = member.where("signature IS NOT NULL").select("doc_id", "n_shingles", "signature")
-    signed = signed.join(checked_broadcast(cut(open_rows.select("doc_id").distinct()), 32), "doc_id", "left_semi")
-    entry = F.struct("doc_id", "component", "n_shingles", "signature")
-    # blocks of at most about BLOCK rows, dealt by a hash of the id
-    count = open_rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    open_rows = cut(open_rows.join(count, "bucket").join(signed, "doc_id"))
-    dealt = F.expr("pmod(xxhash64(doc_id), blocks)")
-    inner = open_rows.groupBy("bucket", dealt.alias("block")).agg(F.collect_list(entry).alias("inner_block"))
-    outer = open_rows.where("component <> largest").groupBy("bucket", dealt.alias("block_of")).agg(F.collect_list(entry).alias("outer_block"))
-    pairs = outer.join(inner, "bucket").select("outer_block", "inner_block").mapInArrow(
+    open_texts = texts.join(checked_broadcast(cut(open_rows.select("doc_id").distinct()), 32), "doc_id", "left_semi")
+    whole = open_texts.mapInArrow(lambda batches: _whole(batches, shingle), "doc_id long, bands binary, shingles binary")
+    sized = open_rows.join(checked_broadcast(cut(whole.select("doc_id", (F.octet_length("shingles") / 4).alias("n"))), 48), "doc_id")
+    # blocks of about BLOCK_SHINGLES, dealt by a hash of the id
+    blocks = sized.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    entry = F.struct("doc_id", "component", "bands", "shingles")
+    block = F.expr("pmod(xxhash64(doc_id), blocks)")
+    met = cut(open_rows.join(blocks, "bucket").join(whole, "doc_id"))
+    inner = met.groupBy("bucket", block.alias("block")).agg(F.collect_list(entry).alias("inner_block"))
+    outer = met.where("component <> largest").groupBy("bucket", "largest", block.alias("block_of")).agg(
+        F.collect_list(entry).alias("outer_block"))
+    pairs = outer.join(inner, "bucket").select("bucket", "largest", "outer_block", "inner_block").mapInArrow(
         lambda batches: _meet(batches, percent), "a long, b long")
     labels = components(stars.unionByName(cut(confirmed(pairs.distinct()))))
 
