@@ -1,7 +1,86 @@
-"""A training corpus from raw documents: the stages, one after the other."""
+"""A training corpus from raw documents: quality, near copies, repeated passages, benchmark
+leaks, token ids.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last
+one with the token ids besides. ``run`` writes each stage's rows as Parquet to the shared
+folder and reads them again for the next. Rows without doc_id take no part in the stages
+that compare documents and leave there; of rows that share an id the smallest text stays.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from logsift.llm import pieces, quality
+from logsift.llm.decontamination import contaminated
+from logsift.llm.near_duplicates import near_duplicates
+from logsift.llm.shared import checked_broadcast, cut, one_row_per_id, shared_folder
+from logsift.llm.substring_dedup import substring_dedup
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (score of 0.5 or more)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_quality(docs, labels).where("score >= 0.5").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near copies (five-word shingles)."""
+    docs = one_row_per_id(docs.where("doc_id IS NOT NULL"))
+    dropped = cut(near_duplicates(docs, shingle=5).where("NOT kept").select("doc_id"))
+    return docs.join(checked_broadcast(dropped, 32), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words or more that a smaller document has too.
+
+    A text that loses nothing stays as it is, the words left of another are joined by one
+    space; a document that loses all its words leaves.
+    """
+    found = substring_dedup(docs, with_text=True)
+    touched = F.col("n_removed") > 0
+    text = F.when(touched, F.col("kept_text")).otherwise(F.col("text"))
+    return (
+        found.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
+        .withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    )
+
+
+def without_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = cut(contaminated(docs, items).select("doc_id").distinct())
+    return docs.join(checked_broadcast(leaks, 32), "doc_id", "left_anti").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their SentencePiece ids, each decoded again and compared."""
+    decoded = pieces.decode(pieces.encode(docs))
+    return decoded.select(*docs.columns, "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("substrings", without_repeated_passages),
+    ("benchmark", without_benchmark_leaks),
+    ("pieces", token_ids),
+]
+
+#: The stages fit a model and compare hashed shingles; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

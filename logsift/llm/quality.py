@@ -197,7 +197,8 @@ def _scores(batches: Iterator[pa.RecordBatch], vectors, network: Network):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and score of every row."""
+    """The rows of ``docs`` with a column ``score``; a column of that name is replaced."""
     vectors, network = fit(docs, labels)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda b: _scores(b, vectors, network), "doc_id long, text string, score double")
+    rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
+    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", score double"
+    return rows.mapInArrow(lambda b: _scores(b, vectors, network), schema)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.llm import chat_format, license_scan, quality, url_rules
+from logsift.llm import chat_format, license_scan, pieces, quality, url_rules
+from logsift.llm.decontamination import contaminated
 from logsift.llm.near_duplicates import near_duplicates
 from logsift.llm.substring_dedup import substring_dedup
 from logsift.llm.suffix_dedup import suffix_dedup
+from logsift.llm.vantage_search import nearest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,6 +28,26 @@ def table(spark, sf: str, name: str):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_vantage_search", """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, b.vec_id, list_inner_product(q.e, b.e) AS score
+  FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+def _(spark, sf):
+    return nearest(table(spark, sf, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query("op2_decontamination")
+def _(spark, sf):
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op3_license_scan")
 def _(spark, sf):
     return license_scan.license_scan(table(spark, sf, "documents"))
@@ -33,7 +55,7 @@ def _(spark, sf):
 
 @query("op4_quality_classifier")
 def _(spark, sf):
-    scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    scored = quality.score_quality(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
     return scored.select("doc_id", (~quality.may_learn(F.col("doc_id"))).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -100,3 +122,9 @@ def _(spark, sf):
 @query("op9_substring_dedup")
 def _(spark, sf):
     return substring_dedup(table(spark, sf, "documents"))
+
+
+@query("op10_sentencepiece")
+def _(spark, sf):
+    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    return pieces.digests(pieces.decode(encoded))

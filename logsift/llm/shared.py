@@ -38,6 +38,18 @@ def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """Of the rows that share a doc_id the one with the smallest text; rows without id stay."""
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return docs
+    again = (
+        docs.join(repeated, "doc_id", "left_semi").withColumn("_row", F.struct(*docs.columns))
+        .groupBy("doc_id").agg(F.min_by("_row", F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    )
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(again)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node of ``edges`` (a, b): (node, component).
 
