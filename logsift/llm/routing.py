@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm.shared import checked_broadcast, cut
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Bytes of texts whose runs are packed together.
 FLUSH_BYTES = 6 << 20
 BLOB_SQL = "bucket long, payload binary"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.routing import Bucket, Runs, distinct_texts, route
-from logsift.llm.shared import checked_broadcast, cut
+from logsift.llm.shared import checked_broadcast, cut, one_row_per_id
 
 GRAM = 3
 #: Packed bytes per byte of text: runs of about six windows carry thirteen words more.
@@ -113,8 +113,8 @@ def _judge(window: int):
     return judge
 
 
-def _apply(batches: Iterator[pa.RecordBatch], window: int, with_text: bool):
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
+def _apply(batches: Iterator[pa.RecordBatch], window: int, passed: list[str], with_text: bool):
+    names = [*passed, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
 
     def kept_of(word: list[bytes], spans, is_copy: bool) -> list[bytes]:
         if is_copy:
@@ -127,39 +127,42 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int, with_text: bool):
         return kept + word[at:]
 
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "first_id"))
-        for doc_id, text, spans, first_id in zip(*columns):
+        out: list[list] = [[], [], [], []]
+        for text, spans, is_copy in zip(*(batch.column(c).to_pylist() for c in ("text", "_spans", "_copy"))):
             # bytes.split() takes exactly the spaces \x20 and \x09-\x0D
             word = (text or "").encode().split()
-            kept = kept_of(word, spans, first_id is not None)
+            kept = kept_of(word, spans, is_copy)
             joined = b" ".join(kept)
-            row = [doc_id, len(word), len(word) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()]
-            for column, value in zip(out, row):
-                column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
-
-def normalised(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): one row per id that is not null, a null text as an empty one."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.where("doc_id IS NOT NULL")
-    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return docs
-    again = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return docs.join(repeated, "doc_id", "left_anti").unionByName(again)
+            out[0].append(len(word))
+            out[1].append(len(word) - len(kept))
+            out[2].append(hashlib.sha256(joined).hexdigest())
+            if with_text:
+                out[3].append(joined.decode())
+        made = [pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.string(), pa.string()])]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, passed), *made[: len(names) - len(passed)]], names=names)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document."""
-    docs = normalised(docs)
-    copies, rest, total = distinct_texts(docs)
+    """n_words, n_removed, kept_sha256 (and kept_text) of every document with an id.
+
+    The columns of ``docs`` come first (without ``with_text`` only doc_id); the names of the
+    results and names that begin with an underscore are taken, columns of ``docs`` that
+    have them are dropped.
+    """
+    own = {"n_words", "n_removed", "kept_sha256", "kept_text"}
+    docs = docs.select(*[c for c in docs.columns if c not in own and not c.startswith("_")])
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    passed = docs.columns if with_text else ["doc_id"]
+    docs = one_row_per_id(docs.select(*dict.fromkeys([*passed, "text"])).where("doc_id IS NOT NULL"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    copies, rest, total = distinct_texts(texts)
     spans = cut(route(rest, total, SPREAD, _runs(window), _judge(window)))
     size = spans.agg(F.max(F.size("spans"))).first()[0] or 0
-    marked = docs.join(
-        checked_broadcast(copies.where("doc_id <> first_id"), 48), "doc_id", "left").join(
-        checked_broadcast(spans, 64 + 24 * size), "doc_id", "left")
-    columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return marked.select("doc_id", "text", "spans", "first_id").mapInArrow(lambda b: _apply(b, window, with_text), columns)
+    later = copies.where("doc_id <> first_id").select("doc_id", F.lit(True).alias("_copy"))
+    marked = docs.join(checked_broadcast(later, 48), "doc_id", "left").join(
+        checked_broadcast(spans.withColumnRenamed("spans", "_spans"), 64 + 24 * size), "doc_id", "left")
+    out = [n for n in docs.columns if n in passed]
+    schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes if n in out)
+    schema += ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return marked.select(*docs.columns, "_spans", "_copy").mapInArrow(
+        lambda b: _apply(b, window, out, with_text), schema)
