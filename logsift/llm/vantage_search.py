@@ -30,32 +30,33 @@ from logsift.llm.shared import cut
 
 SHARD_ROWS = 16_384
 QUERY_GROUP = 131_072
-LEAF = 256
+LEAF = 512
 BLOCK = 1024
+#: Entries kept beyond k + 1, so that rounding of products can't decide who is found.
+SPARE = 8
 
 
 class Tree:
-    """A vantage-point tree; node arrays, leaves hold rows of ``points``."""
+    """A vantage-point tree over rows of ``vectors``, extended to norm ``longest`` (squared)."""
 
-    def __init__(self, points: np.ndarray, seed: int):
-        self.points = points
-        self.norms = (points * points).sum(1)
+    def __init__(self, vectors: np.ndarray, longest: float, seed: int):
+        self.vectors = vectors
+        self.longest = longest
+        rest = np.sqrt(np.maximum(longest - (vectors * vectors).sum(1), 0))
+        self.extended = np.hstack([vectors, rest[:, None]])
         self.nodes: list = []
         self._draw = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
-
-    def distances(self, some: np.ndarray, of: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(norms[:, None] + self.norms[some] - 2 * of @ self.points[some].T, 0))
+        self.root = self._build(np.arange(len(vectors)))
 
     def _build(self, rows: np.ndarray) -> int:
         place = len(self.nodes)
         self.nodes.append(None)
         if len(rows) <= LEAF:
-            self.nodes[place] = (rows, None)
+            self.nodes[place] = (np.sort(rows), None)
             return place
         # of a few drawn vantage points the one whose distances spread most
         drawn = self._draw.choice(rows, min(5, len(rows)), replace=False)
-        apart = self.distances(rows, self.points[drawn], self.norms[drawn])
+        apart = np.sqrt(np.maximum(2 * self.longest - 2 * self.extended[drawn] @ self.extended[rows].T, 0))
         best = int(np.argmax(apart.std(axis=1)))
         apart = apart[best]
         order = np.argsort(apart, kind="stable")
@@ -66,40 +67,51 @@ class Tree:
         self.nodes[place] = (int(drawn[best]), halves)
         return place
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` nearest rows of each query found, unordered, and their distances."""
-        k = min(k, len(self.points))
+    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """The ``k`` best rows of each query found (-1: none), ties to the smaller row."""
+        k = min(k, len(self.vectors))
         found = np.full((len(queries), k), -1)
-        apart = np.full((len(queries), k), np.inf)
+        product = np.full((len(queries), k), -np.inf)
         norms = (queries * queries).sum(1)
+        slack = 1e-7 * np.sqrt(norms + self.longest)
+        apart = lambda who, p: np.sqrt(np.maximum((norms[who] + self.longest)[:, None] - 2 * p, 0))
         waiting = [(self.root, np.arange(len(queries)), np.zeros(len(queries)))]
         while waiting:
             node, who, bound = waiting.pop()
-            # rounding must not prune a tie
-            still = factor * bound <= apart[who].max(axis=1) * (1 + 1e-9) + 1e-9
+            still = factor * bound <= apart(who, product[who, -1:])[:, 0] + slack[who]
             who = who[still]
             if not len(who):
                 continue
             first, halves = self.nodes[node]
             if halves is None:
-                near = self.distances(first, queries[who], norms[who])
-                all_apart, all_found = np.hstack([apart[who], near]), np.hstack([found[who], np.broadcast_to(first, near.shape)])
-                if all_apart.shape[1] > k:
-                    best = np.argpartition(all_apart, k - 1, axis=1)[:, :k]
-                    all_apart, all_found = np.take_along_axis(all_apart, best, 1), np.take_along_axis(all_found, best, 1)
-                apart[who], found[who] = all_apart, all_found
+                near = queries[who] @ self.vectors[first].T
+                some = (near >= product[who, -1:]).any(axis=1)
+                who, near = who[some], near[some]
+                if len(who):
+                    product[who], found[who] = _best(
+                        np.hstack([product[who], near]), np.hstack([found[who], np.broadcast_to(first, near.shape)]), k)
                 continue
-            ring = self.distances(np.array([first]), queries[who], norms[who])[:, 0]
+            ring = apart(who, (queries[who] @ self.vectors[first])[:, None])[:, 0]
             bounds = [np.maximum(np.maximum(low - ring, ring - high), 0) for _, low, high in halves]
             parent = bound[still]
             nearer_first = bounds[0] <= bounds[1]
             # the last pushed is searched first: each query takes the nearer half first
-            for order in ((~nearer_first, (0, 1)), (nearer_first, (1, 0))):
-                mask, halves_in_order = order
+            for mask, order in ((~nearer_first, (0, 1)), (nearer_first, (1, 0))):
                 if mask.any():
-                    for h in halves_in_order:
+                    for h in order:
                         waiting.append((halves[h][0], who[mask], np.maximum(bounds[h], parent)[mask]))
-        return found, apart
+        return found
+
+
+def _best(product: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest products of each line, best first, ties to the smaller row."""
+    least = -np.partition(-product, k - 1, axis=1)[:, k - 1 : k]
+    most = int((product >= least).sum(axis=1).max())
+    if most < product.shape[1]:
+        some = np.argpartition(-product, most - 1, axis=1)[:, :most]
+        product, rows = np.take_along_axis(product, some, 1), np.take_along_axis(rows, some, 1)
+    order = np.lexsort((rows, -product))[:, :k]
+    return np.take_along_axis(product, order, 1), np.take_along_axis(rows, order, 1)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, longest: float):
@@ -108,19 +120,18 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, longest: f
         values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    part, vectors, ids, tree, extended = None, [], [], None, None
+    part, vectors, ids, tree = None, [], [], None
 
     def answer(queries: np.ndarray, query_ids: np.ndarray):
-        at, _ = tree.search(np.hstack([queries, np.zeros((len(queries), 1))]), k + 1, factor)
+        at = tree.search(queries, k + 1 + SPARE, factor)
         row = np.repeat(np.arange(len(queries)), at.shape[1])
         at = at.ravel()
         some = at >= 0
         row, at = row[some], at[some]
         # the measure itself, on the original vectors; the products are exact, the sums in order
         score = np.zeros(len(at))
-        base = extended[:, :-1]
-        for d in range(base.shape[1]):
-            score += queries[row, d] * base[at, d]
+        for d in range(queries.shape[1]):
+            score += queries[row, d] * tree.vectors[at, d]
         return pa.RecordBatch.from_arrays(
             [pa.array(query_ids[row]), pa.array([ids[a] for a in at.tolist()], pa.list_(pa.int64())), pa.array(score)],
             names=["query_id", "ids", "score"])
@@ -142,10 +153,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, longest: f
             if tree is None:
                 if not vectors:
                     continue
-                base = np.vstack(vectors)
-                rest = np.sqrt(np.maximum(longest - (base * base).sum(1), 0))
-                extended = np.hstack([base, rest[:, None]])
-                tree = Tree(extended, int(part) % 2**31)
+                order = sorted(range(len(ids)), key=lambda k: ids[k][0])  # rows in order of ids
+                ids = [ids[k] for k in order]
+                tree = Tree(np.vstack(vectors)[order], longest, int(part) % 2**31)
             queries = matrix(some.column("vector"))
             query_ids = np.array([i[0] for i in some.column("ids").to_pylist()], np.int64)
             for begin in range(0, len(queries), BLOCK):
