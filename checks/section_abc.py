@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from checks import sql as Q, tables as T
 from logsift import schemas as S
 from logsift.functions import text as X
 from logsift.operators import audit, investigation, sampling, splits, windows
+from logsift.session import shared_folder
 from logsift.sources import readers, writers
 
 QUERIES: dict = {}
@@ -28,8 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def scratch(spark, name: str) -> str:
     """A folder for files a query writes and reads back, on the cluster's shared storage."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{name}-{os.urandom(4).hex()}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{shared_folder(spark)}/{name}-{os.urandom(4).hex()}"
 
 
 # ---- A -----------------------------------------------------------------------------------
@@ -195,7 +194,7 @@ def _knowledge(spark, sf):
         F.concat(F.lit("svc-"), (item % 7).cast("string")).alias("service"),
         F.array(F.array_join(F.slice(words, 7, 8), " "), F.lit(""), F.array_join(F.slice(words, 15, 8), " ")).alias("symptoms"),
         F.when(item % 2 == 0, F.concat(F.lit("cause-"), (item % 10).cast("string"))).alias("root_cause"),
-        F.array_join(F.slice(words, 23, 200000), " ").alias("resolution"),
+        F.array_join(F.slice(words, F.lit(23), F.greatest(F.size(words), F.lit(1))), " ").alias("resolution"),
         F.array(F.concat(F.lit("check "), F.element_at(words, 1)), F.lit("compare metrics"),
                 F.concat(F.lit("inspect "), F.element_at(words, 2))).alias("steps"),
         F.slice(words, 3, 3).alias("tags"))
@@ -207,7 +206,7 @@ KNOWLEDGE = """knowledge AS (
     array_to_string(words[1:6], ' ') AS title, 'svc-' || (item_id % 7) AS service,
     [array_to_string(words[7:14], ' '), '', array_to_string(words[15:22], ' ')] AS symptoms,
     CASE WHEN item_id % 2 = 0 THEN 'cause-' || (item_id % 10) END AS root_cause,
-    array_to_string(words[23:200022], ' ') AS resolution,
+    array_to_string(words[23:], ' ') AS resolution,
     ['check ' || words[1], 'compare metrics', 'inspect ' || words[2]] AS steps, words[3:5] AS tags
   FROM (SELECT item_id, string_split(text, ' ') AS words FROM benchmark)),
 knowledge_text AS (

@@ -255,7 +255,7 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_numb
 def _(spark, sf):
     items = T.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("doc_id"), F.col("item_id").alias("doc_pos"), "text")
-    index = R.build_index(items, D.KNOWLEDGE, k=4)
+    index = R.build_index(items, D.DEMO, k=4)
     return R.search_batch(turn_queries(spark, sf), index, 4).select(
         "query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
@@ -330,8 +330,8 @@ def turn_incidents(spark, sf):
 
 EVIDENCE = f"""{A.KNOWLEDGE},
 asked AS (SELECT CAST(conv_id * 100000 + turn AS VARCHAR) AS id, lower(text) AS text FROM conversations WHERE trim(text) <> ''),
-{Q.tfidf('qv', 'asked', 'knowledge_text', id_column='id', lower=True, sublinear=False)},
-{Q.tfidf('dv', 'knowledge_text', 'knowledge_text', id_column='id', lower=True, sublinear=False)},
+{Q.tfidf('qv', 'asked', 'knowledge_text', id_column='id', lower=True, sublinear=False, stop=C.ENGLISH_STOP_WORDS)},
+{Q.tfidf('dv', 'knowledge_text', 'knowledge_text', id_column='id', lower=True, sublinear=False, stop=C.ENGLISH_STOP_WORDS)},
 evidence AS (SELECT q.query_id AS incident_id, q.id, q.rank, k.kind, k.title, k.root_cause, k.steps, q.score,
     round(q.score, 4) AS hybrid_similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_pos DESC) AS rank FROM (
@@ -363,27 +363,69 @@ def _(spark, sf):
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+TENANT = "CASE {0} % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END"  # a third has no organization
+
+
+def tenant(column: str):
+    return F.expr(TENANT.format(column))
+
+
+def per_tenant(sql: str, select: str) -> str:
+    """``sql`` (CTEs over benchmark and conversations) for each tenant; ids repeat between tenants."""
+    def of(t: int) -> str:
+        own = sql.replace("FROM benchmark)", f"FROM benchmark WHERE item_id % 3 = {t})")
+        own = own.replace("'KB-' || item_id AS id", "'KB-' || (item_id // 3) AS id")
+        own = own.replace("FROM conversations WHERE", f"FROM conversations WHERE conv_id % 3 = {t} AND")
+        own = own.replace("conv_id * 100000 + turn", "(conv_id // 3) * 100000 + turn")
+        name = ("''", "'a'", "'b'")[t]
+        return f"SELECT * FROM (WITH {own} SELECT {name} AS organization, {select.replace('{t}', str(t))})"
+    return " UNION ALL ".join(map(of, range(3)))
+
+
+def tenant_knowledge(spark, sf):
+    k = A._knowledge(spark, sf)
+    return k.withColumn("organization", tenant("doc_pos")).withColumn(
+        "id", F.concat(F.lit("KB-"), F.floor(F.col("doc_pos") / 3).cast("string")))
+
+
+def tenant_incidents(spark, sf):
+    turns = T.table(spark, sf, "conversations").filter(F.trim("text") != "")
+    return turns.select(
+        (F.floor(F.col("conv_id") / 3) * 100000 + F.col("turn")).cast("string").alias("incident_id"),
+        tenant("conv_id").alias("organization"), F.lower("text").alias("log_text"))
+
+
+@query("e9_tenant_evidence", per_tenant(EVIDENCE, "incident_id, id, rank, title, root_cause, round(score, 6) AS score FROM evidence"))
+def _(spark, sf):
+    index = I.knowledge_index(tenant_knowledge(spark, sf), scope=("organization",))
+    found = I.knowledge_evidence(tenant_incidents(spark, sf), index, semantic_weight=0.0)
+    return found.select("organization", "incident_id", "id", "rank", "title", "root_cause", F.round("score", 6).alias("score"))
+
+
 def _tenant_sql() -> str:
-    return f"""WITH d AS (SELECT doc_id, lang, lower(text) AS text FROM documents),
-k AS (SELECT d.* FROM d JOIN labels USING (doc_id)), q AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
-c AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest({Q.grams('toks')}) AS term
-  FROM (SELECT doc_id, lang, {Q.tokens('text')} AS toks FROM d)) GROUP BY 1, 2, 3),
-voc AS (SELECT lang, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM c
-  JOIN (SELECT lang, count(*) AS n FROM k GROUP BY 1) USING (lang) WHERE doc_id IN (SELECT doc_id FROM k) GROUP BY 1, 2),
-r AS (SELECT doc_id, lang, term, tf * idf AS w FROM c JOIN voc USING (lang, term)),
-v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM r),
-s AS (SELECT q.doc_id AS query_id, k.doc_id, coalesce(p.score, 0.0) AS score FROM q JOIN k USING (lang) LEFT JOIN (
-  SELECT a.doc_id AS query_id, b.doc_id, sum(a.u * b.u) AS score FROM v a JOIN v b ON a.lang = b.lang AND a.term = b.term
-  WHERE a.doc_id IN (SELECT doc_id FROM q) AND b.doc_id IN (SELECT doc_id FROM k) GROUP BY 1, 2) p
-  ON p.query_id = q.doc_id AND p.doc_id = k.doc_id)
-SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
-  PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 3"""
+    return f"""WITH d AS (SELECT doc_id // 3 AS doc_id, doc_id IN (SELECT doc_id FROM labels) AS known,
+  coalesce({TENANT.format('doc_id')}, '') AS org, lower(text) AS text FROM documents),
+k AS (SELECT * FROM d WHERE known), q AS (SELECT * FROM d WHERE NOT known),
+c AS (SELECT doc_id, org, known, term, count(*) AS tf FROM (SELECT doc_id, org, known, unnest({Q.grams('toks')}) AS term
+  FROM (SELECT doc_id, org, known, {Q.tokens('text')} AS toks FROM d)) GROUP BY 1, 2, 3, 4),
+voc AS (SELECT org, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM c
+  JOIN (SELECT org, count(*) AS n FROM k GROUP BY 1) USING (org) WHERE known GROUP BY 1, 2),
+r AS (SELECT doc_id, org, known, term, tf * idf AS w FROM c JOIN voc USING (org, term)),
+v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY org, known, doc_id)) AS u FROM r),
+p AS (SELECT a.org, a.doc_id AS query_id, b.doc_id, sum(a.u * b.u) AS score FROM v a JOIN v b ON a.org = b.org AND a.term = b.term
+  WHERE NOT a.known AND b.known GROUP BY 1, 2, 3),
+s AS (SELECT q.org, q.doc_id AS query_id, k.doc_id, k.text, coalesce(p.score, 0.0) AS score FROM q JOIN k USING (org) LEFT JOIN p
+  ON p.org = q.org AND p.query_id = q.doc_id AND p.doc_id = k.doc_id)
+SELECT org AS organization, query_id, doc_id, rank, md5(text) AS content, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
+  PARTITION BY org, query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 3"""
 
 
 @query("e11_tenant_index", _tenant_sql())
 def _(spark, sf):
-    docs = T.documents(spark, sf).select("doc_id", "lang", F.lower("text").alias("text"))
-    known = docs.join(T.labelled(spark, sf), "doc_id").withColumn("doc_pos", F.col("doc_id"))
-    asked = docs.join(T.labelled(spark, sf), "doc_id", "left_anti").withColumnRenamed("doc_id", "query_id")
-    index = R.build_index(known, D.KNOWLEDGE, scope=("lang",))
-    return R.search_batch(asked, index).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    docs = T.documents(spark, sf).select("doc_id", tenant("doc_id").alias("organization"), F.lower("text").alias("text"))
+    own = F.floor(F.col("doc_id") / 3)
+    known = docs.join(T.labelled(spark, sf), "doc_id").withColumn("doc_id", own).withColumn("doc_pos", F.col("doc_id"))
+    asked = docs.join(T.labelled(spark, sf), "doc_id", "left_anti").select(own.alias("query_id"), "organization", "text")
+    index = R.build_index(known, D.DEMO, scope=("organization",))
+    found = R.with_documents(R.search_batch(asked, index), index, "text")
+    return found.select("organization", "query_id", "doc_id", "rank", F.md5("text").alias("content"), F.round("score", 6).alias("score"))

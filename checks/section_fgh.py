@@ -40,14 +40,15 @@ def window_incidents(spark, sf):
 
 
 def block_incidents(spark, sf):
-    """One incident per labelled order: the block-log line of its latest line item."""
-    latest = T.block_log(spark, sf).groupBy("l_orderkey").agg(
-        F.max_by("value", F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "value")).alias("value"))
+    """One incident per labelled order: the block-log lines of all its items, in order."""
+    line = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "value")
+    blocks = T.block_log(spark, sf).groupBy("l_orderkey").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(line)), lambda x: X.normalize_cross_domain(x["value"])), "\n").alias("value"))
     o = T.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
-    return latest.join(o, "l_orderkey").select(
+    return blocks.join(o, "l_orderkey").select(
         F.concat(F.lit("blk-"), F.col("l_orderkey").cast("string")).alias("doc_id"),
-        F.col("l_orderkey").alias("doc_pos"), X.normalize_cross_domain(F.col("value")).alias("text"), "label")
+        F.col("l_orderkey").alias("doc_pos"), F.col("value").alias("text"), "label")
 
 
 def labelled_documents(spark, sf):

@@ -157,6 +157,34 @@ def _(spark, sf):
                 F.coalesce("cause", F.lit("")).alias("cause"), F.coalesce("checks", zero).alias("checks")))
 
 
+@query("i6_tenant_investigation", E.per_tenant(CHECKS, """a.id AS incident_id, coalesce(e.n, 0) AS evidence,
+  coalesce(h.cause, '') AS cause, coalesce(p.n, 0) AS checks, CAST(a.id AS BIGINT) % 7 // 2 = {t} AS deployed FROM asked a
+  LEFT JOIN (SELECT incident_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.incident_id = a.id
+  LEFT JOIN (SELECT incident_id, cause FROM hypotheses WHERE rank = 1) h ON h.incident_id = a.id
+  LEFT JOIN (SELECT incident_id, count(*) AS n FROM plan GROUP BY 1) p ON p.incident_id = a.id"""))
+def _(spark, sf):
+    incidents = E.tenant_incidents(spark, sf)
+    key, zero = ["organization", "incident_id"], F.lit(0).cast("bigint")
+    events = incidents.select(
+        *key, F.lit(0).alias("pos"), F.lit("").alias("timestamp"), F.lit("").alias("severity"),
+        F.concat(F.lit("svc-"), (F.col("incident_id").cast("bigint") % 7).cast("string")).alias("service"),
+        F.col("log_text").alias("message"))
+    # two services of its own for each tenant, so a deployment of another tenant would show
+    turn = F.col("o_orderkey") % 3
+    deployed = T.table(spark, sf, "orders").select(
+        E.tenant("o_orderkey").alias("organization"), F.col("o_orderkey").cast("string").alias("id"),
+        F.concat(F.lit("svc-"), (turn * 2 + F.col("o_custkey") % 2).cast("string")).alias("service"), F.col("o_orderpriority").alias("summary"))
+    done = plan.investigate(incidents, events, E.tenant_knowledge(spark, sf), deployed,
+                            semantic_weight=0.0, minimum_evidence=0.05, scope=("organization",))
+    counted = lambda df, n: df.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
+    return (
+        done.decisions.join(counted(done.evidence, "evidence"), key, "left")
+        .join(done.hypotheses.filter("rank = 1").select(*key, "cause"), key, "left")
+        .join(counted(done.checks, "checks"), key, "left").join(counted(done.deployments, "n"), key, "left")
+        .select(*key, F.coalesce("evidence", zero).alias("evidence"), F.coalesce("cause", F.lit("")).alias("cause"),
+                F.coalesce("checks", zero).alias("checks"), (F.coalesce("n", zero) > 0).alias("deployed")))
+
+
 @query("i7_evidence_ledger", f"""WITH {E.EVIDENCE} SELECT incident_id, id, kind, title, array_to_string(steps, '|') AS steps FROM evidence""")
 def _(spark, sf):
     ledger = I.evidence_ledger(E.turn_evidence(spark, sf))
@@ -250,18 +278,20 @@ def _(spark, sf):
         "incident_id", F.array_join("failed", ",").alias("failed")))
 
 
-@query("a9_upsert_profiles", """WITH cur AS (SELECT c_custkey AS k, c_mktsegment AS name, 1 + c_nationkey AS v FROM customer WHERE c_acctbal >= 0),
-inc AS (SELECT o_custkey AS k, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS name FROM orders GROUP BY 1)
+@query("a9_upsert_profiles", """WITH cur AS (SELECT c_custkey AS k, c_mktsegment AS name, 1 + c_nationkey AS v FROM customer),
+inc AS (SELECT o_custkey * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END AS k, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS name FROM orders GROUP BY 1)
 SELECT coalesce(cur.k, inc.k) AS organization_id, coalesce(inc.name, cur.name) AS display_name,
   CAST(CASE WHEN cur.k IS NULL THEN 1 WHEN inc.k IS NOT NULL THEN v + 1 ELSE v END AS INTEGER) AS knowledge_version, inc.k IS NOT NULL AS updated
 FROM cur FULL OUTER JOIN inc ON cur.k = inc.k""")
 def _(spark, sf):
     old = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    current = T.table(spark, sf, "customer").filter("c_acctbal >= 0").select(
+    current = T.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("organization_id"), F.col("c_mktsegment").alias("display_name"),
         (F.col("c_nationkey") + 1).alias("knowledge_version"), old.alias("created_at"), old.alias("updated_at"))
     incoming = audit.last_per_key(T.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("organization_id"), F.col("o_orderpriority").alias("display_name"), "o_orderdate", "o_orderkey"),
+        # a fifth of the orders name organizations that the snapshot doesn't have
+        (F.col("o_custkey") * F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(1)).alias("organization_id"),
+        F.col("o_orderpriority").alias("display_name"), "o_orderdate", "o_orderkey"),
         "organization_id", "o_orderdate", "o_orderkey")
     now = F.lit("2025-01-01 00:00:00").cast("timestamp")
     merged = audit.upsert_profiles(current, incoming, now)

@@ -60,14 +60,18 @@ def evidence_tokens(expr: str) -> str:
 
 def tfidf(
     name: str, source: str, fit: str, *, id_column: str = "doc_id", lower: bool = False,
-    min_df: int = 1, sublinear: bool = True,
+    min_df: int = 1, sublinear: bool = True, stop: tuple[str, ...] = (),
 ) -> str:
     """CTEs ``{name}``(id, term, w): unit TF-IDF of ``source`` under the vocabulary of ``fit``."""
+    toks = tokens("text", lower)
+    if stop:  # before bigrams are formed
+        toks = f"list_filter({toks}, lambda t: NOT list_contains([{', '.join(repr(w) for w in stop)}], t))"
+
     def counted(alias: str, relation: str) -> str:
         return f"""{alias} AS (
   SELECT {id_column}, term, count(*) AS tf FROM (
     SELECT {id_column}, unnest({grams('toks')}) AS term
-    FROM (SELECT {id_column}, {tokens('text', lower)} AS toks FROM {relation}))
+    FROM (SELECT {id_column}, {toks} AS toks FROM {relation}))
   GROUP BY 1, 2)"""
     weight = "1.0 + ln(tf)" if sublinear else "CAST(tf AS DOUBLE)"
     return f"""{counted(name + '_fit', fit)},

@@ -195,13 +195,17 @@ def feedback_list(feedback: DataFrame, incident_id=None, limit: int = 20) -> Dat
     return feedback.orderBy(F.desc("created_at"), F.desc("incident_id")).limit(limit)
 
 
-def verified_feedback(feedback: DataFrame, organization_id: str, limit: int = 10_000) -> DataFrame:
-    """Confirmed labels with events, oldest first."""
-    return feedback.filter(
+def verified_feedback(feedback: DataFrame, organization_id: str, limit: int | None = None) -> DataFrame:
+    """Confirmed labels with events, oldest first.
+
+    ``limit`` bounds the labels that a feedback model may be trained on.
+    """
+    found = feedback.filter(
         (F.col("organization_id") == organization_id)
         & F.col("final_anomaly_label").isin("ANOMALY", "NORMAL")
         & (F.size("incident_events") > 0)
-    ).orderBy(F.asc("created_at"), F.asc("incident_id")).limit(limit)
+    ).orderBy(F.asc("created_at"), F.asc("incident_id"))
+    return found if limit is None else found.limit(limit)
 
 
 def profile(profiles: DataFrame, organization_id: str) -> DataFrame:

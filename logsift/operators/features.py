@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from logsift import constants as C
 from logsift.functions import text as X
 from logsift.operators.ordering import BROADCAST_ROWS, attach, dense_index
 
@@ -24,7 +25,7 @@ class TextOptions:
 
 
 RETRIEVAL = TextOptions(lowercase=False, min_df=2, sublinear=True)
-KNOWLEDGE = TextOptions(lowercase=True, min_df=1, sublinear=False)
+KNOWLEDGE = TextOptions(lowercase=True, min_df=1, sublinear=False, stop_words=C.ENGLISH_STOP_WORDS)
 DEMO = TextOptions(lowercase=True, min_df=1, sublinear=False)
 CLASSIC = TextOptions(lowercase=True, min_df=2, max_features=50_000, sublinear=False)
 FOREST = TextOptions(lowercase=True, min_df=2, max_features=5_000, sublinear=False)

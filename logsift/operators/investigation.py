@@ -18,18 +18,19 @@ from logsift.operators.ordering import attach, top_per_group
 from logsift.operators.retrieval import build_index, search_batch
 
 
-def incident_summary(events: DataFrame) -> DataFrame:
+def incident_summary(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Affected service, counts, first and last time, without the templates."""
+    key = [*scope, "incident_id"]
     present = F.col("service") != ""
     stamp = F.when(F.col("timestamp") != "", F.col("timestamp"))
-    per_service = events.groupBy("incident_id", "service").agg(
+    per_service = events.groupBy(*key, "service").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("pos").alias("first_pos"),
         F.sum(X.is_error_message(F.col("message")).cast("int")).alias("errors"),
         F.min(stamp).alias("first_seen"),
         F.max(stamp).alias("last_seen"),
     )
-    return per_service.groupBy("incident_id").agg(
+    return per_service.groupBy(*key).agg(
         F.coalesce(
             F.max_by(
                 F.when(present, F.col("service")),
@@ -44,13 +45,14 @@ def incident_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def dominant_errors(events: DataFrame, k: int = 3) -> DataFrame:
+def dominant_errors(events: DataFrame, k: int = 3, scope: Sequence[str] = ()) -> DataFrame:
     """The k most frequent error templates of an incident, first seen first on ties."""
+    key = [*scope, "incident_id"]
     errors = events.filter(X.is_error_message(F.col("message"))).groupBy(
-        "incident_id", X.error_template(F.col("message")).alias("template")
+        *key, X.error_template(F.col("message")).alias("template")
     ).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    return top_per_group(errors, ["incident_id"], [F.desc("n"), F.asc("first_pos")], k).select(
-        "incident_id", "rank", "template", "n")
+    return top_per_group(errors, key, [F.desc("n"), F.asc("first_pos")], k).select(
+        *key, "rank", "template", "n")
 
 
 def cause_keywords(knowledge: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -110,10 +112,11 @@ def knowledge_evidence(
     """Up to k documents per incident; those without any similarity are dropped."""
     queries = incidents.withColumnRenamed("incident_id", "query_id").withColumnRenamed("log_text", "text")
     found = search_batch(queries, index, k, semantic_weights=(semantic_weight,))
-    documents = index.documents.select(
-        "doc_id", "kind", "title", "root_cause", "resolution", "steps")
-    return attach(found.filter(F.col("score") > 0), documents, "doc_id").select(
-        F.col("query_id").alias("incident_id"), "rank", F.col("doc_id").alias("id"), "kind", "title",
+    keys = [*index.scope, "doc_id"]
+    documents = index.documents.select(*keys, "kind", "title", "root_cause", "resolution", "steps")
+    # texts and steps: joined, not broadcast by their number of rows
+    return found.filter(F.col("score") > 0).join(documents, keys).select(
+        *index.scope, F.col("query_id").alias("incident_id"), "rank", F.col("doc_id").alias("id"), "kind", "title",
         "root_cause", "resolution", "steps", "score",
         F.round("score", 4).alias("hybrid_similarity"),
         F.round("semantic", 4).alias("semantic_similarity"),
@@ -121,7 +124,7 @@ def knowledge_evidence(
     )
 
 
-def correlate_deployments(summary: DataFrame, deployments: DataFrame) -> DataFrame:
+def correlate_deployments(summary: DataFrame, deployments: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Incidents whose affected service was deployed, with that service's deployments
     counted and bounded (no time limit applies).
 
@@ -129,24 +132,24 @@ def correlate_deployments(summary: DataFrame, deployments: DataFrame) -> DataFra
     otherwise pair every one of its incidents with every one of its deployments. The
     deployments themselves are ``deployment_context``, one row each, keyed by service.
     """
-    per_service = deployments.groupBy("service").agg(
+    per_service = deployments.groupBy(*scope, "service").agg(
         F.count(F.lit(1)).alias("deployments"),
         F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    affected = summary.select("incident_id", F.col("affected_service").alias("service"))
-    return attach(affected, per_service, "service")
+    affected = summary.select(*scope, "incident_id", F.col("affected_service").alias("service"))
+    return attach(affected, per_service, [*scope, "service"])
 
 
-def deployment_context(summary: DataFrame, deployments: DataFrame) -> DataFrame:
+def deployment_context(summary: DataFrame, deployments: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """The deployments of all affected services."""
-    services = summary.select(F.col("affected_service").alias("service")).distinct()
-    return attach(deployments, services, "service", "left_semi")
+    services = summary.select(*scope, F.col("affected_service").alias("service")).distinct()
+    return attach(deployments, services, [*scope, "service"], "left_semi")
 
 
-def affected_by_deployment(summary: DataFrame, deployments: DataFrame) -> DataFrame:
+def affected_by_deployment(summary: DataFrame, deployments: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """I3 as a flag: a service counts once, however many deployments it had."""
-    services = deployments.select(F.col("service").alias("affected_service")).distinct()
+    services = deployments.select(*scope, F.col("service").alias("affected_service")).distinct()
     flagged = services.withColumn("deployed", F.lit(True))
-    return attach(summary, flagged, "affected_service", "left").withColumn(
+    return attach(summary, flagged, [*scope, "affected_service"], "left").withColumn(
         "deployed", F.coalesce("deployed", F.lit(False)))
 
 
@@ -162,15 +165,16 @@ def rank_hypotheses(
     """
     if not 0.0 < minimum_evidence <= 1.0:
         raise ValueError("minimum_hypothesis_evidence must lie in (0, 1].")
+    key = [*scope, "incident_id"]
     best = evidence.filter(F.col("root_cause").isNotNull()).groupBy(
-        "incident_id", F.col("root_cause").alias("cause")
+        *key, F.col("root_cause").alias("cause")
     ).agg(F.max("hybrid_similarity").alias("evidence_score"),
           F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"])
           .alias("evidence_ids"))
     rows = (
         best.filter(F.col("evidence_score") >= minimum_evidence)
-        .join(incidents.select("incident_id", *scope, "log_text"), "incident_id")
-        .join(deployed.select("incident_id", "deployed"), "incident_id", "left")
+        .join(incidents.select(*key, "log_text"), key)
+        .join(deployed.select(*key, "deployed"), key, "left")
     )
     rows = attach(rows, causes, [*scope, "cause"])
     found = F.size(F.filter("keywords", lambda w: F.col("log_text").contains(w)))
@@ -180,25 +184,26 @@ def rank_hypotheses(
     )
     scored = rows.withColumn("confidence", F.round(F.least(score, F.lit(0.99)), 4))
     return top_per_group(
-        scored, ["incident_id"], [F.desc("confidence"), F.asc("cause_order")], k
-    ).select("incident_id", "rank", "cause", "confidence", "evidence_ids", "keywords")
+        scored, key, [F.desc("confidence"), F.asc("cause_order")], k
+    ).select(*key, "rank", "cause", "confidence", "evidence_ids", "keywords")
 
 
-def plan_checks(evidence: DataFrame, hypotheses: DataFrame, k: int = 6) -> DataFrame:
+def plan_checks(evidence: DataFrame, hypotheses: DataFrame, k: int = 6, scope: Sequence[str] = ()) -> DataFrame:
     """The first k distinct steps of relevant cited runbooks, in evidence order."""
-    wanted = hypotheses.groupBy("incident_id").agg(
+    key = [*scope, "incident_id"]
+    wanted = hypotheses.groupBy(*key).agg(
         F.collect_set("cause").alias("causes"),
         F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("words"))
-    books = evidence.filter(F.col("kind") == "runbook").join(wanted, "incident_id")
+    books = evidence.filter(F.col("kind") == "runbook").join(wanted, key)
     relevant = F.coalesce(F.array_contains("causes", F.col("root_cause")), F.lit(False)) | F.exists(
         "words", lambda w: F.lower("title").contains(w))
     steps = books.filter(relevant).select(
-        "incident_id", F.col("rank").alias("book"), F.col("id").alias("source_id"),
+        *key, F.col("rank").alias("book"), F.col("id").alias("source_id"),
         F.posexplode("steps").alias("place", "step"))
-    first = steps.groupBy("incident_id", "step").agg(
+    first = steps.groupBy(*key, "step").agg(
         F.min(F.struct("book", "place", "source_id")).alias("at"))
-    return top_per_group(first, ["incident_id"], [F.col("at.book"), F.col("at.place")], k).select(
-        "incident_id", "rank", "step", F.col("at.source_id").alias("source_id"))
+    return top_per_group(first, key, [F.col("at.book"), F.col("at.place")], k).select(
+        *key, "rank", "step", F.col("at.source_id").alias("source_id"))
 
 
 def evidence_ledger(evidence: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from logsift.operators.ordering import top_per_group
@@ -45,15 +46,26 @@ def _terms(table: pa.Table, prefix: str, rows: np.ndarray, n: int):
 
 
 def _dense(column: pa.ChunkedArray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Matrix of the vectors, one per document row."""
+    """Matrix of the vectors, one per document row; a row without a vector is zero."""
     present = np.asarray(column.is_valid())
+    widths = {w for c in column.chunks for w in pc.unique(pc.list_value_length(c.drop_null())).to_pylist()}
+    if len(widths) > 1:
+        raise ValueError(f"Vectors differ in length: {sorted(widths)}.")
+    if not widths:
+        return np.zeros((n, 0))
     flat = np.concatenate([np.asarray(c.drop_null().flatten(), dtype=np.float64) for c in column.chunks])
-    found = flat.reshape(int(present.sum()), -1)
-    matrix = np.zeros((n, found.shape[1]))
-    matrix[rows[present]] = found
+    matrix = np.zeros((n, widths.pop()))
+    matrix[rows[present]] = flat.reshape(int(present.sum()), -1)
     return matrix
 
 
+def _products(queries: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Dot products; zero where one side of the block has no vector at all."""
+    if not queries.shape[1] or not documents.shape[1]:
+        return np.zeros((len(queries), len(documents)))
+    return queries @ documents.T
+
+
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated ranges start..start+length."""
     ends = np.cumsum(lengths)
@@ -106,7 +118,15 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], columns[keep]
 
 
-def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool):
+def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool, scope: tuple[str, ...]):
+    def scoped(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
+        """Matches of a block with the scope that both sides share."""
+        found = match(queries, index)
+        for place, name in enumerate(scope):
+            value = pa.array([key[place].as_py()], type=queries[name].type)
+            found = found.add_column(place, name, value.take(pa.array(np.zeros(found.num_rows, np.int64))))
+        return found
+
     def match(queries: pa.Table, index: pa.Table) -> pa.Table:
         parts: list[pa.Table] = []
         if queries.num_rows and index.num_rows:
@@ -135,7 +155,7 @@ def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool
                     a, b = np.searchsorted(row, [lo, hi])
                     lexical = postings.scores(row[a:b] - lo, term[a:b], value[a:b], hi - lo)
                 if dense:
-                    semantic = vectors[lo:hi] @ documents.T
+                    semantic = _products(vectors[lo:hi], documents)
                 for weight in weights:
                     blended = weight * semantic + (1.0 - weight) * lexical
                     rows, columns = _best(blended, k)
@@ -158,7 +178,7 @@ def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool
             "doc_pos": pa.array(np.array([], dtype=np.int64)),
             "score": pa.array(empty), "semantic": pa.array(empty), "lexical": pa.array(empty),
         })
-    return match
+    return scoped
 
 
 def top_matches(
@@ -175,7 +195,8 @@ def top_matches(
 
     Both sides are ``vector_rows``: a row per term (term_id, weight) and one row per
     document (embedding, and on the index side doc_pos: unique, chronological).
-    A query meets documents of its own scope only.
+    A query meets documents of its own scope only; ids may repeat between scopes, so the
+    scope's columns come back with every match.
     """
     for weight in semantic_weights:
         if not 0.0 <= weight <= 1.0:
@@ -198,7 +219,8 @@ def top_matches(
         blocks(query_blocks).alias("d_query_block"),
     ).withColumn("d_index_block", F.pmod(F.xxhash64("doc_id"), index_blocks).cast("int"))
     right_keys = [*[f"d_{c}" for c in scope], "d_query_block", "d_index_block"]
-    schema = (
+    kinds = "".join(f"{c} {queries.schema[c].dataType.simpleString()}, " for c in scope)
+    schema = kinds + (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, semantic_weight double, "
         f"doc_id {index.schema['doc_id'].dataType.simpleString()}, doc_pos bigint, "
         "score double, semantic double, lexical double"
@@ -207,12 +229,12 @@ def top_matches(
         left.groupBy(*keys)
         .cogroup(right.groupBy(*right_keys))
         .applyInArrow(
-            _block_matcher(k, tuple(float(w) for w in semantic_weights), sparse, dense), schema
+            _block_matcher(k, tuple(float(w) for w in semantic_weights), sparse, dense, tuple(scope)), schema
         )
     )
     return top_per_group(
         found,
-        ["query_id", "semantic_weight"],
+        [*scope, "query_id", "semantic_weight"],
         [F.desc(F.round("score", TIE_DECIMALS)), F.desc("doc_pos")],
         k,
     )

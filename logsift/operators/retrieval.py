@@ -13,30 +13,36 @@ from logsift.operators import features as D
 from logsift.operators.matching import reduce_copies, top_matches
 from logsift.operators.ordering import top_per_group
 
-# Text a block of documents may hold; a task works on one query and one index block.
-BLOCK_CHARACTERS = 8_000_000
-BLOCK_ROWS = 20_000
+# Rows, and bytes of text and vectors, that a block holds; a task works on one query block
+# and one index block.
+BLOCK_BYTES = 4_000_000
+BLOCK_ROWS = 4_000
 
 
 @dataclass(frozen=True)
 class EvidenceIndex:
     """A labelled corpus prepared for search."""
 
-    documents: DataFrame  # doc_id, doc_pos, label, text, [scope...], [embedding]
+    documents: DataFrame  # doc_id, doc_pos, label, text, [scope...] (see in_scope), [embedding]
     vectors: DataFrame  # vector_rows of the documents
     vocabulary: D.Vocabulary | None
     blocks: int
     scope: tuple[str, ...] = ()
 
 
-def _blocks(df: DataFrame, at_least: int) -> int:
-    size = F.length("text") if "text" in df.columns else F.lit(0)
-    rows, characters = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return max(
-        at_least,
-        -(-(rows or 0) // BLOCK_ROWS),
-        -(-(characters or 0) // BLOCK_CHARACTERS),
-    )
+def _blocks(df: DataFrame) -> int:
+    """Blocks by rows and bytes. Each block of one side is sent once per block of the other,
+    so their number follows the data; more cores only take more of the block pairs."""
+    size = sum((F.coalesce(c, F.lit(0)) for c in (
+        *([F.octet_length("text")] if "text" in df.columns else []),
+        *([4 * F.size("embedding")] if "embedding" in df.columns else []))), F.lit(0))
+    rows, weight = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return max(1, -(-(rows or 0) // BLOCK_ROWS), -(-(weight or 0) // BLOCK_BYTES))
+
+
+def in_scope(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Scope columns as text; rows without an organization share the bundled scope ''."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope})
 
 
 def build_index(
@@ -52,6 +58,7 @@ def build_index(
     ``options=None`` makes a dense-only index.
     """
     scope = tuple(scope)
+    documents = in_scope(documents, scope)
     keys = [*scope, "doc_id"]
     content = [c for c in ("text", "embedding") if c in documents.columns]
     extra = ["doc_pos", *[c for c in content if c == "embedding"]]
@@ -62,7 +69,7 @@ def build_index(
         vocabulary = D.vocabulary_from_counts(counts, documents, options, scope)
         weighted = D.weigh(counts, vocabulary, keys).join(reduced.select(*keys), keys, "left_semi")
     vectors = D.vector_rows(reduced, weighted, keys, extra)
-    return EvidenceIndex(documents, vectors, vocabulary, _blocks(documents, 1), scope)
+    return EvidenceIndex(documents, vectors, vocabulary, _blocks(documents), scope)
 
 
 def search_batch(
@@ -79,6 +86,7 @@ def search_batch(
     documents, at similarity zero.
     """
     keys = [*index.scope, "query_id"]
+    queries = in_scope(queries, index.scope)
     weighted = None
     if index.vocabulary is not None:
         blank = F.raise_error(F.lit("Query text cannot be empty.")).cast("string")
@@ -88,18 +96,17 @@ def search_batch(
         counts = D.term_counts(checked, index.vocabulary.options, keys)
         weighted = D.weigh(counts, index.vocabulary, keys)
     extra = ["embedding"] if "embedding" in queries.columns else []
-    cores = queries.sparkSession.sparkContext.defaultParallelism
     return top_matches(
         D.vector_rows(queries, weighted, keys, extra), index.vectors, k,
         semantic_weights=semantic_weights, scope=index.scope,
-        query_blocks=_blocks(queries, 2 * cores), index_blocks=index.blocks,
+        query_blocks=_blocks(queries), index_blocks=index.blocks,
     )
 
 
 def with_documents(matches: DataFrame, index: EvidenceIndex, *columns: str) -> DataFrame:
     """Add columns of the matched documents (label, text, ...)."""
-    kept = index.documents.select("doc_id", *columns)
-    return matches.join(kept, "doc_id")
+    keys = [*index.scope, "doc_id"]
+    return matches.join(index.documents.select(*keys, *columns), keys)
 
 
 def evidence_aggregate(matches: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift import constants as C
 from logsift.operators import investigation as I, metrics as H
+from logsift.operators.retrieval import in_scope
 
 
 @dataclass(frozen=True)
@@ -39,27 +40,31 @@ def investigate(
 
     ``incidents``: incident_id, log_text, [scope...], [embedding] and any context columns,
     which ``decisions`` passes through. Infrastructure is never touched: every decision
-    asks for an engineer's review.
+    asks for an engineer's review. With ``scope`` (organization) all four tables carry its
+    columns and nothing crosses them, ids and service names may repeat; rows without an
+    organization meet each other only: their knowledge is the bundled corpus.
     """
-    summary = I.incident_summary(events)
+    incidents, events, knowledge, deployments = (
+        in_scope(df, scope) for df in (incidents, events, knowledge, deployments))
+    summary = I.incident_summary(events, scope)
     index = I.knowledge_index(knowledge, scope=scope)
     columns = ["incident_id", "log_text", *scope]
     if "embedding" in incidents.columns:
         columns.append("embedding")
     evidence = I.knowledge_evidence(
         incidents.select(*columns), index, semantic_weight=semantic_weight).persist()
-    deployed = I.affected_by_deployment(summary, deployments)
+    deployed = I.affected_by_deployment(summary, deployments, scope)
     hypotheses = I.rank_hypotheses(
         incidents, evidence, I.cause_keywords(knowledge, scope), deployed,
         minimum_evidence=minimum_evidence, scope=scope).persist()
     return Investigation(
         summary=summary,
-        errors=I.dominant_errors(events),
+        errors=I.dominant_errors(events, scope=scope),
         evidence=evidence,
-        deployments=I.correlate_deployments(summary, deployments),
-        deployment_context=I.deployment_context(summary, deployments),
+        deployments=I.correlate_deployments(summary, deployments, scope),
+        deployment_context=I.deployment_context(summary, deployments, scope),
         hypotheses=hypotheses,
-        checks=I.plan_checks(evidence, hypotheses),
+        checks=I.plan_checks(evidence, hypotheses, scope=scope),
         decisions=incidents.drop("log_text").withColumn("decision", F.lit(C.ENGINEER_REVIEW)),
     )
 

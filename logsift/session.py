@@ -17,21 +17,28 @@ def local_session(cores: int = 8, app: str = "logsift") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app}-shared-"))
         .getOrCreate()
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     The operators below call this where a later step depends on the partition a row
     landed in; a recomputed range partitioning may place rows elsewhere. The folder
-    is the cluster's ``spark.checkpoint.dir``; only a session without one (tests,
-    local runs) gets a folder of its own.
+    is the cluster's ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="logsift-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
