@@ -186,27 +186,29 @@ def _(spark, sf):
 
 
 def hybrid_parts(spark, sf):
-    """Documents that have a vector, split chronologically; label from the vector's class."""
-    docs = masked(spark, sf).join(
-        T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "label", "embedding"), "doc_id")
-    split = splits.chronological_split(docs, ["doc_id"]).withColumn(
-        "embedding", V.unit_vector(F.col("embedding"))).withColumn("label", (F.col("label") < 5).cast("int")).persist()
+    """All documents, split chronologically; half of them have a vector, whose class gives the label."""
+    docs = splits.chronological_split(T.documents(spark, sf).select("doc_id", "text"), ["doc_id"]).join(
+        T.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "label", "embedding"), "doc_id", "left")
+    split = docs.select(
+        "doc_id", "split", X.normalize_cross_domain(F.col("text")).alias("text"),
+        V.unit_vector(F.col("embedding")).alias("embedding"),
+        (F.coalesce(F.col("label"), F.col("doc_id") % 10) < 5).cast("int").alias("label")).persist()
     old = split.filter("split = 'train'").withColumn("doc_pos", F.col("doc_id"))
     late = split.filter("split <> 'train'").withColumnRenamed("doc_id", "query_id")
     return old, late
 
 
 HYBRID = f"""{MASKED}, h AS (
-  SELECT doc_id, text, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label,
+  SELECT doc_id, text, CASE WHEN coalesce(label, doc_id % 10) < 5 THEN 1 ELSE 0 END AS label,
     row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n,
     list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e
-  FROM masked JOIN embeddings ON doc_id = vec_id),
+  FROM masked LEFT JOIN embeddings ON doc_id = vec_id),
 old AS (SELECT * FROM h WHERE pos < floor(n * 0.6::DOUBLE)),
 late AS (SELECT * FROM h WHERE pos >= floor(n * 0.6::DOUBLE)),
 {Q.tfidf('tv', '(SELECT doc_id, text FROM h)', 'old', min_df=2)},
 lex AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.w * d.w) AS s FROM tv q JOIN tv d ON q.term = d.term
   WHERE q.doc_id IN (SELECT doc_id FROM late) AND d.doc_id IN (SELECT doc_id FROM old) GROUP BY 1, 2),
-both_scores AS (SELECT q.doc_id AS query_id, q.label AS truth, d.doc_id, d.label, list_dot_product(q.e, d.e) AS semantic,
+both_scores AS (SELECT q.doc_id AS query_id, q.label AS truth, d.doc_id, d.label, coalesce(list_dot_product(q.e, d.e), 0.0) AS semantic,
     coalesce(l.s, 0.0) AS lexical
   FROM late q CROSS JOIN old d LEFT JOIN lex l ON l.query_id = q.doc_id AND l.doc_id = d.doc_id)"""
 

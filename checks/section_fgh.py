@@ -10,6 +10,7 @@ from logsift.functions import risk, text as X
 from logsift.operators import features as D, metrics as H, models as M, policy as P, retrieval as R
 from logsift.operators import splits, windows
 from logsift.plans import feedback, holdout
+from logsift.operators.ordering import exact_quantiles
 from logsift.sources import readers, writers
 
 QUERIES: dict = {}
@@ -236,11 +237,15 @@ def _(spark, sf):
 
 
 @query("g4_ood_threshold", f"""WITH {T.SCORED}
-SELECT user_id, round(quantile_cont(top_similarity, 0.05), 6) AS cutoff FROM scored GROUP BY 1""")
+SELECT user_id, round(quantile_cont(top_similarity, 0.05), 6) AS cutoff FROM scored GROUP BY 1
+UNION ALL SELECT -1, round(quantile_cont(top_similarity, 0.05), 6) FROM scored
+UNION ALL SELECT -2, round(quantile_cont(top_similarity, 0.2), 6) FROM scored""")
 def _(spark, sf):
-    # percentile by group: the same exact interpolation the driver-side cutoff uses
-    return T.scored(spark, sf).groupBy("user_id").agg(
-        F.round(F.percentile("top_similarity", F.lit(C.OOD_RATE)), 6).alias("cutoff"))
+    s = T.scored(spark, sf)
+    per_user = exact_quantiles(s, "top_similarity", [C.OOD_RATE], ["user_id"]).select(
+        F.col("user_id").cast("long").alias("user_id"), F.round(F.element_at("quantiles", 1), 6).alias("cutoff"))
+    whole = [(-1, round(P.ood_threshold(s), 6)), (-2, round(P.ood_threshold(s, 0.2), 6))]
+    return per_user.unionByName(spark.createDataFrame(whole, "user_id long, cutoff double"))
 
 
 @query("g5_in_distribution", f"""WITH {T.SCORED}

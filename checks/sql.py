@@ -16,6 +16,7 @@ def _chain(expr: str, steps: list[tuple[str, str]]) -> str:
     return f"lower({strip(out)})"
 
 
+# ---- fixed values: the masks --------------------------------------------------------
 _STAMP = (r"^\d{6}\s+\d{6}\s+\d+\s+", "")
 _BLOCK = (r"\bblk_-?\d+\b", "<block_id>")
 _IP_PORT = (r"/?\b(?:\d{1,3}\.){3}\d{1,3}:\d+\b", "<ip_port>")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift import constants as C
-from logsift.operators.ordering import running_totals
+from logsift.operators.ordering import attach, exact_quantiles, running_totals
 
 
 def count_if(condition: Column) -> Column:
@@ -100,8 +100,15 @@ def selective_metrics(
         count_if(auto & (F.col("wrong") == 1)).alias("unsafe_decisions"),
         F.avg("top_similarity").alias("mean_maximum_similarity"),
         count_if(F.col("top_similarity") == 0).alias("zero"),
-        *([F.percentile("top_similarity", F.lit(0.5)).alias("median_maximum_similarity")] if median else []),
     )
+    if median:
+        middle = exact_quantiles(decisions, "top_similarity", [0.5], by).select(
+            *by, F.element_at("quantiles", 1).alias("median_maximum_similarity"))
+        if by:
+            sums = attach(sums, middle, list(by), "left")
+        else:
+            row = middle.first()  # one number
+            sums = sums.withColumn("median_maximum_similarity", F.lit(row and row[0]).cast("double"))
     n, done, bad = (F.col(c) for c in ("total_incidents", "automated_incidents", "unsafe_decisions"))
     return sums.select(
         *by, n, done, (n - done).alias("abstained_incidents"),

@@ -83,6 +83,35 @@ def running_totals(
     return joined.drop("_mid", "_part", *[f"_o_{c}" for c in totals])
 
 
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = (),
+) -> DataFrame:
+    """Linear-interpolated quantiles per group as the array ``quantiles``; nulls don't count.
+
+    Equal values are counted first; positions come from running totals over the sorted
+    distinct values, so no task ever holds them all. Without any value there is no row.
+    """
+    present = df.filter(F.col(value).isNotNull())
+    keys = list(by)
+    if not keys:
+        present, keys = present.withColumn("_all", F.lit(0)), ["_all"]
+    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(counted, [F.col(c) for c in (*keys, value)], {"_n": "_upto"})
+    upto = upto.select(*keys, value, "_n", "_upto")
+    groups = upto.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max("_upto").alias("_end"))
+    placed = attach(upto, groups, keys).withColumn("_at", F.col("_upto") - (F.col("_end") - F.col("_total")))
+
+    def position(q: float) -> Column:
+        return F.lit(float(q)) * (F.col("_total") - 1)
+
+    found = placed.groupBy(*keys, "_total").agg(*[
+        F.min(F.when(F.col("_at") > edge(position(q)), F.col(value))).alias(f"_{side}{i}")
+        for i, q in enumerate(quantiles) for side, edge in (("low", F.floor), ("high", F.ceil))])
+    return found.select(*by, F.array(*[
+        F.col(f"_low{i}") + (position(q) - F.floor(position(q))) * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+        for i, q in enumerate(quantiles)]).alias("quantiles"))
+
+
 def rows_at(df: DataFrame, positions: Sequence[int], *order: str) -> dict[int, Row]:
     """The order keys found at the given positions. Only key columns are sorted."""
     keys = dense_index(df.select(*order), *[F.col(c) for c in order])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from logsift import constants as C
 from logsift.functions import risk
+from logsift.operators.ordering import exact_quantiles
 
 
 def grid_cell(value: Column, grid: Sequence[float]) -> Column:
@@ -72,12 +73,10 @@ def best_f1_threshold(
 
 def score_quantiles(scores: DataFrame, quantiles: Sequence[float], score: str = "score") -> list[float]:
     """Exact linear-interpolated quantiles: a handful of numbers for the driver."""
-    found = scores.agg(
-        F.percentile(score, F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
-    ).first()["q"]
+    found = exact_quantiles(scores, score, quantiles).first()
     if found is None:
         raise ValueError("Quantiles need at least one score.")
-    return [float(v) for v in found]
+    return [float(v) for v in found["quantiles"]]
 
 
 def select_blend(
