@@ -141,6 +141,11 @@ def _results(spark, results: dict, experiment: str):
     return out.select("experiment", "method", "metric", F.round("value", 4).alias("value"))
 
 
+def _seeds(run) -> dict:
+    """``run(seed)`` gives results by tag; all seeds of the study, tagged seed/tag."""
+    return {f"{seed}/{tag}": row for seed in C.STUDY_SEEDS for tag, row in run(seed).items()}
+
+
 @query("f9_transfer_fit")
 def _(spark, sf):
     return _results(spark, holdout.transfer_fit(window_incidents(spark, sf).persist(), block_incidents(spark, sf).persist()), "transfer")
@@ -148,19 +153,20 @@ def _(spark, sf):
 
 @query("f10_few_shot_adapt")
 def _(spark, sf):
-    return _results(spark, holdout.few_shot_adapt(
-        block_incidents(spark, sf).persist(), window_incidents(spark, sf).persist(), 7, (60, 300, 600)), "few_shot")
+    source, target = block_incidents(spark, sf).persist(), window_incidents(spark, sf).persist()
+    return _results(spark, _seeds(lambda seed: holdout.few_shot_adapt(source, target, seed)), "few_shot")
 
 
 @query("f11_target_only_few_shot")
 def _(spark, sf):
-    return _results(spark, holdout.target_only_few_shot(window_incidents(spark, sf).persist(), 7), "target_only")
+    target = window_incidents(spark, sf).persist()
+    return _results(spark, _seeds(lambda seed: holdout.target_only_few_shot(target, seed)), "target_only")
 
 
 @query("f12_domain_ensemble")
 def _(spark, sf):
-    return _results(spark, {600: holdout.domain_ensemble(
-        block_incidents(spark, sf).persist(), window_incidents(spark, sf).persist(), 7)}, "ensemble")
+    source, target = block_incidents(spark, sf).persist(), window_incidents(spark, sf).persist()
+    return _results(spark, _seeds(lambda seed: {600: holdout.domain_ensemble(source, target, seed)}), "ensemble")
 
 
 @query("f13_feedback_candidate")
@@ -627,14 +633,15 @@ def _(spark, sf):
 
 @query("h15_temporal_backtest")
 def _(spark, sf):
-    return _results(spark, holdout.temporal_backtest(window_incidents(spark, sf).persist(), 7), "backtest")
+    docs = window_incidents(spark, sf).persist()
+    return _results(spark, _seeds(lambda seed: holdout.temporal_backtest(docs, seed)), "backtest")
 
 
 @query("h16_locked_holdout_evaluation")
 def _(spark, sf):
     split = splits.locked_holdout(window_incidents(spark, sf), number="doc_pos").persist()
     development, locked = (split.filter(F.col("period") == p).drop("period") for p in ("development", "locked"))
-    return _results(spark, {7: holdout.locked_holdout_evaluation(development, locked, 7)}, "locked_holdout")
+    return _results(spark, _seeds(lambda seed: {600: holdout.locked_holdout_evaluation(development, locked, seed)}), "locked_holdout")
 
 
 @query("h17_retrieval_policy_metrics", f"""WITH {HYBRID_VOTES}, d AS (SELECT *, top_similarity >= 0.05 AND unanimous AS auto FROM votes)

@@ -117,3 +117,46 @@ def test_tfidf_rows_have_unit_norm(spark, corpus):
     terms = D.tfidf_terms(docs, D.fit_vocabulary(docs, D.RETRIEVAL))
     norms = terms.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert all(r["n"] == pytest.approx(1.0) for r in norms)
+
+
+def test_tenants_share_ids_and_never_evidence(spark):
+    from logsift.operators import investigation as I
+    from logsift.plans import investigate as plan
+
+    orgs, words = ("a", "b", None), {"a": "alpha", "b": "beta", None: "gamma"}
+    empty, steps = F.array().cast("array<string>"), F.array(F.lit("look"))
+    books = spark.createDataFrame([(o, "KB-1", 1, f"disk full {words[o]}", f"cause-{words[o]}") for o in orgs],
+                                  "organization string, id string, doc_pos long, title string, root_cause string")
+    books = books.select("*", F.lit("runbook").alias("kind"), F.lit("svc").alias("service"), F.lit("").alias("resolution"),
+                         empty.alias("symptoms"), steps.alias("steps"), empty.alias("tags"))
+    asked = spark.createDataFrame([(o, "i-1", "disk full") for o in orgs], "organization string, incident_id string, log_text string")
+    events = asked.select("organization", "incident_id", F.lit(0).alias("pos"), F.lit("").alias("timestamp"), F.lit("svc").alias("service"),
+                          F.lit("").alias("severity"), F.lit("disk full").alias("message"))
+    deployments = spark.createDataFrame([("b", "d-1", "svc")], "organization string, id string, service string")
+    done = plan.investigate(asked, events, books, deployments, semantic_weight=0.0, minimum_evidence=0.05, scope=("organization",))
+    found = {(r.organization, r.incident_id): (r.id, r.title, r.root_cause) for r in done.evidence.collect()}
+    assert found == {(o or "", "i-1"): ("KB-1", f"disk full {words[o]}", f"cause-{words[o]}") for o in orgs}
+    assert {(r.organization, r.cause) for r in done.hypotheses.collect()} == {(o or "", f"cause-{words[o]}") for o in orgs}
+    assert [(r.organization, r.deployments) for r in done.deployments.collect()] == [("b", 1)]
+    assert done.checks.count() == 3
+    flagged = I.affected_by_deployment(I.incident_summary(events.fillna(""), ["organization"]), deployments, ["organization"])
+    assert {r.organization for r in flagged.filter("deployed").collect()} == {"b"}
+
+
+def test_vectors_may_be_missing(spark):
+    known = spark.createDataFrame([(0, 0, None), (1, 1, [1.0, 0.0]), (2, 2, None)], "doc_id long, doc_pos long, embedding array<double>")
+    asked = spark.createDataFrame([(7, None), (8, [1.0, 0.0])], "query_id long, embedding array<double>")
+    found = R.search_batch(asked, R.build_index(known, None), 2, semantic_weights=(1.0,)).collect()
+    assert {(r.query_id, r.rank, r.doc_id, r.score) for r in found} == {(7, 1, 2, 0.0), (7, 2, 1, 0.0), (8, 1, 1, 1.0), (8, 2, 2, 0.0)}
+    none = R.search_batch(asked.filter("query_id = 7"), R.build_index(known.filter("doc_id <> 1"), None), 1, semantic_weights=(1.0,)).collect()
+    assert [(r.doc_id, r.score) for r in none] == [(2, 0.0)]
+
+
+def test_exact_quantiles(spark):
+    from logsift.operators.ordering import exact_quantiles
+
+    values = [0.5, 0.5, 0.1, 0.9, None, 0.7, 0.2]
+    df = spark.createDataFrame([(g, v) for g in "xy" for v in values[: 4 if g == "y" else None]], "g string, v double")
+    found = {r.g: r.quantiles for r in exact_quantiles(df, "v", [0.0, 0.3, 1.0], ["g"]).collect()}
+    assert found["x"] == pytest.approx([0.1, 0.35, 0.9]) and found["y"] == pytest.approx([0.1, 0.46, 0.9])
+    assert exact_quantiles(df.filter("v > 5"), "v", [0.5]).collect() == []
