@@ -365,6 +365,28 @@ def _(spark, sf):
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+@query("e10_stored_index", f"""WITH {LEXICAL}
+SELECT query_id, doc_id, rank, label, round(score, 6) AS score FROM ranked""")
+def _(spark, sf):
+    docs, labels = masked(spark, sf).persist(), T.labelled(spark, sf)
+    known = docs.join(labels, "doc_id").withColumn("doc_pos", F.col("doc_id"))
+    path = A.scratch(spark, "evidence-index") + "/version-1"
+    R.save_index(R.build_index(known), path)
+    index = R.load_index(spark, path)
+    asked = docs.join(labels, "doc_id", "left_anti").withColumnRenamed("doc_id", "query_id")
+    found = R.with_documents(R.search_batch(asked, index), index, "label")
+    return found.select("query_id", "doc_id", "rank", "label", F.round("score", 6).alias("score"))
+
+
+@query("d7_encoder", """SELECT doc_id, round(length(text) / sqrt(length(text)::DOUBLE ^ 2 + 1), 6) AS first,
+  2 AS width FROM documents""")
+def _(spark, sf):
+    def encoder(texts):  # a stand-in for a caller's model
+        return [[float(len(t)), 1.0] for t in texts]
+    found = V.embed_texts(T.documents(spark, sf).select("doc_id", "text"), encoder)
+    return found.select("doc_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.size("embedding").alias("width"))
+
+
 TENANT = "CASE {0} % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END"  # a third has no organization
 
 

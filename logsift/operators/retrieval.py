@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logsift import constants as C
 from logsift.functions import text as X
@@ -72,6 +73,29 @@ def build_index(
     return EvidenceIndex(documents, vectors, vocabulary, _blocks(documents), scope)
 
 
+def save_index(index: EvidenceIndex, path: str) -> None:
+    """Write an index as tables under ``path`` (one folder per version), to be searched many times."""
+    index.documents.write.parquet(f"{path}/documents")
+    index.vectors.write.parquet(f"{path}/vectors")
+    about = {"blocks": index.blocks, "scope": list(index.scope), "options": None}
+    if index.vocabulary is not None:
+        index.vocabulary.terms.write.parquet(f"{path}/terms")
+        about["options"] = {**asdict(index.vocabulary.options), "stop_words": list(index.vocabulary.options.stop_words)}
+    spark = index.documents.sparkSession
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load_index(spark: SparkSession, path: str) -> EvidenceIndex:
+    """An index as ``save_index`` wrote it."""
+    about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
+    vocabulary = None
+    if about["options"] is not None:
+        options = D.TextOptions(**{**about["options"], "stop_words": tuple(about["options"]["stop_words"])})
+        vocabulary = D.Vocabulary(spark.read.parquet(f"{path}/terms"), options, tuple(about["scope"]))
+    return EvidenceIndex(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/vectors"),
+                         vocabulary, about["blocks"], tuple(about["scope"]))
+
+
 def search_batch(
     queries: DataFrame,
     index: EvidenceIndex,

@@ -40,11 +40,11 @@ def stream_count_windows(
                 yield pd.DataFrame([emit(keys[0], emitted, held)])
             return
         fresh = pd.concat(list(batches))
-        rows = held + sorted(zip(fresh[order], fresh[message], fresh[alert]))
-        done = []
-        while len(rows) >= size:
-            done.append(emit(keys[0], emitted, rows[:size]))
-            rows, emitted = rows[size:], emitted + 1
+        fresh = fresh.sort_values([order, message, alert])
+        rows = held + list(fresh[[order, message, alert]].itertuples(index=False, name=None))
+        full = len(rows) // size
+        done = [emit(keys[0], emitted + w, rows[w * size : (w + 1) * size]) for w in range(full)]
+        rows, emitted = rows[full * size :], emitted + full
         orders, messages, alerts = ([r[i] for r in rows] for i in range(3))
         state.update((emitted, [int(o) for o in orders], messages, [int(a) for a in alerts]))
         if timeout_ms is not None:
