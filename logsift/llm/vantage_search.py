@@ -10,7 +10,7 @@ the query's ring from the half's) reaches the query's ``k``-th best so far; fact
 the search exact, more prunes earlier. Leaves are compared by matrix products.
 
 Equal vectors form one class with its ``k + 1`` smallest ids, which is all that any query
-can return of it, so copies cost one entry; classes are made by partial aggregation.
+can return of it, so copies cost one entry, however many there are.
 
 Vectors that are null, zero, of another length than the most common one (ties: the longer)
 or hold null or non-finite components take no part, as base or as query. Ties go to the
@@ -175,10 +175,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0) -> D
     usable = usable.where(F.size("vector") == F.lit(width)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     usable = cut(usable.withColumn("norm", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
     longest = usable.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0] * (1 + 1e-12)
-    # k + 1 smallest ids of a class: Spark keeps partial ones small by dealing ids over salts first
-    salted = usable.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(
-        F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    classes = cut(salted.groupBy("vector").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
+    # k + 1 smallest ids of a class: Spark cuts each task's share to as many before the shuffle
+    smallest = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    few = usable.select("vector", "vec_id", smallest.alias("place")).where(F.col("place") <= k + 1)
+    classes = cut(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     queries = cut(usable.where(is_query(F.col("vec_id"))).select("vec_id", "vector"))
     shards, groups = -(-classes.count() // SHARD_ROWS), -(-queries.count() // QUERY_GROUP)
     if not shards or not groups:
