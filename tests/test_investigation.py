@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C, schemas as S
 from logsift.operators import audit, investigation as I
-from logsift.plans.investigate import investigate
+from logsift.operators import metrics as H
+from logsift.plans.investigate import configuration_trials, investigate
 
 KNOWLEDGE = [
     ("INC-1", "incident", "Payment database connection pool exhaustion", "payment-api",
@@ -74,3 +75,18 @@ def test_upsert_counts_versions(spark):
     rows = {r["organization_id"]: r for r in audit.upsert_profiles(current, audit.last_per_key(incoming, "organization_id", "seq"), now).collect()}
     assert {k: (r["display_name"], r["knowledge_version"]) for k, r in rows.items()} == {"a": ("A2", 5), "b": ("B", 1), "c": ("C", 1)}
     assert rows["a"]["created_at"] < rows["a"]["updated_at"] and rows["b"]["updated_at"] == rows["b"]["created_at"]
+
+
+def test_configuration_search_runs_all_trials(spark):
+    incidents, events, knowledge, deployments = inputs(spark)
+    vector = F.array(F.lit(1.0), F.lit(0.0))
+    cases = incidents.select(
+        "incident_id", "log_text", vector.alias("embedding"), F.lit(C.ENGINEER_REVIEW).alias("decision"), F.lit("INC-1").alias("expected_evidence_id"),
+        F.when(F.col("incident_id") == "a", "database_connection_pool_exhaustion").alias("expected_root_cause"))
+    embedded = knowledge.withColumn("embedding", F.when(F.col("kind") == "incident", F.array(F.lit(0.6), F.lit(0.8))))
+    trials = configuration_trials(cases, events, embedded, deployments).collect()
+    assert {(t["semantic_weight"], t["minimum_evidence"]) for t in trials} == {(w, e) for w in C.INVESTIGATION_WEIGHTS for e in C.INVESTIGATION_EVIDENCE}
+    assert all(t["known_cases"] == 1 and t["unknown_cases"] == 1 for t in trials)
+    best = H.select_investigation_config(spark.createDataFrame(trials)).first()
+    top = max(0.5 * t["unknown_abstention_rate"] + 0.35 * t["known_top_1_accuracy"] + 0.15 * (t["known_hypothesis_precision"] or 0) for t in trials)
+    assert abs(best["objective"] - top) < 1e-9

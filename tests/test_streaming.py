@@ -47,3 +47,20 @@ def test_counters_on_a_table(spark):
     assert [r["requests"] for r in got] == [2]
     latency = counters.windowed_latency(rows.select(F.col("t").cast("timestamp").alias("created_at"), F.lit(0.3).alias("seconds"))).first()
     assert latency["le_0_25"] == 0 and latency["le_0_5"] == 2 and latency["le_inf"] == 2
+
+
+def test_streamed_triage_equals_batch_triage(spark, tmp_path):
+    from logsift.plans import holdout
+    from logsift.plans.triage import cited_triage, triage as decide
+
+    kinds = {0: "service ok request served from cache", 1: "fatal error disk failed on node"}
+    docs = spark.createDataFrame(
+        [(f"d{i}", i, f"{kinds[i % 2]} unit{i % 5} rack{i % 7}", i % 2) for i in range(120)], "doc_id string, doc_pos long, text string, label int")
+    fitted = holdout.fit_triage(docs.filter("doc_pos < 60"), docs.filter("doc_pos between 60 and 89"), conservative=False)
+    later = docs.filter("doc_pos >= 90").select("doc_id", "text")
+    query = triage.stream_triage(stream_of(spark, later, str(tmp_path / "in")), fitted, str(tmp_path / "out"), str(tmp_path / "ck"), "stream")
+    query.awaitTermination()
+    streamed = {(r.incident_id, r.recommendation, round(r.top_similarity, 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert streamed == {(r.doc_id, r.recommendation, round(r.top_similarity, 9)) for r in decide(later, fitted).collect()} and len(streamed) == 30
+    cited = cited_triage(later.limit(3), fitted).collect()
+    assert {r.query_id for r in cited} == {r.doc_id for r in later.limit(3).collect()} and all(r.template for r in cited)
