@@ -57,7 +57,7 @@ def without_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their SentencePiece ids, each decoded again and compared."""
-    decoded = pieces.decode(pieces.encode(docs))
+    decoded = pieces.encode_and_decode(docs)
     return decoded.select(*docs.columns, "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
 
 

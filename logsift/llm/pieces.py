@@ -36,7 +36,7 @@ MODEL = os.environ.get("LLM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 _UNIT = re.compile(f" +[^ \n{SPACE}]*|\n|{SPACE}|[^ \n{SPACE}]+")
 #: Segmented words that a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Positions of words that are segmented together.
 CELLS = 1 << 20
 
@@ -215,6 +215,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shared):
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)),
                                            mask=pa.array([p is None for p in packed]))
             yield pa.RecordBatch.from_arrays([*some.columns, ids], names=[*some.schema.names, "ids"])
+    pieces.remembered.clear()  # the worker process outlives the task
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -242,6 +243,18 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.mapInArrow(lambda b: _decode(b, shared), schema)
 
 
+def _both(batches: Iterator[pa.RecordBatch], shared):
+    return _decode(_encode(batches, shared), shared)
+
+
+def encode_and_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """``decode(encode(docs))`` with one worker process and one automaton for a task."""
+    rows = docs.drop("ids", "decoded").withColumn("text", F.col("text").cast("string"))
+    shared = _shared_model(docs.sparkSession, model)
+    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", ids array<int>, decoded string"
+    return rows.mapInArrow(lambda b: _both(b, shared), schema)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """Counts, a digest of the ids in order, and whether decoding restored the text."""
     return decoded.select(

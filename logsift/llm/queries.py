@@ -126,5 +126,4 @@ def _(spark, sf):
 
 @query("op10_sentencepiece")
 def _(spark, sf):
-    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
-    return pieces.digests(pieces.decode(encoded))
+    return pieces.digests(pieces.encode_and_decode(table(spark, sf, "documents").select("doc_id", "text")))
