@@ -5,10 +5,11 @@ same document or another, is removed. Strings are judged on the input, overlaps
 
 Consecutive windows that share a minimiser travel as one string to a bucket, where a string
 is kept once however often it occurs. Strings of one minimiser can share windows; they are
-laid end to end (each closed by a symbol of its own), cut into tokens before each word, and
-their suffixes put in order by ``suffix_groups``. A window that starts inside a token is
-ordered by the bytes up to the next token and that token's suffix. In this order equal
-windows are neighbours, so one comparison with the next window finds the repeated ones.
+laid end to end (each closed by a symbol of its own), cut into tokens of a few words at
+places that three neighbouring bytes decide, and the suffixes of the token sequence are put
+in order by ``suffix_groups``. A window that starts inside a token is ordered by the bytes
+up to the next cut and the suffix there. In this order equal windows are neighbours, so one
+comparison with the next window finds the repeated ones.
 Windows compare by a 64-bit hash of their bytes within an order that already groups them.
 
 Texts with whole copies are known from digests and only serve as a source for the others.
@@ -20,35 +21,25 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.routing import Bucket, Runs, distinct_texts, route
-from logsift.llm.shared import checked_broadcast, cut
-from logsift.llm.substring_dedup import normalised
+from logsift.llm.shared import checked_broadcast, cut, one_row_per_id
 from logsift.llm.suffix_groups import suffix_order
 
 GRAM = 32
 SPREAD = 3.2
-#: Bytes of the strings whose suffixes are ordered together; strings of one minimiser are
-#: never divided.
+#: Bytes of the strings whose suffixes are ordered together; strings that can share windows
+#: are never divided.
 ORDER_BYTES = 1 << 20
 
-_SPACES = b" \t\n\v\f\r"
-_UNUSED = {0xC0, 0xC1, *range(0xF5, 0x100)}  # never in UTF-8
-#: Spaces below a closing mark (7) below all other bytes: then tokens sort as their bytes do.
-_ORDERED = bytearray(256)
-for _k, _b in enumerate(_SPACES):
-    _ORDERED[_b] = _k + 1
-for _k, _b in enumerate(b for b in range(256) if b not in _SPACES and b not in _UNUSED):
-    _ORDERED[_b] = _k + 8
-_TOKEN = re.compile(rb"[^\x01-\x06]+[\x01-\x06]*|[\x01-\x06]+")
-_PIECE = 2 << 20
+#: Bytes of text whose windows are looked at together.
+_PIECE = 1 << 20
 _PLACE_BITS = np.uint64(23)
 
 
@@ -77,7 +68,7 @@ def _window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
 def _runs(length: int):
     def make(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[int, Runs]]:
         ids = ids.to_numpy()
-        for part in T.slices(texts):
+        for part in T.slices(texts, _PIECE):
             total = len(part.data)
             for first in range(0, max(1, total - length + 1), _PIECE):  # one piece, but for a very long text
                 piece = part.data[first : first + _PIECE + length - 1]
@@ -97,12 +88,14 @@ def _runs(length: int):
                 gram = (least[start] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
                 row = np.searchsorted(part.bounds, start + first, "right") - 1
                 raw = piece.tobytes()
-                packed = [raw[a : b + length - 1] for a, b in zip(start.tolist(), stop.tolist())]
+                # the minimiser's place in the string leads it
+                lead = (gram - start).astype("<u2").tobytes()
+                packed = [lead[2 * k : 2 * k + 2] + raw[a : b + length - 1] for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist()))]
                 yield len(piece), Runs(T.mix(value[gram] ^ np.uint64(0x9E37)), packed, ids[part.first + row], start + first - part.bounds[row])
     return make
 
 
-@functools.lru_cache(maxsize=1)
+@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base = 0x5851F42D4C957F2D
@@ -113,39 +106,38 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(strings: list[bytes], length: int) -> np.ndarray:
     """For each window of the strings, in order: does an equal one start elsewhere?"""
-    ranks: dict[bytes, int] = {}
-    tokens = [_TOKEN.findall(s.translate(bytes(_ORDERED))) for s in strings]
-    for some in tokens:
-        ranks.update(dict.fromkeys(some, 0))
-    for k, token in enumerate(sorted(ranks, key=lambda t: t + b"\x07")):
-        ranks[token] = k + len(strings)
-    counts = np.array([len(t) for t in tokens])
-    text = np.empty(int(counts.sum()) + len(strings), np.int64)
-    size = np.empty(len(text), np.int64)
-    close = np.cumsum(counts + 1) - 1
-    is_token = np.ones(len(text), bool)
-    is_token[close] = False
-    text[close], size[close] = np.arange(len(strings)), 0
-    text[is_token] = [ranks[t] for some in tokens for t in some]
-    size[is_token] = [len(t) for some in tokens for t in some]
-    order = suffix_order(text)
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.arange(len(text))
-
-    data = np.frombuffer(b"".join(strings), np.uint8)
+    raw = b"".join(strings)
+    data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(s) for s in strings])
     begin = np.cumsum(sizes) - sizes
+    # cut behind a space, at a quarter of the pairs of bytes around it
+    cut_here = np.zeros(len(data), bool)
+    cut_here[2:] = ~T.NOT_SPACE[data[1:-1]] & ((data[:-2] * np.uint8(7) + data[2:] * np.uint8(13)) & 3 == 0)
+    cut_here[begin] = True
+    cuts = np.flatnonzero(cut_here)
+    tokens = [raw[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(raw)])]
+    ranks = {t: k + len(strings) for k, t in enumerate(sorted(set(tokens)))}
+    owner = np.searchsorted(begin, cuts, "right") - 1
+    place = np.arange(len(cuts)) + owner  # each string before left a closing symbol
+    text = np.empty(len(cuts) + len(strings), np.int64)
+    text[place] = [ranks[t] for t in tokens]
+    text[np.searchsorted(cuts, begin + sizes) + np.arange(len(strings))] = np.arange(len(strings))
+    rank = np.empty(len(text), np.int64)
+    rank[suffix_order(text)] = np.arange(len(text))
+
     at = T.concatenated_ranges(begin, sizes - length + 1)
-    token_end = np.cumsum(size)
-    token = np.searchsorted(token_end, at, "right")  # the token that holds the window's first byte
-    stop = token_end[token]
-    forward, back = _powers(1 << max(16, len(data).bit_length()))
-    spread = T.mix(np.arange(256, dtype=np.uint64))[data] * forward[: len(data)]
+    # the next cut that no byte before the window decides
+    token = np.minimum(np.searchsorted(cuts, at + 2), len(cuts) - 1)
+    stop = np.where(cuts[token] >= at + 2, cuts[token], len(data))
+    forward, back = _powers(2 * length)  # no string is longer
+    spread = T.mix(np.arange(256, dtype=np.uint64))[data] * forward[T.concatenated_ranges(np.zeros(len(sizes), np.int64), sizes)]
     total = np.concatenate([[np.uint64(0)], np.cumsum(spread, dtype=np.uint64)])
-    whole = (total[at + length] - total[at]) * back[at]
+    shift = back[T.concatenated_ranges(np.zeros(len(sizes), np.int64), sizes - length + 1)]
+    whole = (total[at + length] - total[at]) * shift
     within = stop - at >= length
-    head = np.where(within, whole, (total[stop] - total[at]) * back[at] + (stop - at).astype(np.uint64))
-    following = np.where(within, 0, rank[np.minimum(token + 1, len(rank) - 1)])
+    stop = np.where(within, at, stop)
+    head = np.where(within, whole, (total[stop] - total[at]) * shift + (stop - at).astype(np.uint64))
+    following = np.where(within, 0, rank[place[token]])
     by = np.lexsort((following, head))
     same = whole[by[1:]] == whole[by[:-1]]
     found = np.zeros(len(at), bool)
@@ -154,10 +146,43 @@ def repeated_windows(strings: list[bytes], length: int) -> np.ndarray:
     return found
 
 
+def _neighbours(strings: list[bytes], places: list[int], length: int) -> list[list[int]]:
+    """Strings of one minimiser by what they can share.
+
+    A window reaches at least half of what it has besides the minimiser to one side of it. So
+    two strings with a window in common have that half, on the left or on the right, in
+    common; strings that no chain of equal halves joins can be ordered apart.
+    """
+    half = (length - GRAM) // 2
+    parent = list(range(len(strings)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+    first: dict[tuple[int, bytes], int] = {}
+    for k, (text, at) in enumerate(zip(strings, places)):
+        sides = []
+        if at >= half:
+            sides.append((0, text[at - half : at]))
+        if len(text) >= at + GRAM + half:
+            sides.append((1, text[at + GRAM : at + GRAM + half]))
+        for side in sides:
+            other = root(first.setdefault(side, k))
+            parent[root(k)] = other
+    groups: dict[int, list[int]] = {}
+    for k in range(len(strings)):
+        groups.setdefault(root(k), []).append(k)
+    return [g for g in groups.values() if len(g) > 1]
+
+
 def _judge(length: int):
     def judge(bucket: Bucket):
         times = np.bincount(bucket.entry, minlength=len(bucket.packed))
-        sizes = np.array([len(p) for p in bucket.packed])
+        places = [p[0] | p[1] << 8 for p in bucket.packed]
+        strings = [p[2:] for p in bucket.packed]
+        sizes = np.array([len(s) for s in strings])
         windows = sizes - length + 1
         begin = np.cumsum(windows) - windows
         repeated = np.repeat(times > 1, windows)
@@ -169,12 +194,15 @@ def _judge(length: int):
             nonlocal group, held
             if group:
                 some = np.concatenate(group)
-                found = repeated_windows([bucket.packed[k] for k in some.tolist()], length)
+                found = repeated_windows([strings[k] for k in some.tolist()], length)
                 repeated[T.concatenated_ranges(begin[some], windows[some])] |= found
             group, held = [], 0
 
-        for some in np.split(order, cuts):
-            if len(some) > 1:  # a lone string shares its windows only with its own occurrences
+        edges = np.concatenate([[0], cuts, [len(order)]])
+        for a in np.flatnonzero(np.diff(edges) > 1).tolist():  # a lone string only repeats as a whole
+            own = order[edges[a] : edges[a + 1]].tolist()
+            for near in _neighbours([strings[k] for k in own], [places[k] for k in own], length):
+                some = np.array([own[k] for k in near])
                 group.append(some)
                 held += int(sizes[some].sum())
                 if held >= ORDER_BYTES:
@@ -226,7 +254,8 @@ def _apply(batches: Iterator[pa.RecordBatch], length: int, with_text: bool):
 
 def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) per document."""
-    docs = normalised(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = one_row_per_id(docs.where("doc_id IS NOT NULL"))
     copies, rest, total = distinct_texts(docs)
     spans = cut(route(rest, total, SPREAD, _runs(length), _judge(length)))
     most = spans.selectExpr("max(size(spans)) AS n").first()[0] or 0

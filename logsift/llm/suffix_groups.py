@@ -21,7 +21,8 @@ def lyndon_groups(text: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     n = len(text)
     order = np.argsort(text, kind="stable")
     cuts = np.flatnonzero(np.diff(text[order])) + 1
-    members: list[list[int]] = [part.tolist() for part in np.split(order + 1, cuts)]
+    sorted_places, edges = (order + 1).tolist(), [0, *cuts.tolist(), n]
+    members = [sorted_places[a:b] for a, b in zip(edges, edges[1:])]
     count = len(members)
     group_of = np.zeros(n + 1, np.int64)
     group_of[order + 1] = np.repeat(np.arange(count), np.diff(np.concatenate([[0], cuts, [n]])))
