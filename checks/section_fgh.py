@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from checks import section_abc as A, section_de as E, sql as Q, tables as T
@@ -142,8 +144,13 @@ def _results(spark, results: dict, experiment: str):
 
 
 def _seeds(run) -> dict:
-    """``run(seed)`` gives results by tag; all seeds of the study, tagged seed/tag."""
-    return {f"{seed}/{tag}": row for seed in C.STUDY_SEEDS for tag, row in run(seed).items()}
+    """``run(seed)`` gives results by tag; all seeds of the study, tagged seed/tag.
+
+    A seed is many small jobs one after the other, so the seeds' jobs share the cores.
+    """
+    with ThreadPoolExecutor(len(C.STUDY_SEEDS)) as pool:
+        runs = list(pool.map(run, C.STUDY_SEEDS))
+    return {f"{seed}/{tag}": row for seed, rows in zip(C.STUDY_SEEDS, runs) for tag, row in rows.items()}
 
 
 @query("f9_transfer_fit")
