@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Words are the runs ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in
-lower case. Word hashes tell, for a block of texts at once, which texts hold a rule's
-keyword; only there the rule's pattern runs, over the words joined by one space. A
+lower case. Word hashes tell, for a block of texts at once, which texts hold one of a rule's
+keywords; only there the rule's pattern runs, over the words joined by one space. A
 detection is an interval of words. Detections are taken by priority, then length, then
 place; one that lies inside an interval that was taken before is suppressed. The base
 phrases always stay and suppress nothing.
@@ -37,13 +37,13 @@ def _compiled():
     """Rules with bounded patterns, and the hashes of their keywords."""
     out = [(label, priority, confidence, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"))
            for label, priority, confidence, _, pattern in rules()]
-    keywords = [keyword for *_, keyword, _ in rules()]
-    distinct = sorted(set(keywords))
+    keywords = [set(words.split()) for *_, words, _ in rules()]
+    distinct = sorted(set().union(*keywords))
     raw = np.frombuffer("".join(distinct).encode(), np.uint8)
     stop = np.cumsum([len(k) for k in distinct])
     value = T.hash_spans(raw, np.concatenate([[0], stop[:-1]]), stop)
     order = np.argsort(value)
-    by_keyword: list[list[int]] = [[k for k, w in enumerate(keywords) if w == distinct[i]] for i in order.tolist()]
+    by_keyword: list[list[int]] = [[k for k, w in enumerate(keywords) if distinct[i] in w] for i in order.tolist()]
     return out, value[order], by_keyword
 
 

@@ -133,6 +133,46 @@ def test_license_scan(docs, rows, empty):
     assert license_scan.license_scan(empty).collect() == []
 
 
+def _written(pattern) -> list[str]:
+    """Texts of each alternative of a pattern; signs by class as one of their kind."""
+    out = [""]
+    for kind, value in pattern:
+        kind = str(kind)
+        if kind == "LITERAL":
+            some = [chr(value)]
+        elif kind == "IN":
+            some = [{"LITERAL": lambda v: chr(v), "CATEGORY": lambda v: "1"}[str(k)](v) for k, v in value]
+        elif kind == "BRANCH":
+            some = [t for branch in value[1] for t in _written(branch)]
+        elif kind == "SUBPATTERN":
+            some = _written(value[3])
+        else:
+            assert kind == "MAX_REPEAT", kind
+            some = [""] * (value[0] == 0) + _written(value[2])
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_license_scan_runs_every_rule_that_matches(spark):
+    names = [n for *_, n in license_rules.FAMILIES] + [n for *_, n in license_rules.NOTICES]
+    texts = sorted({t for n in names for t in _written(re._parser.parse(n))})
+    texts = [form.format(t) for form in ("{}", "licensed under {}", "SPDX-License-Identifier: {}", "the {} license") for t in texts]
+    texts += ["licensed under GPL v2", "licensed under the LGPL v2.1", "licensed under MPL v2", "licensed under AGPL-v3.0"]
+    compiled = license_scan._compiled()[0]
+    found = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = " ".join(re.findall("[a-z0-9]+", t.lower()))
+        base, kept = license_scan.detections(words, list(range(len(compiled))))
+        place = lambda c: words[:c].count(" ")
+        assert found[i].spans == ";".join(f"{d[2]}:{place(d[0])}-{place(d[1])}" for d in sorted(base + kept)), t
+    for t, label in (("licensed under GPL2", "gpl-2.0"), ("the GPL3 license", "gpl-3.0"), ("licensed under the LGPL3", "lgpl-3.0"),
+                     ("under license LGPL2.1", "lgpl-2.1"), ("licensed under AGPL3", "agpl-3.0"), ("released under the FreeBSD license", "bsd-2"),
+                     ("MPL2 license", "mpl-2.0"), ("licensed under GPL v2", "gpl-2.0"), ("licensed under LGPL v2.1", "lgpl-2.1"),
+                     ("licensed under MPL v2", "mpl-2.0"), ("without warranty of any kind", "no-warranty")):
+        row = license_scan.license_scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+        assert row.labels == label and row.score > 0, t
+
+
 def test_quality(spark, docs, empty):
     draw = np.random.default_rng(1)
     good = [(1000 + k, " ".join(draw.choice(["the", "of", "house", "river", "walk", "green"], 60))) for k in range(150)]
