@@ -3,8 +3,10 @@ leaks, token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last
 one with the token ids besides. ``run`` writes each stage's rows as Parquet to the shared
-folder and reads them again for the next. Rows without doc_id take no part in the stages
-that compare documents and leave there; of rows that share an id the smallest text stays.
+folder and reads them again for the next. The stages that compare documents do so under a
+key of their own (``row_keys``): rows without doc_id are documents like others, after all
+that have one, and different texts of one id are different documents. Rows with the same id
+(or none) and the same text count once.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logsift.llm import pieces, quality
 from logsift.llm.decontamination import contaminated
 from logsift.llm.near_duplicates import near_duplicates
-from logsift.llm.shared import checked_broadcast, cut, one_row_per_id, shared_folder
+from logsift.llm.shared import checked_broadcast, cut, free_name, one_row_per_key, row_keys, shared_folder
 from logsift.llm.substring_dedup import substring_dedup
 
 
@@ -28,9 +30,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near copies (five-word shingles)."""
-    docs = one_row_per_id(docs.where("doc_id IS NOT NULL"))
-    dropped = cut(near_duplicates(docs, shingle=5).where("NOT kept").select("doc_id"))
-    return docs.join(checked_broadcast(dropped, 32), "doc_id", "left_anti").select(*docs.columns)
+    key = free_name("row_key", docs.columns)
+    keyed, odd = row_keys(docs, key)
+    keyed = one_row_per_key(keyed, key) if odd else keyed
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), shingle=5)
+    dropped = cut(found.where("NOT kept").select(F.col("doc_id").alias(key)))
+    return keyed.join(checked_broadcast(dropped, 32), key, "left_anti").select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,20 +44,27 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     A text that loses nothing stays as it is, the words left of another are joined by one
     space; a document that loses all its words leaves.
     """
-    found = substring_dedup(docs, with_text=True)
+    key = free_name("row_key", docs.columns)
+    keyed, _ = row_keys(docs, key)
+    # the documents' columns under names that no result has
+    own = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    found = substring_dedup(keyed.select(F.col(key).alias("doc_id"), "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()]), with_text=True)
     touched = F.col("n_removed") > 0
     text = F.when(touched, F.col("kept_text")).otherwise(F.col("text"))
-    return (
-        found.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
-        .withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
-    )
+    rows = found.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
+    if "n_chars" in own:
+        rows = rows.withColumn(own["n_chars"], F.when(touched, F.length("text").cast("long")).otherwise(F.col(own["n_chars"])))
+    return rows.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def without_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = cut(contaminated(docs, items).select("doc_id").distinct())
-    return docs.join(checked_broadcast(leaks, 32), "doc_id", "left_anti").select(*docs.columns)
+    key = free_name("row_key", docs.columns)
+    keyed, _ = row_keys(docs, key)
+    found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), items)
+    leaks = cut(found.select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(checked_broadcast(leaks, 32), key, "left_anti").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ a pair is compared in the first bucket that it shares, and only linked pairs lea
 pair of similarity 0.8 shares no band in one of 8 million cases.
 
 Null and empty texts have no shingles, are linked with nothing and form their own
-component. Repeated rows of one id count as one document (the smallest text).
+component. Equal rows of one id count once; different texts of one id are documents of
+their own, each with a row, the one with the smaller digest being the smaller document.
+Rows without id have no row.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm import textbytes as T
-from logsift.llm.shared import checked_broadcast, components, cut
+from logsift.llm.shared import checked_broadcast, components, cut, distinct_documents, with_own_ids
 
 BANDS = 40
 ROWS = 5
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     ``component_id`` is the smallest doc_id reachable over links; ``kept`` marks it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.where(F.col("doc_id").isNotNull())
+    docs, ids = distinct_documents(docs)
     sketched = cut(docs.mapInArrow(lambda b: _sketch(b, shingle), _SKETCH_SQL))
     key = ["n_shingles", "fingerprint"]
     classes = sketched.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
@@ -219,10 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         .join(checked_broadcast(banded, 64), "bucket").distinct()
     )
     candidates = cut(rows.select("doc_id").distinct())
-    texts = cut(
-        docs.join(checked_broadcast(candidates, 32), "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.min("text").alias("text"))
-    )
+    texts = cut(docs.join(checked_broadcast(candidates, 32), "doc_id", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return (
@@ -262,8 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         lambda batches: _meet(batches, percent), "a long, b long")
     labels = components(stars.unionByName(cut(confirmed(pairs.distinct()))))
 
-    everyone = sketched.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(
-        member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left")
+    everyone = sketched.select("doc_id", "n_shingles").join(member.select("doc_id", "class_id"), "doc_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
-    return everyone.join(labels, F.col("class_id") == F.col("node"), "left").select(
+    found = everyone.join(labels, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return with_own_ids(found, ids, "doc_id", "component_id")

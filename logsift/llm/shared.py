@@ -38,16 +38,71 @@ def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Of the rows that share a doc_id the one with the smallest text; rows without id stay."""
-    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keys(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a long ``key``, one for each pair of id and text; False if it is the id itself.
+
+    Keys ascend with the id, for one id with a digest of the text; rows without id come
+    last. Only where an id is missing or repeated does the key differ from the id.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    odd = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
+    if odd.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), False
+    number, digest = f"{key}_id", f"{key}_digest"
+    text = F.col("text").cast("string")
+    named = docs.withColumns({number: F.col("doc_id").cast("long"), digest: F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))})
+    order = [F.col(number).asc_nulls_last(), F.col(digest).asc()]
+    keys = cut(named.select(number, digest).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+               .withColumn(key, F.monotonically_increasing_id()))
+    other = checked_broadcast(keys, 112).select(F.col(number).alias(f"{number}2"), F.col(digest).alias(f"{digest}2"), key)
+    same = F.col(number).eqNullSafe(F.col(f"{number}2")) & (F.col(digest) == F.col(f"{digest}2"))
+    return cut(named.join(other, same).select(*docs.columns, key)), True
+
+
+def one_row_per_key(docs: DataFrame, key: str) -> DataFrame:
+    """One of the rows that share a key, that is, an id and a text."""
+    repeated = cut(docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
     if repeated.isEmpty():
         return docs
+    row = f"{key}_row"
     again = (
-        docs.join(repeated, "doc_id", "left_semi").withColumn("_row", F.struct(*docs.columns))
-        .groupBy("doc_id").agg(F.min_by("_row", F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+        docs.join(repeated, key, "left_semi").select(key, F.struct(*docs.columns).alias(row))
+        .groupBy(key).agg(F.first(row).alias(row)).select(f"{row}.*")
     )
-    return docs.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return cut(docs.join(repeated, key, "left_anti").select(*docs.columns).unionByName(again))
+
+
+def distinct_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with an id, equal ones once, under a unique doc_id: (docs, ids).
+
+    Different texts of one id are documents of their own. Where there are any, ``doc_id`` of
+    the rows is a key that ascends with the id and ``ids`` (key, doc_id) names them again
+    (see ``with_own_ids``); else ``ids`` is None.
+    """
+    docs = docs.where("doc_id IS NOT NULL")
+    keyed, odd = row_keys(docs, "_key")
+    if not odd:
+        return docs, None
+    keyed = one_row_per_key(keyed, "_key")
+    return keyed.withColumn("doc_id", F.col("_key")).select(*docs.columns), keyed.select("_key", "doc_id")
+
+
+def with_own_ids(found: DataFrame, ids: DataFrame | None, *names: str) -> DataFrame:
+    """``found`` with ids in place of the keys in the columns ``names``."""
+    if ids is None:
+        return found
+    columns = found.columns
+    for name in names:
+        found = found.withColumnRenamed(name, "_key").join(checked_broadcast(ids.withColumnRenamed("doc_id", name), 48), "_key").drop("_key")
+    return found.select(*columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ input, not on what is left. Windows compare by 128 bits of hash over their words
 
 A copy of a whole text (same bytes) needs no bucket: each of its windows also starts in
 the smallest copy. Null or empty text: no words. Fewer than ``window`` words: nothing is
-removed. Repeated rows of one id: the smallest text counts, once.
+removed. Equal rows of one id count once; different texts of one id are documents of their
+own, each with a row, the one with the smaller digest being the smaller document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.routing import Bucket, Runs, distinct_texts, route
-from logsift.llm.shared import checked_broadcast, cut, one_row_per_id
+from logsift.llm.shared import checked_broadcast, cut, distinct_documents, with_own_ids
 
 GRAM = 3
 #: Packed bytes per byte of text: runs of about six windows carry thirteen words more.
@@ -153,7 +154,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     docs = docs.select(*[c for c in docs.columns if c not in own and not c.startswith("_")])
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     passed = docs.columns if with_text else ["doc_id"]
-    docs = one_row_per_id(docs.select(*dict.fromkeys([*passed, "text"])).where("doc_id IS NOT NULL"))
+    docs, ids = distinct_documents(docs.select(*dict.fromkeys([*passed, "text"])))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     copies, rest, total = distinct_texts(texts)
     spans = cut(route(rest, total, SPREAD, _runs(window), _judge(window)))
@@ -164,5 +165,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     out = [n for n in docs.columns if n in passed]
     schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes if n in out)
     schema += ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return marked.select(*docs.columns, "_spans", "_copy").mapInArrow(
+    found = marked.select(*docs.columns, "_spans", "_copy").mapInArrow(
         lambda b: _apply(b, window, out, with_text), schema)
+    return with_own_ids(found, ids, "doc_id")

@@ -13,8 +13,9 @@ comparison with the next window finds the repeated ones.
 Windows compare by a 64-bit hash of their bytes within an order that already groups them.
 
 Texts with whole copies are known from digests and only serve as a source for the others.
-Null or empty texts, and texts shorter than ``length``, lose nothing. Repeated rows of one
-id: the smallest text counts, once.
+Null or empty texts, and texts shorter than ``length``, lose nothing. Equal rows of one id
+count once; different texts of one id are documents of their own, each with a row. Rows
+without id have no row.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.routing import Bucket, Runs, distinct_texts, route
-from logsift.llm.shared import checked_broadcast, cut, one_row_per_id
+from logsift.llm.shared import checked_broadcast, cut, distinct_documents, with_own_ids
 from logsift.llm.suffix_groups import suffix_order
 
 GRAM = 32
@@ -255,11 +256,12 @@ def _apply(batches: Iterator[pa.RecordBatch], length: int, with_text: bool):
 def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) per document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = one_row_per_id(docs.where("doc_id IS NOT NULL"))
+    docs, ids = distinct_documents(docs)
     copies, rest, total = distinct_texts(docs)
     spans = cut(route(rest, total, SPREAD, _runs(length), _judge(length)))
     most = spans.selectExpr("max(size(spans)) AS n").first()[0] or 0
     marked = docs.join(checked_broadcast(copies, 48), "doc_id", "left").join(
         checked_broadcast(spans, 64 + 24 * most), "doc_id", "left")
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return marked.select("doc_id", "text", "spans", "first_id").mapInArrow(lambda b: _apply(b, length, with_text), columns)
+    found = marked.select("doc_id", "text", "spans", "first_id").mapInArrow(lambda b: _apply(b, length, with_text), columns)
+    return with_own_ids(found, ids, "doc_id")

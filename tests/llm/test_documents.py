@@ -251,3 +251,16 @@ def _node(model, text):
     for sign in map(ord, text):
         node = int(model.targets[np.searchsorted(model.keys, node << 21 | sign)])
     return node
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    draw = np.random.default_rng(9)
+    x, y, z = (" ".join(draw.choice([f"w{k}" for k in range(3000)], 150)) for _ in range(3))
+    rows = [(1, x), (1, y), (1, x), (2, y), (3, z + " " + x), (None, z)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(table).collect())
+    assert near == [(1, 147, 1, True), (1, 147, 1, True), (2, 147, 1, False), (3, 297, 3, True)]
+    kept = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(table, with_text=True).collect())
+    assert kept == sorted([(1, 150, 0, x), (1, 150, 0, y), (2, 150, 150, ""), (3, 300, 150, z)])
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup(table).collect())
+    assert found == sorted([(1, len(x), len(x)), (1, len(y), len(y)), (2, len(y), len(y)), (3, len(z + " " + x), len(x))])

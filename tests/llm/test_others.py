@@ -118,3 +118,34 @@ def test_pipeline(spark):
     texts = [r.text for r in source.values()]
     lone = [i for i in gone if labels.get(i) == 1 and texts.count(source[i].text) == 1 and not any(t in source[i].text for t in items)]
     assert len(lone) < len(source) * 0.1
+
+
+def _pipeline():
+    path = Path(__file__).parents[2] / "corpus_pipeline.py"
+    spec = importlib.util.spec_from_file_location("corpus_pipeline", path)
+    pipeline = sys.modules["corpus_pipeline"] = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(pipeline)
+    return pipeline
+
+
+def _tables(spark, folder, rows, schema):
+    """A folder of tables: the benchmark has two items, all labels are good."""
+    items = ["which colour does the lake have on a quiet day? it is green like the old glass of a bottle",
+             "who carried those heavy stones up here? nine tired masons from two villages did so in spring"]
+    spark.createDataFrame(rows(*items), schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_keeps_rows_with_missing_and_repeated_ids(spark, tmp_path):
+    draw = np.random.default_rng(12)
+    a, b, c, d, e = (" ".join(draw.choice([f"w{k}" for k in range(3000)], 60)) for _ in range(5))
+    shared = " ".join(a.split()[10:30])
+
+    def rows(one, other):
+        return [(1, a), (1, b), (1, b), (2, b), (None, c), (None, d), (None, a), (None, e + " " + shared), (None, ""), (3, None),
+                (4, one), (4, "short"), (None, f"before {other} after")]
+    sf = _tables(spark, tmp_path, rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.text) for r in _pipeline().run(spark, sf).collect()), key=str)
+    assert found == sorted([(1, a), (1, b), (None, c), (None, d), (None, e), (None, ""), (3, None), (4, "short")], key=str)
