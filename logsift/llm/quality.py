@@ -1,12 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Tokens are runs of letters (A-Z in lower case) and runs of other signs. A token's hash
-names one of ``BUCKETS`` rows. Every row has a fixed sparse index vector; a row's word
-vector is the sum, over the whole corpus, of the index vectors of the tokens up to
-``REACH`` places away in the same text, less the corpus mean and scaled to unit length. A
-document is the mean of its tokens' vectors. Sums of BUCKETS x DIMENSIONS numbers leave
-each task, so what is shuffled depends on the number of tasks and the driver receives a
-table of fixed size.
+Tokens are runs of letters (A-Z in lower case) and runs of other signs, known by 64 bits of
+hash. Every token has a fixed sparse index vector, drawn from its hash, and a word vector of
+its own: the sum, over the whole corpus, of the index vectors of the tokens up to ``REACH``
+places away in the same text, less the corpus mean and scaled to unit length. A document is
+the mean of its tokens' vectors.
+
+Tasks add the contexts of ``MOST_HELD`` tokens at a time and send sums of whole numbers, which
+meet again by token: the table of vectors grows with the vocabulary and lies in the shared
+folder. The ``COMMON`` most frequent vectors are broadcast. What a text has of other tokens is
+counted by text and token and joined with the table, so no token is left out or shares
+another's vector; only how a vector is reached depends on its frequency.
 
 The network is fitted with NumPy on at most ``MOST_LABELLED`` labelled documents (those
 with the smallest hash of their id); this is the one bound, and only labels that
@@ -27,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift.llm import textbytes as T
-from logsift.llm.shared import cut
+from logsift.llm.shared import checked_broadcast, cut
 
-BUCKETS = 1 << 14
 DIMENSIONS = 32
 NONZERO = 4
 REACH = 2
 MOST_LABELLED = 20_000
 HIDDEN = 16
-_BLOCKS = 32
+#: Frequent tokens whose vectors every worker has; the others are joined.
+COMMON = 1 << 18
+#: Distinct tokens whose contexts a task adds up before it sends them.
+MOST_HELD = 1 << 19
 _TOKENS = 1 << 16
 
 #: Bytes by class: 0 separates, letters and digits and non-ASCII 1, other signs 2.
@@ -43,79 +49,219 @@ _KINDS = T.LETTERS.astype(np.uint8)
 _KINDS[(_KINDS == 0) & T.NOT_SPACE] = 2
 
 
-def index_vectors() -> np.ndarray:
-    draw = np.random.default_rng(7)
-    vectors = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32)  # the last row: no token
-    place = np.argsort(draw.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NONZERO]
-    vectors[np.arange(BUCKETS)[:, None], place] = draw.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+_SUMS_SQL = "token long, n long, vector binary"
+
+
+def index_vectors(token: np.ndarray) -> np.ndarray:
+    """One row for each token hash: ``NONZERO`` different places with 1 or -1."""
+    vectors = np.zeros((len(token), DIMENSIONS), np.int8)
+    rows = np.arange(len(token))
+    drawn = T.mix(token ^ np.uint64(0x51ED270B7A4F4C15))
+    for k in range(NONZERO):  # the first free place from a drawn one
+        place = ((drawn >> np.uint64(8 * k)) % np.uint64(DIMENSIONS)).astype(np.int64)
+        while (taken := vectors[rows, place] != 0).any():
+            place = np.where(taken, (place + 1) % DIMENSIONS, place)
+        vectors[rows, place] = np.where((drawn >> np.uint64(40 + k)) & np.uint64(1), 1, -1)
     return vectors
 
 
-def _tokens(part: T.Slice) -> tuple[np.ndarray, T.Words]:
-    found = T.words(part, _KINDS, lower=True)
-    return (found.hash % np.uint64(BUCKETS)).astype(np.int64), found
+def _rows(token: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """Tokens, their number and their sums as bytes of the smallest whole numbers that hold them."""
+    most = np.abs(sums).max(1, initial=0)
+    packed = np.empty(len(sums), object)
+    low = 0
+    for bits, kind in ((7, np.int8), (15, np.int16), (31, np.int32), (63, np.int64)):
+        high = (1 << bits) - 1
+        at = np.flatnonzero((most >= low) & (most <= high))
+        raw, size = sums[at].astype(kind).tobytes(), DIMENSIONS * np.dtype(kind).itemsize
+        packed[at] = [raw[k : k + size] for k in range(0, len(raw), size)]
+        low = high + 1
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n), pa.array(packed.tolist(), pa.binary())], names=["token", "n", "vector"])
+
+
+def _wide(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), DIMENSIONS), np.int64)
+    sizes = np.array([len(p) for p in packed])
+    for kind in (np.int8, np.int16, np.int32, np.int64):
+        at = np.flatnonzero(sizes == DIMENSIONS * np.dtype(kind).itemsize)
+        out[at] = np.frombuffer(b"".join([packed[k] for k in at.tolist()]), kind).reshape(-1, DIMENSIONS)
+    return out
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]):
-    index = index_vectors()
-    total = np.zeros((BUCKETS, DIMENSIONS))
-    count = np.zeros(BUCKETS)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged():
+        token, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
+        return token, np.add.reduceat(np.concatenate([v for _, v in held])[order], heads)
+
+    def sent():
+        token, sums = merged()
+        for first in range(0, len(token), 1 << 14):
+            some = slice(first, first + (1 << 14))
+            yield _rows(token[some].view(np.int64), sums[some, DIMENSIONS].astype(np.int64), sums[some, :DIMENSIONS])
+
     for batch in batches:
         for part in T.slices(batch.column("text")):
-            bucket, found = _tokens(part)
-            for first in range(0, len(bucket), _TOKENS):
-                here = np.arange(first, min(first + _TOKENS, len(bucket)))
-                around = np.zeros((len(here), DIMENSIONS), np.float32)
+            found = T.words(part, _KINDS, lower=True)
+            if not len(found.hash):
+                continue
+            token, own = np.unique(found.hash, return_inverse=True)
+            index = np.vstack([index_vectors(token), np.zeros((1, DIMENSIONS), np.int8)])  # the last row: no token
+            order = np.argsort(own, kind="stable")
+            sums = np.zeros((len(token), DIMENSIONS + 1), np.int32)
+            for first in range(0, len(order), _TOKENS):
+                here = order[first : first + _TOKENS]
+                around = np.zeros((len(here), DIMENSIONS), np.int32)
                 for step in (*range(-REACH, 0), *range(1, REACH + 1)):
-                    there = np.clip(here + step, 0, len(bucket) - 1)
+                    there = np.clip(here + step, 0, len(own) - 1)
                     same = (found.row[there] == found.row[here]) & (there == here + step)
-                    around += index[np.where(same, bucket[there], BUCKETS)]
-                own = bucket[here]
-                for d in range(DIMENSIONS):
-                    total[:, d] += np.bincount(own, around[:, d], BUCKETS)
-                count += np.bincount(own, minlength=BUCKETS)
-    if count.any():
-        rows = np.hstack([total, count[:, None]])
-        for block, some in enumerate(np.split(rows, _BLOCKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([some.tobytes()], pa.binary())], names=["block", "sums"])
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]):
-    sums: dict[int, np.ndarray] = {}
+                    around += index[np.where(same, own[there], len(token))]
+                heads = np.flatnonzero(np.diff(own[here], prepend=-1))
+                sums[own[here[heads]], :DIMENSIONS] += np.add.reduceat(around, heads)
+            sums[:, DIMENSIONS] = np.bincount(own, minlength=len(token))
+            held.append((token, sums))
+            size += len(token)
+            if size > MOST_HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > MOST_HELD // 2:
+                    yield from sent()
+                    held, size = [], 0
+    if held:
+        yield from sent()
+
+
+def _by_token(batches: Iterator[pa.RecordBatch]):
+    """Rows sorted by token: one row for each."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, n, sums = batch.column("token").to_numpy(), batch.column("n").to_numpy(), _wide(batch.column("vector").to_pylist())
+        if last is not None:
+            token, n, sums = (np.concatenate(x) for x in zip(last, (token, n, sums)))
+        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        token, n, sums = token[heads], np.add.reduceat(n, heads), np.add.reduceat(sums, heads)
+        last = token[-1:], n[-1:], sums[-1:]  # the next batch may go on with it
+        if len(token) > 1:
+            yield _rows(token[:-1], n[:-1], sums[:-1])
+    if last is not None:
+        yield _rows(*last)
+
+
+def _totals(batches: Iterator[pa.RecordBatch]):
+    n, sums = 0, np.zeros(DIMENSIONS, np.int64)
     for batch in batches:
-        for block, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-            sums[block] = sums.get(block, 0) + np.frombuffer(raw)
-    if sums:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "sums"])
+        n += int(batch.column("n").to_numpy().sum())
+        sums += _wide(batch.column("vector").to_pylist()).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit word vectors of the hashed vocabulary, from every text."""
-    sums = cut(
-        docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, "block long, sums binary")
-        .repartition(_BLOCKS, "block").mapInArrow(_sum_blocks, "block long, sums binary"))
-    rows = np.zeros((_BLOCKS, BUCKETS // _BLOCKS, DIMENSIONS + 1))
-    for row in sums.collect():  # at most _BLOCKS rows of fixed size
-        rows[row.block] = np.frombuffer(row.sums).reshape(rows.shape[1:])
-    rows = rows.reshape(BUCKETS, DIMENSIONS + 1)
-    total, count = rows[:, :-1], np.maximum(rows[:, -1:], 1)
-    vectors = total / count
-    vectors -= total.sum(0) / max(1.0, rows[:, -1].sum())
-    vectors[rows[:, -1] == 0] = 0
+def unit(sums: np.ndarray, n: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Word vectors of context sums: mean context less the corpus mean, of unit length."""
+    vectors = sums / n[:, None] - mean
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return (vectors / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return (vectors / np.where(norm > 1e-9, norm, 1)).astype(np.float32)
 
 
-def pool(part: T.Slice, vectors: np.ndarray) -> np.ndarray:
-    bucket, found = _tokens(part)
-    sums = np.zeros((len(part), DIMENSIONS))
-    for first in range(0, len(bucket), _TOKENS):
-        some = vectors[bucket[first : first + _TOKENS]].astype(np.float64)
-        row = found.row[first : first + _TOKENS]
-        head = np.flatnonzero(np.diff(row, prepend=-1))
-        sums[row[head]] += np.add.reduceat(some, head)
-    return sums / np.maximum(found.per_row, 1)[:, None]
+def _known(batches: Iterator[pa.RecordBatch], common):
+    """Each text's number of tokens, the sum of its common tokens' vectors and its other tokens."""
+    tokens, vectors = common.value
+    kind = pa.struct([("token", pa.int64()), ("times", pa.int64())])
+    for batch in batches:
+        for part in T.slices(batch.column("text")):
+            found = T.words(part, _KINDS, lower=True)
+            sums = np.zeros((len(part), DIMENSIONS))
+            at = np.minimum(np.searchsorted(tokens, found.hash), max(0, len(tokens) - 1))
+            hit = tokens[at] == found.hash if len(tokens) else np.zeros(len(at), bool)
+            places = np.flatnonzero(hit)
+            for first in range(0, len(places), _TOKENS):
+                here = places[first : first + _TOKENS]
+                row = found.row[here]
+                head = np.flatnonzero(np.diff(row, prepend=-1))
+                sums[row[head]] += np.add.reduceat(vectors[at[here]].astype(np.float64), head)
+            row, token = found.row[~hit], found.hash[~hit]
+            order = np.lexsort((token, row))
+            row, token = row[order], token[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+            head = np.flatnonzero(new)
+            pairs = pa.StructArray.from_arrays([pa.array(token[head].view(np.int64)), pa.array(np.diff(np.append(head, len(row))))], fields=list(kind))
+            stops = np.concatenate([[0], np.cumsum(np.bincount(row[head], minlength=len(part)))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("text_key").slice(part.first, len(part)), pa.array(found.per_row), pa.array([v.tobytes() for v in sums], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pairs)], names=["text_key", "tokens", "sums", "rare"])
+
+
+def _added(batches: Iterator[pa.RecordBatch], mean: np.ndarray):
+    """Rows of one text after the other: (text_key, mean of its tokens' vectors)."""
+    current, tokens, total = None, 0, np.zeros(DIMENSIONS)
+
+    def done(rows):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
+                                          names=["text_key", "pooled"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("text_key").to_pylist()
+        count, times = batch.column("tokens").to_numpy(), batch.column("times").to_numpy()
+        raw, own, rare = batch.column("vector").to_pylist(), np.zeros((len(keys), DIMENSIONS)), times > 0
+        own[~rare] = np.frombuffer(b"".join([r for r, other in zip(raw, rare) if not other])).reshape(-1, DIMENSIONS)
+        sums = _wide([r for r, other in zip(raw, rare) if other])
+        own[rare] = unit(sums, batch.column("n").to_numpy()[rare], mean) * times[rare, None]
+        heads = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]]
+        out = []
+        for k, some, number in zip(heads, np.add.reduceat(own, heads), np.add.reduceat(count, heads)):
+            if keys[k] != current:
+                if current is not None:
+                    out.append((current, total / max(1, tokens)))
+                current, tokens, total = keys[k], 0, np.zeros(DIMENSIONS)
+            tokens, total = tokens + int(number), total + some
+        if out:
+            yield done(out)
+    if current is not None:
+        yield done([(current, total / max(1, tokens))])
+
+
+def text_key() -> Column:
+    """128 bits of a digest of the text; null is empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def pooled_texts(docs: DataFrame) -> DataFrame:
+    """(text_key, pooled) of every distinct text, from a vector for each token of the corpus."""
+    sums = cut(
+        docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, _SUMS_SQL)
+        .repartition("token").sortWithinPartitions("token").mapInArrow(_by_token, _SUMS_SQL))
+    totals = sums.mapInArrow(_totals, "n long, sums binary").collect()  # a row from each task
+    mean = sum((np.frombuffer(r.sums, np.int64) for r in totals), np.zeros(DIMENSIONS)) / max(1, sum(r.n for r in totals))
+    # tokens that occur more often than the first frequency which no longer fits
+    least = 0
+    often = 0
+    for r in sums.groupBy("n").count().orderBy(F.desc("n")).limit(COMMON).collect():  # a row for each frequency
+        often += r["count"]
+        if often > COMMON:
+            least = r["n"]
+            break
+    rows = sums.where(F.col("n") > least).toArrow()  # at most COMMON rows
+    token = rows.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    vectors = unit(_wide(rows.column("vector").to_pylist()), rows.column("n").to_numpy(), mean)
+    common = docs.sparkSession.sparkContext.broadcast((token[order], vectors[order]))
+    known = cut(
+        docs.select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(lambda b: _known(b, common), "text_key binary, tokens long, sums binary, rare array<struct<token: long, times: long>>")
+        .groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("tokens", "sums", "rare")]))
+    parts = known.selectExpr("text_key", "tokens", "0L AS times", "0L AS n", "sums AS vector")
+    if least:
+        others = known.selectExpr("text_key", "inline(rare)").join(sums.where(F.col("n") <= least), "token")
+        parts = parts.unionByName(others.selectExpr("text_key", "0L AS tokens", "times", "n", "vector"))
+        parts = parts.repartition("text_key").sortWithinPartitions("text_key")
+    return cut(parts.mapInArrow(lambda b: _added(b, mean), "text_key binary, pooled binary"))
 
 
 class Network:
@@ -157,48 +303,37 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logits(x) / self.temperature, -30, 30)))
 
 
-def _pooled(batches: Iterator[pa.RecordBatch], vectors):
-    for batch in batches:
-        for part in T.slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(part.first, len(part)), batch.column("label").slice(part.first, len(part)),
-                 pa.array([p.tobytes() for p in pool(part, vectors.value)], pa.binary())], names=["doc_id", "label", "pooled"])
-
-
 def may_learn(doc_id: Column) -> Column:
     """Labels that may be learnt from: crc32 of the id as text, modulo 3, is not 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """The word vectors, broadcast, and the fitted network."""
-    spark = docs.sparkSession
-    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Network]:
+    """(text_key, pooled) of the texts, and the fitted network."""
+    pooled = pooled_texts(docs)
     sample = cut(
         labels.where(may_learn(F.col("doc_id")) & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pooled = known.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(
-        lambda b: _pooled(b, vectors), "doc_id long, label double, pooled binary")
-    rows = sorted({r.doc_id: r for r in pooled.collect()}.items())  # at most MOST_LABELLED ids
-    x = np.array([np.frombuffer(r.pooled) for _, r in rows]).reshape(-1, DIMENSIONS)
-    y = np.array([r.label for _, r in rows])
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    # of several texts of one id the smallest key; at most MOST_LABELLED ids
+    chosen = cut(known.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text_key").alias("text_key")))
+    rows = sorted(pooled.join(checked_broadcast(chosen, 64), "text_key").select("doc_id", "label", "pooled").collect())
+    x = np.array([np.frombuffer(r.pooled) for r in rows]).reshape(-1, DIMENSIONS)
+    y = np.array([r.label for r in rows])
     held = np.array([k % 5 == 0 for k in range(len(rows))], bool)
-    return vectors, Network(x, y, held)
+    return pooled, Network(x, y, held)
 
 
-def _scores(batches: Iterator[pa.RecordBatch], vectors, network: Network):
+def _scores(batches: Iterator[pa.RecordBatch], network: Network):
     for batch in batches:
-        for part in T.slices(batch.column("text")):
-            others = [batch.column(c).slice(part.first, len(part)) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(network.score(pool(part, vectors.value)))],
-                                             names=[*batch.schema.names, "score"])
+        x = np.frombuffer(b"".join(batch.column("pooled").to_pylist())).reshape(-1, DIMENSIONS)
+        yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(network.score(x))], names=["_text_key", "score"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a column ``score``; a column of that name is replaced."""
-    vectors, network = fit(docs, labels)
+    pooled, network = fit(docs, labels)
+    scores = cut(pooled.mapInArrow(lambda b: _scores(b, network), "_text_key binary, score double"))
     rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", score double"
-    return rows.mapInArrow(lambda b: _scores(b, vectors, network), schema)
+    return rows.join(checked_broadcast(scores, 64), text_key() == F.col("_text_key")).select(*rows.columns, "score")

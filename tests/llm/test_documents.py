@@ -264,3 +264,33 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     assert kept == sorted([(1, 150, 0, x), (1, 150, 0, y), (2, 150, 150, ""), (3, 300, 150, z)])
     found = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup(table).collect())
     assert found == sorted([(1, len(x), len(x)), (1, len(y), len(y)), (2, len(y), len(y)), (3, len(z + " " + x), len(x))])
+
+
+@pytest.mark.parametrize("common, held", [(1 << 17, 1 << 17), (5, 40)])
+def test_every_token_has_a_vector_of_its_own(spark, monkeypatch, common, held):
+    monkeypatch.setattr("logsift.llm.quality.COMMON", common)
+    monkeypatch.setattr("logsift.llm.quality.MOST_HELD", held)
+    draw = np.random.default_rng(6)
+    texts = [" ".join(draw.choice([f"t{k}" for k in range(300)], 1 + k)) + "!? x" for k in range(60)] + ["", None, "lone"]
+    texts += texts[:3]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    tokens = {t: re.findall("[a-z0-9]+|[!?]+", t or "") for t in texts}
+    names = sorted({w for own in tokens.values() for w in own})
+    raw = "".join(names).encode()
+    stop = np.cumsum([len(w) for w in names])
+    hashes = quality.T.hash_spans(np.frombuffer(raw, np.uint8), np.concatenate([[0], stop[:-1]]), stop)
+    index = dict(zip(names, quality.index_vectors(hashes).astype(float)))
+    assert all((np.abs(v) == 1).sum() == quality.NONZERO and (v == 0).sum() == quality.DIMENSIONS - quality.NONZERO for v in index.values())
+    total, times = {w: np.zeros(quality.DIMENSIONS) for w in names}, Counter()
+    for t in texts:
+        own = tokens[t]
+        for k, w in enumerate(own):
+            times[w] += 1
+            total[w] = total[w] + sum([index[own[j]] for j in range(max(0, k - 2), min(len(own), k + 3)) if j != k], np.zeros(quality.DIMENSIONS))
+    mean = sum(total.values()) / sum(times.values())
+    vector = {w: (v := total[w] / times[w] - mean) / (np.linalg.norm(v) or 1) for w in names}
+    found = {bytes(r.text_key): np.frombuffer(r.pooled) for r in quality.pooled_texts(table).collect()}
+    assert len(found) == len({t or "" for t in texts})
+    for t in texts:
+        own = found[hashlib.sha256((t or "").encode()).digest()[:16]]
+        assert own == pytest.approx(np.mean([vector[w] for w in tokens[t]], axis=0) if tokens[t] else np.zeros(quality.DIMENSIONS), abs=1e-5)
