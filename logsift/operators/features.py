@@ -194,18 +194,17 @@ def tfidf_terms(
 def vector_rows(
     ids: DataFrame, weighted: DataFrame | None, keys: Sequence[str], extra: Sequence[str] = ()
 ) -> DataFrame:
-    """Long form of vectors for matching: a row per term, and a row per document.
+    """One row per document for matching: ``term_ids``, ``weights`` and ``extra`` columns (position, embedding).
 
-    The document rows carry ``extra`` columns (position, embedding) and stand for
-    documents without any term. Weights are those of ``weigh``; matching norms them.
+    Weights are those of ``weigh``; matching norms them. A document without a term has nulls.
+    ``weighted`` keeps a document's terms in one partition, so only ``ids`` move.
     """
-    rows = ids.select(
-        *keys, F.lit(None).cast("bigint").alias("term_id"),
-        F.lit(None).cast("double").alias("weight"), *extra)
+    rows = ids.select(*keys, *extra)
     if weighted is None:
         return rows
-    terms = weighted.select(*keys, "term_id", "weight")
-    return rows.unionByName(terms, allowMissingColumns=True)
+    terms = weighted.groupBy(*keys).agg(F.collect_list(F.struct("term_id", "weight")).alias("_pairs"))
+    return rows.join(terms, list(keys), "left").select(
+        *keys, *extra, F.col("_pairs.term_id").alias("term_ids"), F.col("_pairs.weight").alias("weights"))
 
 
 def numbered_vocabulary(vocabulary: Vocabulary) -> tuple[Vocabulary, int]:

@@ -1,104 +1,211 @@
-"""E1-E4 at scale: exact top-k by blocks, for sparse, dense or blended similarity.
+"""E1-E4 at scale: exact top-k by packed blocks, for sparse, dense or blended similarity.
 
 Every query must be compared with every indexed incident, because incidents without a
 shared term still rank (with similarity zero) when fewer than k overlap. Emitting those
-pairs as rows would be quadratic, so rows are hashed into query blocks and index blocks,
-a pair of blocks meets in one task as two Arrow tables, a matrix product runs there, and
-only k rows per query leave it. Blocks are sized from row and text counts, and
-identical index texts are cut to k copies beforehand, which cannot change a top-k.
+pairs as rows would be quadratic, so both sides are packed: a row holds a block of some
+thousand documents of one scope with their vectors as arrays. A stored index is a table of such rows.
+
+Query blocks that are counted to fit ``BROADCAST_BYTES`` go to every task, and the index is
+read where it lies: no row of it is shuffled, and a task keeps k matches of each query over all
+blocks it reads. More queries than that meet the index in numbered pairs of blocks,
+one pair after the other in a task, and again only k rows per query leave it.
+
+In a block, terms of many documents are columns of a dense matrix and go through one matrix
+product; the others go through postings. Index texts that are identical are cut to k
+copies beforehand, which cannot change a top-k.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from logsift.operators.ordering import top_per_group
+from logsift.operators.ordering import dense_index, top_per_group
+from logsift.session import cut_lineage
 
 # Scores equal to this many decimals are ties; the later document wins a tie.
 TIE_DECIMALS = 9
-_CELLS = 4_000_000  # scores held at once by a task
-_PAIRS = 4_000_000  # term pairs expanded at once by a task
+# Packed queries up to this size are sent to every task.
+BROADCAST_BYTES = 32 << 20
+# Documents, and term weights and vector components, of a block.
+BLOCK_ROWS = 4_000
+BLOCK_ENTRIES = 500_000
+# A term in this share of a block's documents, or more, is a column of the dense matrix.
+HOT_SHARE = 0.04
+_CELLS = 2_000_000  # scores held at once by a task
+_PAIRS = 2_000_000  # term pairs expanded at once by a task
+_HOT_CELLS = 8_000_000  # dense weights of a block, at most
 
 
-def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """Row numbers of ids by first appearance, and the distinct ids."""
-    encoded = column.combine_chunks()
-    if isinstance(encoded, pa.ChunkedArray):
-        encoded = pa.concat_arrays(encoded.chunks)
-    encoded = encoded.dictionary_encode()
-    return np.asarray(encoded.indices, dtype=np.int64), encoded.dictionary
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start..start+length."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _terms(table: pa.Table, prefix: str, rows: np.ndarray, n: int):
-    """(row, term, unit weight) of the term rows, ordered by row."""
-    present = np.asarray(table[f"{prefix}term_id"].is_valid())
-    rows = rows[present]
-    terms = np.asarray(table[f"{prefix}term_id"].drop_null(), dtype=np.int64)
-    weights = np.asarray(table[f"{prefix}weight"].drop_null(), dtype=np.float64)
-    length = np.sqrt(np.bincount(rows, weights=weights * weights, minlength=n))
-    by_row = np.argsort(rows, kind="stable")
-    return rows[by_row], terms[by_row], (weights / np.where(length > 0, length, 1.0)[rows])[by_row]
+# ---- packing ------------------------------------------------------------------------------
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _dense(column: pa.ChunkedArray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Matrix of the vectors, one per document row; a row without a vector is zero."""
+def _dense(column: pa.Array) -> np.ndarray:
+    """Matrix of the vectors, one row per document; a document without a vector is zero."""
     present = np.asarray(column.is_valid())
-    widths = {w for c in column.chunks for w in pc.unique(pc.list_value_length(c.drop_null())).to_pylist()}
+    known = column.drop_null()
+    widths = pc.unique(pc.list_value_length(known)).to_pylist()
     if len(widths) > 1:
         raise ValueError(f"Vectors differ in length: {sorted(widths)}.")
-    if not widths:
-        return np.zeros((n, 0))
-    flat = np.concatenate([np.asarray(c.drop_null().flatten(), dtype=np.float64) for c in column.chunks])
-    matrix = np.zeros((n, widths.pop()))
-    matrix[rows[present]] = flat.reshape(int(present.sum()), -1)
+    matrix = np.zeros((len(column), widths[0] if widths else 0))
+    if widths:
+        matrix[present] = np.asarray(known.flatten(), dtype=np.float64).reshape(len(known), -1)
     return matrix
 
 
-def _products(queries: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Dot products; zero where one side of the block has no vector at all."""
-    if not queries.shape[1] or not documents.shape[1]:
-        return np.zeros((len(queries), len(documents)))
-    return queries @ documents.T
-
+def _payload(table: pa.Table, id_column: str) -> bytes:
+    """A block as one Arrow message. Postings run by term on the index side, by query otherwise."""
+    ids, indexed = _one(table[id_column]), "doc_pos" in table.column_names
+    n = len(ids)
+    order = np.arange(n)
+    parts: dict[str, pa.Array] = {}
+    if indexed:
+        position = np.asarray(_one(table["doc_pos"]), dtype=np.int64)
+        order = np.argsort(-position, kind="stable")  # later documents first: the earlier column wins a tie
+        parts["position"] = pa.array(position[order])
+    parts["id"] = ids.take(pa.array(order))
+    if "term_ids" in table.column_names:
+        terms = _one(table["term_ids"]).take(pa.array(order))
+        weights = _one(table["weights"]).take(pa.array(order))
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(terms), 0), dtype=np.int64)
+        row = np.repeat(np.arange(n), sizes)
+        term, weight = (np.asarray(c.flatten(), dtype=kind) for c, kind in ((terms, np.int64), (weights, np.float64)))
+        length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
+        weight = weight / np.where(length > 0, length, 1.0)[row]
+        if indexed:
+            by_term = np.argsort(term, kind="stable")
+            row, weight = row[by_term], weight[by_term]
+            term, starts = np.unique(term[by_term], return_index=True)
+            parts["start"] = pa.array(np.append(starts, len(row)))
+        parts |= {"row": pa.array(row.astype(np.int32)), "term": pa.array(term), "weight": pa.array(weight)}
+    if "embedding" in table.column_names:
+        parts["vector"] = pa.array(_dense(_one(table["embedding"]).take(pa.array(order))).ravel())
+    # lists of one row: arrays of different lengths in one message
+    batch = pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in parts.values()], names=list(parts))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _packer(id_column: str, scope: tuple[str, ...], most_rows: int, most_entries: int):
+    """Consecutive rows of one scope as blocks of bounded size."""
+    def entries(table: pa.Table) -> np.ndarray:
+        size = np.ones(table.num_rows, np.int64)
+        for name in ("term_ids", "embedding"):
+            if name in table.column_names:
+                size += np.asarray(pc.fill_null(pc.list_value_length(_one(table[name])), 0), dtype=np.int64)
+        return size
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.Table] = []
+        current, rows, size, kinds = None, 0, 0, None
+
+        def done():
+            table = pa.concat_tables(held)
+            payload = _payload(table, id_column)
+            values = [pa.array([v], kinds.field(c).type) for c, v in zip(scope, current)]
+            block = int.from_bytes(hashlib.blake2b(payload + repr(current).encode(), digest_size=8).digest(), "little", signed=True)
+            return pa.RecordBatch.from_arrays(
+                [*values, pa.array([block]), _one(table[id_column]).slice(0, 1), pa.array([table.num_rows]), pa.array([len(payload)]),
+                 pa.array([payload], pa.binary())], names=[*scope, "block", "first_id", "rows", "bytes", "payload"])
+
+        for batch in batches:
+            table, kinds = pa.Table.from_batches([batch]), batch.schema
+            keys = list(zip(*[table[c].to_pylist() for c in scope])) if scope else [()] * table.num_rows
+            sizes, first = entries(table), 0
+            for at in range(table.num_rows):
+                full = rows == most_rows or size + sizes[at] > most_entries
+                if rows and (full or keys[at] != current):
+                    if at > first:
+                        held.append(table.slice(first, at - first))
+                    yield done()
+                    held, rows, size, first = [], 0, 0, at
+                current, rows, size = keys[at], rows + 1, size + int(sizes[at])
+            if table.num_rows > first:
+                held.append(table.slice(first))
+        if rows:
+            yield done()
+    return pack
+
+
+def pack_blocks(rows: DataFrame, id_column: str, scope: Sequence[str] = (), most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``vector_rows`` as blocks: (scope..., block, first_id, rows, bytes, payload). Rows stay in their partitions.
+
+    ``block`` is a number of its own, from a digest of the block and its scope.
+    """
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in scope)
+    placed = rows.sortWithinPartitions(*scope) if scope else rows
+    kinds += f"block long, first_id {rows.schema[id_column].dataType.simpleString()}, rows long, bytes long, payload binary"
+    return placed.mapInArrow(_packer(id_column, tuple(scope), most_rows, BLOCK_ENTRIES), kinds)
 
-def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenated ranges start..start+length."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
+# ---- matching -----------------------------------------------------------------------------
+class _Block:
+    """The arrays of a payload."""
 
-class _Postings:
-    """Inverted index of one block of documents."""
+    def __init__(self, payload: bytes) -> None:
+        batch = pa.ipc.open_stream(payload).read_next_batch()
+        parts = {name: batch.column(name).flatten() for name in batch.schema.names}
+        self.ids = parts["id"]
+        self.n = len(self.ids)
+        get = lambda name: parts[name].to_numpy(zero_copy_only=False) if name in parts else None
+        self.position, self.start, self.row, self.term, self.weight = map(get, ("position", "start", "row", "term", "weight"))
+        vector = get("vector")
+        self.vectors = vector.reshape(self.n, -1) if vector is not None and len(vector) else np.zeros((self.n, 0))
 
-    def __init__(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> None:
-        by_term = np.argsort(terms, kind="stable")
-        self.docs, self.weights = docs[by_term], weights[by_term]
-        self.terms, self.starts, self.counts = np.unique(
-            terms[by_term], return_index=True, return_counts=True
-        )
-        self.size = size
 
-    def scores(self, queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int):
+class _Postings:
+    """Inverted index of a block, its frequent terms as a dense matrix."""
+
+    def __init__(self, block: _Block) -> None:
+        self.n, self.terms, self.docs, self.weights = block.n, block.term, block.row, block.weight
+        self.starts, self.counts = block.start[:-1], np.diff(block.start)
+        hot = np.flatnonzero(self.counts >= max(8, HOT_SHARE * self.n))
+        hot = hot[np.argsort(-self.counts[hot], kind="stable")][: _HOT_CELLS // max(1, self.n)]
+        self.column = np.full(len(self.terms), -1)
+        self.column[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), self.n))
+        at = _spans(self.starts[hot], self.counts[hot])
+        self.dense[np.repeat(np.arange(len(hot)), self.counts[hot]), self.docs[at]] = self.weights[at]
+
+    def scores(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """Dot products of ``n`` query rows given as (row, term, weight) triples."""
-        result = np.zeros(n * self.size)
-        if len(self.terms) and len(terms):
-            slot = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            known = self.terms[slot] == terms
-            queries, weights, slot = queries[known], weights[known], slot[known]
-            lengths = self.counts[slot]
-            step = np.cumsum(lengths) // _PAIRS
-            for part in range(int(step[-1]) + 1 if len(step) else 0):
-                lo, hi = np.searchsorted(step, [part, part + 1])
-                span = _spans(self.starts[slot[lo:hi]], lengths[lo:hi])
-                cell = np.repeat(queries[lo:hi] * self.size, lengths[lo:hi]) + self.docs[span]
-                value = np.repeat(weights[lo:hi], lengths[lo:hi]) * self.weights[span]
-                result += np.bincount(cell, weights=value, minlength=n * self.size)
-        return result.reshape(n, self.size)
+        if not len(self.terms) or not len(terms):
+            return np.zeros((n, self.n))
+        slot = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[slot] == terms
+        rows, weights, slot = rows[known], weights[known], slot[known]
+        column = self.column[slot]
+        hot = column >= 0
+        asked = np.zeros((n, len(self.dense)))
+        asked[rows[hot], column[hot]] = weights[hot]
+        result = (asked @ self.dense).ravel()
+        rows, weights, slot = rows[~hot], weights[~hot], slot[~hot]
+        lengths = self.counts[slot]
+        step = np.cumsum(lengths) // _PAIRS
+        for part in range(int(step[-1]) + 1 if len(step) else 0):
+            lo, hi = np.searchsorted(step, [part, part + 1])
+            span = _spans(self.starts[slot[lo:hi]], lengths[lo:hi])
+            cell = np.repeat(rows[lo:hi].astype(np.int64) * self.n, lengths[lo:hi]) + self.docs[span]
+            value = np.repeat(weights[lo:hi], lengths[lo:hi]) * self.weights[span]
+            result += np.bincount(cell, weights=value, minlength=len(result))
+        return result.reshape(n, self.n)
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,67 +225,143 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], columns[keep]
 
 
-def _block_matcher(k: int, weights: tuple[float, ...], sparse: bool, dense: bool, scope: tuple[str, ...]):
-    def scoped(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
-        """Matches of a block with the scope that both sides share."""
-        found = match(queries, index)
-        for place, name in enumerate(scope):
-            value = pa.array([key[place].as_py()], type=queries[name].type)
-            found = found.add_column(place, name, value.take(pa.array(np.zeros(found.num_rows, np.int64))))
-        return found
-
-    def match(queries: pa.Table, index: pa.Table) -> pa.Table:
-        parts: list[pa.Table] = []
-        if queries.num_rows and index.num_rows:
-            q_rows, query_ids = _codes(queries["query_id"])
-            d_rows, doc_ids = _codes(index["doc_id"])
-            n_queries, n_docs = len(query_ids), len(doc_ids)
-            marked = np.asarray(index["doc_pos"].is_valid())
-            positions = np.empty(n_docs, dtype=np.int64)
-            positions[d_rows[marked]] = np.asarray(index["doc_pos"].drop_null(), dtype=np.int64)
-            # later documents come first, so that the earlier column wins a tie
-            order = np.argsort(-positions, kind="stable")
-            place = np.empty(n_docs, dtype=np.int64)
-            place[order] = np.arange(n_docs)
-            doc_ids, positions, d_rows = doc_ids.take(pa.array(order)), positions[order], place[d_rows]
-            if sparse:
-                postings = _Postings(*_terms(index, "d_", d_rows, n_docs), n_docs)
-                row, term, value = _terms(queries, "", q_rows, n_queries)
+_FOUND = ("row", "semantic_weight", "doc_id", "doc_pos", "score", "semantic", "lexical")
+
+
+class _Matcher:
+    """Matches of one block of queries over the index blocks that a task sees."""
+
+    def __init__(self, payload: bytes, k: int, weights: tuple[float, ...]) -> None:
+        self.queries, self.k, self.weights = _Block(payload), k, weights
+        self.found: pa.Table | None = None
+
+    def add(self, block: _Block, postings: _Postings | None) -> None:
+        """Keep the k best of what was found before and the matches of a block."""
+        asked, parts = self.queries, [] if self.found is None else [self.found]
+        dense = any(w > 0.0 for w in self.weights) and asked.vectors.shape[1] and block.vectors.shape[1]
+        if dense and asked.vectors.shape[1] != block.vectors.shape[1]:
+            raise ValueError(f"Vectors differ in length: {sorted((asked.vectors.shape[1], block.vectors.shape[1]))}.")
+        step = max(1, _CELLS // max(1, block.n))
+        for lo in range(0, asked.n, step):
+            hi = min(lo + step, asked.n)
+            semantic = lexical = np.zeros((hi - lo, block.n))
+            if postings is not None and asked.row is not None:
+                a, b = np.searchsorted(asked.row, [lo, hi])
+                lexical = postings.scores(asked.row[a:b] - lo, asked.term[a:b], asked.weight[a:b], hi - lo)
             if dense:
-                documents = _dense(index["d_embedding"], d_rows, n_docs)
-                vectors = _dense(queries["embedding"], q_rows, n_queries)
-            batch = max(1, _CELLS // n_docs)
-            for lo in range(0, n_queries, batch):
-                hi = min(lo + batch, n_queries)
-                semantic = lexical = np.zeros((hi - lo, n_docs))
-                if sparse:
-                    a, b = np.searchsorted(row, [lo, hi])
-                    lexical = postings.scores(row[a:b] - lo, term[a:b], value[a:b], hi - lo)
-                if dense:
-                    semantic = _products(vectors[lo:hi], documents)
-                for weight in weights:
-                    blended = weight * semantic + (1.0 - weight) * lexical
-                    rows, columns = _best(blended, k)
-                    parts.append(pa.table({
-                        "query_id": query_ids.take(pa.array(rows + lo)),
-                        "semantic_weight": pa.array(np.full(len(rows), weight)),
-                        "doc_id": doc_ids.take(pa.array(columns)),
-                        "doc_pos": pa.array(positions[columns]),
-                        "score": pa.array(blended[rows, columns]),
-                        "semantic": pa.array(semantic[rows, columns]),
-                        "lexical": pa.array(lexical[rows, columns]),
-                    }))
-        if parts:
-            return pa.concat_tables(parts)
-        empty = np.array([], dtype=np.float64)
-        return pa.table({
-            "query_id": queries["query_id"].slice(0, 0),
-            "semantic_weight": pa.array(empty),
-            "doc_id": index["doc_id"].slice(0, 0),
-            "doc_pos": pa.array(np.array([], dtype=np.int64)),
-            "score": pa.array(empty), "semantic": pa.array(empty), "lexical": pa.array(empty),
-        })
-    return scoped
+                semantic = asked.vectors[lo:hi] @ block.vectors.T
+            for weight in self.weights:
+                blended = weight * semantic + (1.0 - weight) * lexical
+                rows, columns = _best(blended, self.k)
+                parts.append(pa.table([
+                    pa.array(rows + lo), pa.array(np.full(len(rows), weight)), block.ids.take(pa.array(columns)), pa.array(block.position[columns]),
+                    pa.array(blended[rows, columns]), pa.array(semantic[rows, columns]), pa.array(lexical[rows, columns])], names=list(_FOUND)))
+        table = pa.concat_tables(parts)
+        if self.found is not None:
+            row, weight, position, score = (table[c].to_numpy() for c in ("row", "semantic_weight", "doc_pos", "score"))
+            order = np.lexsort((-position, -np.round(score, TIE_DECIMALS), weight, row))
+            new = np.append(True, (np.diff(row[order]) != 0) | (np.diff(weight[order]) != 0))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            table = table.take(pa.array(order[np.arange(len(order)) - head < self.k]))
+        self.found = table.combine_chunks()
+
+    def result(self, names: Sequence[str], values: tuple, kinds: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        if self.found is None:
+            return
+        n = self.found.num_rows
+        rows = self.found.column("row").combine_chunks()
+        columns = [pa.array([v] * n, kind) for v, kind in zip(values, kinds)]
+        table = pa.table([*columns, self.queries.ids.take(rows), *[self.found[c] for c in _FOUND[1:]]], names=[*names, "query_id", *_FOUND[1:]])
+        yield from table.to_batches()
+
+
+def _sparse(weights: tuple[float, ...], block: _Block) -> _Postings | None:
+    return _Postings(block) if block.term is not None and any(w < 1.0 for w in weights) else None
+
+
+def _against_all(queries, k: int, weights: tuple[float, ...], scope: tuple[str, ...]):
+    """Index blocks as they are read against all query blocks of their scope."""
+    def work(batches: Iterator[pa.RecordBatch]):
+        matchers: dict[tuple, list[_Matcher]] = {}
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in scope]
+            for at in range(batch.num_rows):
+                key = tuple(batch.column(c)[at].as_py() for c in scope)
+                if key not in queries.value:
+                    continue
+                if key not in matchers:
+                    matchers[key] = [_Matcher(p, k, weights) for p in queries.value[key]]
+                block = _Block(batch.column("payload")[at].as_py())
+                postings = _sparse(weights, block)
+                for matcher in matchers[key]:
+                    matcher.add(block, postings)
+        for key, some in matchers.items():
+            for matcher in some:
+                yield from matcher.result(scope, key, kinds)
+    return work
+
+
+def _by_pair(k: int, weights: tuple[float, ...], scope: tuple[str, ...]):
+    """Rows sorted by (pair, side): an index block, then the query block it meets."""
+    def work(batches: Iterator[pa.RecordBatch]):
+        held, block = None, None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in scope]
+            for at in range(batch.num_rows):
+                pair, payload = batch.column("pair")[at].as_py(), batch.column("payload")[at].as_py()
+                if batch.column("side")[at].as_py() == 0:
+                    held, block = pair, _Block(payload)
+                    postings = _sparse(weights, block)
+                elif pair == held:
+                    matcher = _Matcher(payload, k, weights)
+                    matcher.add(block, postings)
+                    yield from matcher.result(scope, tuple(batch.column(c)[at].as_py() for c in scope), kinds)
+    return work
+
+
+def _in_pairs(queries: DataFrame, index: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """Index blocks and the query blocks of their scope, dealt out evenly by the number of the pair."""
+    spark = queries.sparkSession
+    keys = [*scope, "_all"]
+    asked = queries.withColumn("_all", F.lit(0)).groupBy(*keys).agg(F.collect_list("block").alias("_asked"))  # numbers only
+    pairs = index.select(*scope, F.lit(0).alias("_all"), "block").join(asked, keys).select(*scope, "block", F.explode("_asked").alias("_asked"))
+    pairs = dense_index(pairs, F.col("block"), F.col("_asked"), name="pair").select("block", "_asked", "pair")
+    left = index.join(pairs.select("block", "pair"), "block").withColumn("side", F.lit(0))
+    right = queries.join(pairs.select(F.col("_asked").alias("block"), "pair"), "block").withColumn("side", F.lit(1))
+    columns = [*scope, "pair", "side", "payload"]
+    tasks = max(1, min(pairs.count(), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return left.select(*columns).unionByName(right.select(*columns)).repartitionById(
+        tasks, (F.col("pair") % tasks).cast("int")).sortWithinPartitions("pair", "side")
+
+
+def match_blocks(
+    queries: DataFrame, index: DataFrame, k: int, *, semantic_weights: Sequence[float] = (0.0,), scope: Sequence[str] = (),
+) -> DataFrame:
+    """Top-k documents of each query and weight from packed blocks; rank 1 is best, ties go to later documents.
+
+    ``queries`` is kept once (its size decides how it travels).
+    """
+    weights, scope = tuple(float(w) for w in semantic_weights), tuple(scope)
+    if any(not 0.0 <= w <= 1.0 for w in weights):
+        raise ValueError("semantic_weight must be between 0 and 1.")
+    queries = cut_lineage(queries)
+    spark = queries.sparkSession
+    size = queries.agg(F.sum("bytes")).first()[0] or 0
+    kinds = "".join(f"{c} {index.schema[c].dataType.simpleString()}, " for c in scope)
+    query_id, doc_id = (df.schema["first_id"].dataType.simpleString() for df in (queries, index))
+    schema = kinds + (
+        f"query_id {query_id}, semantic_weight double, doc_id {doc_id}, doc_pos bigint, score double, semantic double, lexical double")
+    if size <= BROADCAST_BYTES:
+        by_scope: dict[tuple, list[bytes]] = {}
+        for row in queries.select(*scope, "payload").collect():  # at most BROADCAST_BYTES
+            by_scope.setdefault(tuple(row[c] for c in scope), []).append(bytes(row["payload"]))
+        found = index.select(*scope, "payload").mapInArrow(
+            _against_all(spark.sparkContext.broadcast(by_scope), k, weights, scope), schema)
+    else:
+        found = _in_pairs(queries, index, scope).mapInArrow(_by_pair(k, weights, scope), schema)
+    return top_per_group(
+        found, [*scope, "query_id", "semantic_weight"], [F.desc(F.round("score", TIE_DECIMALS)), F.desc("doc_pos")], k)
 
 
 def top_matches(
@@ -188,56 +371,20 @@ def top_matches(
     *,
     semantic_weights: Sequence[float] = (0.0,),
     scope: Sequence[str] = (),
-    query_blocks: int = 8,
-    index_blocks: int = 1,
+    query_blocks: int | None = None,
+    index_blocks: int | None = None,
 ) -> DataFrame:
-    """Top-k documents of each query and weight: rank 1 is best, ties go to later documents.
+    """Top-k documents of each query and weight, both sides as ``vector_rows``.
 
-    Both sides are ``vector_rows``: a row per term (term_id, weight) and one row per
-    document (embedding, and on the index side doc_pos: unique, chronological).
-    A query meets documents of its own scope only; ids may repeat between scopes, so the
-    scope's columns come back with every match.
+    The index side has doc_pos: unique, chronological. A query meets documents of its own
+    scope only; ids may repeat between scopes, so the scope's columns come back with every match.
+    ``query_blocks`` and ``index_blocks`` deal a side out to that many partitions first.
     """
-    for weight in semantic_weights:
-        if not 0.0 <= weight <= 1.0:
-            raise ValueError("semantic_weight must be between 0 and 1.")
-    sparse = any(w < 1.0 for w in semantic_weights)
-    dense = any(w > 0.0 for w in semantic_weights)
-    vectors = (["term_id", "weight"] if sparse else []) + (["embedding"] if dense else [])
-    keys = [*scope, "_query_block", "_index_block"]
-
-    def blocks(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.select("query_id", *scope, *vectors).withColumn(
-        "_query_block", F.pmod(F.xxhash64("query_id"), query_blocks).cast("int")
-    ).withColumn("_index_block", blocks(index_blocks))
-    # both sides may stem from one table: the index side gets names of its own
-    right = index.select(
-        "doc_id", F.col("doc_pos").cast("bigint").alias("doc_pos"),
-        *[F.col(c).alias(f"d_{c}") for c in (*scope, *vectors)],
-        blocks(query_blocks).alias("d_query_block"),
-    ).withColumn("d_index_block", F.pmod(F.xxhash64("doc_id"), index_blocks).cast("int"))
-    right_keys = [*[f"d_{c}" for c in scope], "d_query_block", "d_index_block"]
-    kinds = "".join(f"{c} {queries.schema[c].dataType.simpleString()}, " for c in scope)
-    schema = kinds + (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, semantic_weight double, "
-        f"doc_id {index.schema['doc_id'].dataType.simpleString()}, doc_pos bigint, "
-        "score double, semantic double, lexical double"
-    )
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*right_keys))
-        .applyInArrow(
-            _block_matcher(k, tuple(float(w) for w in semantic_weights), sparse, dense, tuple(scope)), schema
-        )
-    )
-    return top_per_group(
-        found,
-        [*scope, "query_id", "semantic_weight"],
-        [F.desc(F.round("score", TIE_DECIMALS)), F.desc("doc_pos")],
-        k,
-    )
+    sides = []
+    for df, column, number in ((queries, "query_id", query_blocks), (index, "doc_id", index_blocks)):
+        placed = df if number is None else df.repartition(number, *scope, column)
+        sides.append(pack_blocks(placed, column, scope))
+    return match_blocks(*sides, k, semantic_weights=semantic_weights, scope=scope)
 
 
 def reduce_copies(index: DataFrame, k: int, content: Sequence[str], scope: Sequence[str] = ()):

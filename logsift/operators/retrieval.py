@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logsift import constants as C
 from logsift.functions import text as X
 from logsift.operators import features as D
-from logsift.operators.matching import reduce_copies, top_matches
+from logsift.operators.matching import match_blocks, pack_blocks, reduce_copies
 from logsift.operators.ordering import top_per_group
+from logsift.session import cut_lineage
 
 # Rows, and bytes of text and vectors, that a block holds; a task works on one query block
 # and one index block.
 BLOCK_BYTES = 4_000_000
 BLOCK_ROWS = 4_000
+# Documents of a packed index block: the unit that a task reads.
+INDEX_BLOCK_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -25,7 +28,7 @@ class EvidenceIndex:
     """A labelled corpus prepared for search."""
 
     documents: DataFrame  # doc_id, doc_pos, label, text, [scope...] (see in_scope), [embedding]
-    vectors: DataFrame  # vector_rows of the documents
+    packed: DataFrame  # blocks of their vectors (pack_blocks)
     vocabulary: D.Vocabulary | None
     blocks: int
     scope: tuple[str, ...] = ()
@@ -68,15 +71,23 @@ def build_index(
     if options is not None:
         counts = D.term_counts(documents, options, keys).persist()
         vocabulary = D.vocabulary_from_counts(counts, documents, options, scope)
-        weighted = D.weigh(counts, vocabulary, keys).join(reduced.select(*keys), keys, "left_semi")
-    vectors = D.vector_rows(reduced, weighted, keys, extra)
-    return EvidenceIndex(documents, vectors, vocabulary, _blocks(documents), scope)
+        weighted = D.weigh(counts, vocabulary, keys)
+    blocks = _blocks(documents)
+    packed = packed_index(D.vector_rows(reduced, weighted, keys, extra), scope)
+    if options is not None:
+        counts.unpersist()
+    return EvidenceIndex(documents, packed, vocabulary, blocks, scope)
+
+
+def packed_index(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Vectors of documents as blocks, written once: every search reads them."""
+    return cut_lineage(pack_blocks(rows, "doc_id", scope, min(BLOCK_ROWS, INDEX_BLOCK_ROWS)))
 
 
 def save_index(index: EvidenceIndex, path: str) -> None:
     """Write an index as tables under ``path`` (one folder per version), to be searched many times."""
     index.documents.write.parquet(f"{path}/documents")
-    index.vectors.write.parquet(f"{path}/vectors")
+    index.packed.write.parquet(f"{path}/blocks")
     about = {"blocks": index.blocks, "scope": list(index.scope), "options": None}
     if index.vocabulary is not None:
         index.vocabulary.terms.write.parquet(f"{path}/terms")
@@ -92,7 +103,7 @@ def load_index(spark: SparkSession, path: str) -> EvidenceIndex:
     if about["options"] is not None:
         options = D.TextOptions(**{**about["options"], "stop_words": tuple(about["options"]["stop_words"])})
         vocabulary = D.Vocabulary(spark.read.parquet(f"{path}/terms"), options, tuple(about["scope"]))
-    return EvidenceIndex(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/vectors"),
+    return EvidenceIndex(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/blocks"),
                          vocabulary, about["blocks"], tuple(about["scope"]))
 
 
@@ -105,8 +116,8 @@ def search_batch(
 ) -> DataFrame:
     """The k most similar indexed documents of every query.
 
-    ``queries``: query_id, text and/or embedding. A query with blank text raises when it
-    is evaluated, an empty batch gives an empty result. Unknown-term queries still get k
+    ``queries``: query_id, text and/or embedding. They are packed at once; a query with
+    blank text raises, an empty batch gives an empty result. Unknown-term queries still get k
     documents, at similarity zero.
     """
     keys = [*index.scope, "query_id"]
@@ -120,11 +131,8 @@ def search_batch(
         counts = D.term_counts(checked, index.vocabulary.options, keys)
         weighted = D.weigh(counts, index.vocabulary, keys)
     extra = ["embedding"] if "embedding" in queries.columns else []
-    return top_matches(
-        D.vector_rows(queries, weighted, keys, extra), index.vectors, k,
-        semantic_weights=semantic_weights, scope=index.scope,
-        query_blocks=_blocks(queries), index_blocks=index.blocks,
-    )
+    asked = pack_blocks(D.vector_rows(queries, weighted, keys, extra), "query_id", index.scope, BLOCK_ROWS)
+    return match_blocks(asked, index.packed, k, semantic_weights=semantic_weights, scope=index.scope)
 
 
 def with_documents(matches: DataFrame, index: EvidenceIndex, *columns: str) -> DataFrame:

@@ -93,6 +93,64 @@ def test_dense_blend_and_weights(spark):
         M.top_matches(queries, index, 1, semantic_weights=(1.5,))
 
 
+@pytest.mark.parametrize("sent, hot, rows", [(32 << 20, 0.04, 4000), (0, 0.04, 9), (32 << 20, 2.0, 7), (0, 0.0, 4000)])
+def test_blocks_by_broadcast_or_in_pairs(spark, corpus, monkeypatch, sent, hot, rows):
+    """Queries sent to all tasks or met in pairs; terms all, some or none in the dense matrix."""
+    docs, queries = corpus
+    monkeypatch.setattr(M, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(R, "BLOCK_ROWS", rows)
+    known = spark.createDataFrame([(o, f"d{i:03}", i, t, i % 2) for o in (None, "a") for i, t in enumerate(docs)],
+                                  "organization string, doc_id string, doc_pos long, text string, label int")
+    asked = spark.createDataFrame([(o, i, t) for o in (None, "a", "none of it") for i, t in enumerate(queries)], "organization string, query_id long, text string")
+    index = R.build_index(known, scope=("organization",))
+    assert index.packed.agg(F.sum("rows")).first()[0] < 2 * len(docs)  # copies are cut
+    found = R.search_batch(asked, index).collect()
+    expected_rows = expected(docs, queries, 3)
+    for o in ("", "a"):
+        assert {(r.query_id, r["rank"], int(r.doc_id[1:])) for r in found if r.organization == o} == expected_rows
+    assert len(found) == 2 * len(expected_rows)
+
+
+def test_postings_equal_the_plain_product(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    sides = []
+    for name, n in (("doc_id", 90), ("query_id", 40)):
+        terms = [sorted(draw.choice(60, draw.integers(0, 25), replace=False, p=np.arange(60, 0, -1) / 1830).tolist()) for _ in range(n)]
+        table = {name: list(range(n)), "term_ids": [t or None for t in terms], "weights": [draw.random(len(t)).tolist() or None for t in terms]}
+        sides.append((terms, table | ({"doc_pos": list(range(n))} if name == "doc_id" else {})))
+    kinds = [("term_ids", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))]
+    blocks, full = [], []
+    for (terms, table), name in zip(sides, ("doc_id", "query_id")):
+        arrow = pa.table({c: pa.array(v, dict(kinds).get(c, pa.int64())) for c, v in table.items()})
+        blocks.append(M._Block(M._payload(arrow, name)))
+        matrix = np.zeros((len(terms), 60))
+        for k, t in enumerate(terms):
+            matrix[k, t] = table["weights"][k] or 0
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        full.append(matrix[::-1] if name == "doc_id" else matrix)  # later documents first
+    block, asked = blocks
+    for share, pairs in ((0.0, 10**6), (0.2, 50), (9.0, 7)):
+        monkeypatch.setattr(M, "HOT_SHARE", share)
+        monkeypatch.setattr(M, "_PAIRS", pairs)
+        found = M._Postings(block).scores(asked.row, asked.term, asked.weight, asked.n)
+        assert np.allclose(found, full[1] @ full[0].T, atol=1e-12)
+
+
+def test_stored_index_is_read_where_it_lies(spark, corpus, tmp_path):
+    docs, queries = corpus
+    known = spark.createDataFrame([(i, i, t, i % 2) for i, t in enumerate(docs)], "doc_id long, doc_pos long, text string, label int")
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
+    R.save_index(R.build_index(known), str(tmp_path / "v1"))
+    found = R.search_batch(asked, R.load_index(spark, str(tmp_path / "v1")))
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()} == expected(docs, queries, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    scan = plan[: plan.index("MapInArrow")]  # above the blocks' scan only matches move
+    assert "Join" not in plan and "Repartition" not in plan and plan.count("Relation [") == 1 and "Window" in scan
+
+
 def test_reduced_copies_keep_the_latest(spark):
     df = spark.createDataFrame([(i, i, "same") for i in range(50)] + [(99, 99, "other")], "doc_id long, doc_pos long, text string")
     assert sorted(r["doc_id"] for r in M.reduce_copies(df, 3, ["text"]).collect()) == [47, 48, 49, 99]
