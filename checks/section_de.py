@@ -119,6 +119,13 @@ def _(spark, sf):
         X.feature_tokens(F.col("text")), C.ENGLISH_STOP_WORDS)).alias("tokens"))
 
 
+TENANT = "CASE {0} % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END"  # a third has no organization
+
+
+def tenant(column: str):
+    return F.expr(TENANT.format(column))
+
+
 # ---- E: lexical search of labelled documents -------------------------------------------------
 def document_search(spark, sf, k=C.TOP_K):
     """Top-k labelled documents of every unlabelled one; columns query_id, rank, doc_id, score, label."""
@@ -305,22 +312,45 @@ def _(spark, sf):
     return cited.select("query_id", "doc_id", "template", "line_rank", F.round("score", 6).alias("score"))
 
 
-@query("e8_keyword_evidence", f"""WITH e AS (SELECT user_id AS incident_id, event_id AS pos, ['database','network','application'][1 + user_id % 3] AS cause,
+_MESSAGES = """WITH e AS (SELECT {own}, event_id AS pos, {cause} AS cause,
     lower(CASE event_type WHEN 'error' THEN 'dns exception query' WHEN 'click' THEN 'Packet to upstream' WHEN 'view' THEN 'db handler version' ELSE 'ok' END || ' ' || props) AS m FROM events),
 h AS (SELECT *, CASE cause WHEN 'database' THEN contains(m,'db')::INT + contains(m,'postgres')::INT + contains(m,'query')::INT
    WHEN 'network' THEN contains(m,'packet')::INT + contains(m,'dns')::INT + contains(m,'upstream')::INT
    ELSE contains(m,'exception')::INT + contains(m,'handler')::INT + contains(m,'version')::INT END AS hits FROM e)
-SELECT incident_id, pos, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY hits DESC, pos) AS rank
-  FROM h WHERE hits > 0) WHERE rank <= 3""")
-def _(spark, sf):
+SELECT {keys}, pos, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY hits DESC, pos) AS rank
+  FROM h WHERE hits > 0) WHERE rank <= 3"""
+
+
+def messages(spark, sf):
     e = T.table(spark, sf, "events")
     message = F.concat_ws(" ", F.when(F.col("event_type") == "error", "dns exception query")
                           .when(F.col("event_type") == "click", "Packet to upstream")
                           .when(F.col("event_type") == "view", "db handler version").otherwise("ok"), F.col("props"))
-    events = e.select(F.col("user_id").alias("incident_id"), F.col("event_id").alias("pos"), message.alias("message"))
-    causes = e.select(F.col("user_id").alias("incident_id")).distinct().withColumn(
-        "root_cause", F.element_at(F.array(F.lit("database"), F.lit("network"), F.lit("application")),
-                                   (F.col("incident_id") % 3 + 1).cast("int")))
+    return e.select("user_id", F.col("event_id").alias("pos"), message.alias("message"))
+
+
+def cause_of(number):
+    return F.element_at(F.array(F.lit("database"), F.lit("network"), F.lit("application")), (number % 3 + 1).cast("int"))
+
+
+@query("e8_tenant_keyword_evidence", _MESSAGES.format(
+    own=f"coalesce({TENANT.format('user_id')}, '') AS organization, user_id // 6 AS incident_id",
+    cause="['database','network','application'][1 + user_id % 3]", keys="organization, incident_id"))
+def _(spark, sf):
+    own = [tenant("user_id").alias("organization"), F.floor(F.col("user_id") / 6).alias("incident_id")]
+    rows = messages(spark, sf)
+    # incidents of one number differ in their cause between tenants
+    causes = rows.select(*own, cause_of(F.col("user_id")).alias("root_cause")).distinct()
+    found = R.keyword_evidence(rows.select(*own, "pos", "message"), causes, scope=("organization",))
+    return found.select("organization", "incident_id", "pos", "hits", "rank")
+
+
+@query("e8_keyword_evidence", _MESSAGES.format(
+    own="user_id AS incident_id", cause="['database','network','application'][1 + user_id % 3]", keys="incident_id"))
+def _(spark, sf):
+    events = messages(spark, sf).withColumnRenamed("user_id", "incident_id")
+    e = T.table(spark, sf, "events")
+    causes = e.select(F.col("user_id").alias("incident_id")).distinct().withColumn("root_cause", cause_of(F.col("incident_id")))
     return R.keyword_evidence(events, causes).select("incident_id", "pos", "hits", "rank")
 
 
@@ -387,13 +417,6 @@ def _(spark, sf):
     return found.select("doc_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.size("embedding").alias("width"))
 
 
-TENANT = "CASE {0} % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END"  # a third has no organization
-
-
-def tenant(column: str):
-    return F.expr(TENANT.format(column))
-
-
 def per_tenant(sql: str, select: str) -> str:
     """``sql`` (CTEs over benchmark and conversations) for each tenant; ids repeat between tenants."""
     def of(t: int) -> str:
@@ -426,9 +449,9 @@ def _(spark, sf):
     return found.select("organization", "incident_id", "id", "rank", "title", "root_cause", F.round("score", 6).alias("score"))
 
 
-def _tenant_sql() -> str:
-    return f"""WITH d AS (SELECT doc_id // 3 AS doc_id, doc_id IN (SELECT doc_id FROM labels) AS known,
-  coalesce({TENANT.format('doc_id')}, '') AS org, lower(text) AS text FROM documents),
+def _tenant_sql(select: str) -> str:
+    return f"""WITH {T.LABELLED}, d AS (SELECT doc_id // 3 AS doc_id, label IS NOT NULL AS known, label,
+  coalesce({TENANT.format('doc_id')}, '') AS org, lower(text) AS text FROM documents LEFT JOIN labelled USING (doc_id)),
 k AS (SELECT * FROM d WHERE known), q AS (SELECT * FROM d WHERE NOT known),
 c AS (SELECT doc_id, org, known, term, count(*) AS tf FROM (SELECT doc_id, org, known, unnest({Q.grams('toks')}) AS term
   FROM (SELECT doc_id, org, known, {Q.tokens('text')} AS toks FROM d)) GROUP BY 1, 2, 3, 4),
@@ -438,18 +461,44 @@ r AS (SELECT doc_id, org, known, term, tf * idf AS w FROM c JOIN voc USING (org,
 v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY org, known, doc_id)) AS u FROM r),
 p AS (SELECT a.org, a.doc_id AS query_id, b.doc_id, sum(a.u * b.u) AS score FROM v a JOIN v b ON a.org = b.org AND a.term = b.term
   WHERE NOT a.known AND b.known GROUP BY 1, 2, 3),
-s AS (SELECT q.org, q.doc_id AS query_id, k.doc_id, k.text, coalesce(p.score, 0.0) AS score FROM q JOIN k USING (org) LEFT JOIN p
-  ON p.org = q.org AND p.query_id = q.doc_id AND p.doc_id = k.doc_id)
-SELECT org AS organization, query_id, doc_id, rank, md5(text) AS content, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
-  PARTITION BY org, query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 3"""
+s AS (SELECT q.org, q.doc_id AS query_id, k.doc_id, k.text, k.label, coalesce(p.score, 0.0) AS score FROM q JOIN k USING (org) LEFT JOIN p
+  ON p.org = q.org AND p.query_id = q.doc_id AND p.doc_id = k.doc_id),
+ranked AS (SELECT org AS organization, query_id, doc_id, rank, text, label, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY org, query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 3),
+votes AS (SELECT organization, query_id, max(score) FILTER (rank = 1) AS top_similarity, max(label) FILTER (rank = 1) AS evidence_label,
+  min(label) = max(label) AS unanimous, CAST(sum(label) AS BIGINT) AS anomaly_votes, count(*) AS matches FROM ranked GROUP BY 1, 2)
+{select}"""
 
 
-@query("e11_tenant_index", _tenant_sql())
-def _(spark, sf):
+def tenant_search(spark, sf):
+    """Each tenant's unlabelled documents against its labelled ones; ids repeat between the three tenants."""
     docs = T.documents(spark, sf).select("doc_id", tenant("doc_id").alias("organization"), F.lower("text").alias("text"))
     own = F.floor(F.col("doc_id") / 3)
     known = docs.join(T.labelled(spark, sf), "doc_id").withColumn("doc_id", own).withColumn("doc_pos", F.col("doc_id"))
     asked = docs.join(T.labelled(spark, sf), "doc_id", "left_anti").select(own.alias("query_id"), "organization", "text")
     index = R.build_index(known, D.DEMO, scope=("organization",))
-    found = R.with_documents(R.search_batch(asked, index), index, "text")
-    return found.select("organization", "query_id", "doc_id", "rank", F.md5("text").alias("content"), F.round("score", 6).alias("score"))
+    return R.with_documents(R.search_batch(asked, index), index, "text", "label")
+
+
+@query("e11_tenant_index", _tenant_sql(
+    "SELECT organization, query_id, doc_id, rank, md5(text) AS content, round(score, 6) AS score FROM ranked"))
+def _(spark, sf):
+    return tenant_search(spark, sf).select(
+        "organization", "query_id", "doc_id", "rank", F.md5("text").alias("content"), F.round("score", 6).alias("score"))
+
+
+@query("e6_tenant_summary", _tenant_sql("""SELECT organization, query_id, CASE WHEN NOT top_similarity >= 0.2 THEN 'NEEDS_HUMAN_REVIEW'
+    WHEN anomaly_votes > matches / 2.0 THEN 'LIKELY_ANOMALY' ELSE 'LIKELY_NORMAL' END AS recommendation,
+  round(top_similarity, 6) AS top_similarity, round(anomaly_votes / matches, 6) AS anomaly_vote_ratio FROM votes"""))
+def _(spark, sf):
+    found = R.evidence_summary(tenant_search(spark, sf), 0.2, scope=("organization",))
+    return found.select("organization", "query_id", "recommendation", F.round("top_similarity", 6).alias("top_similarity"),
+                        F.round("anomaly_vote_ratio", 6).alias("anomaly_vote_ratio"))
+
+
+@query("g15_tenant_decision", _tenant_sql("""SELECT organization, query_id, CASE WHEN top_similarity >= 0.2 AND unanimous AND evidence_label = 1 THEN 'LIKELY_ANOMALY'
+    WHEN top_similarity >= 0.2 AND unanimous THEN 'LIKELY_NORMAL' ELSE 'NEEDS_HUMAN_REVIEW' END AS recommendation,
+  evidence_label, unanimous, anomaly_votes FROM votes"""))
+def _(spark, sf):
+    found = R.retrieval_decision(tenant_search(spark, sf), 0.2, scope=("organization",))
+    return found.select("organization", "query_id", "recommendation", "evidence_label", "unanimous", "anomaly_votes")

@@ -191,23 +191,46 @@ def _(spark, sf):
     return ledger.select("incident_id", "id", "kind", "title", F.array_join("steps", "|").alias("steps"))
 
 
-@query("i8_validate_citations", f"""WITH {E.EVIDENCE}, n AS (SELECT id AS incident_id, text,
+CITED = f"""{E.EVIDENCE}, n AS (SELECT id AS incident_id, text,
     ['KB-' || (CAST(id AS BIGINT) % 40), 'KB-' || (length(text) % 40)] AS cited FROM asked),
 bad AS (SELECT incident_id, count(DISTINCT c) AS unsupported FROM (SELECT incident_id, unnest(cited) AS c FROM n) x
-  WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.incident_id = x.incident_id AND e.id = x.c) GROUP BY 1)
-SELECT incident_id, coalesce(unsupported, 0) AS unsupported, CASE WHEN coalesce(unsupported, 0) > 0 THEN 'outside ledger'
-  WHEN length(text) % 3 = 0 THEN 'incomplete' ELSE 'accepted' END AS outcome FROM n LEFT JOIN bad USING (incident_id)""")
-def _(spark, sf):
+  WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.incident_id = x.incident_id AND e.id = x.c) GROUP BY 1)"""
+OUTCOME = """incident_id, coalesce(unsupported, 0) AS unsupported, CASE WHEN coalesce(unsupported, 0) > 0 THEN 'outside ledger'
+  WHEN length(text) % 3 = 0 THEN 'incomplete' ELSE 'accepted' END AS outcome FROM n LEFT JOIN bad USING (incident_id)"""
+
+
+def _explanations(incidents, *scope):
     size = F.length("log_text")
-    outputs = E.turn_incidents(spark, sf).select(
-        F.col("incident_id").alias("output_id"), "incident_id", F.col("log_text").alias("explanation"),
+    return incidents.select(
+        *scope, F.col("incident_id").alias("output_id"), "incident_id", F.col("log_text").alias("explanation"),
         F.when(size % 3 == 0, " ").otherwise("some").alias("uncertainty"),
         F.array(F.concat(F.lit("KB-"), (F.col("incident_id").cast("bigint") % 40).cast("string")),
                 F.concat(F.lit("KB-"), (size % 40).cast("string"))).alias("cited_evidence_ids"))
-    checked = I.validate_citations(outputs, I.evidence_ledger(E.turn_evidence(spark, sf)))
+
+
+@query("i8_validate_citations", f"WITH {CITED} SELECT {OUTCOME}")
+def _(spark, sf):
+    checked = I.validate_citations(_explanations(E.turn_incidents(spark, sf)), I.evidence_ledger(E.turn_evidence(spark, sf)))
     return checked.select("incident_id", "unsupported", F.coalesce("reason", F.lit("accepted")).alias("outcome"))
 
 
+def _tenant_ledger(spark, sf):
+    index = I.knowledge_index(E.tenant_knowledge(spark, sf), scope=("organization",))
+    return I.evidence_ledger(I.knowledge_evidence(E.tenant_incidents(spark, sf), index, semantic_weight=0.0), ("organization",))
+
+
+@query("i7_tenant_ledger", E.per_tenant(E.EVIDENCE, "incident_id, id, kind, title, array_to_string(steps, '|') AS steps FROM evidence"))
+def _(spark, sf):
+    return _tenant_ledger(spark, sf).select("organization", "incident_id", "id", "kind", "title", F.array_join("steps", "|").alias("steps"))
+
+
+@query("i8_tenant_citations", E.per_tenant(CITED, OUTCOME))
+def _(spark, sf):
+    outputs = _explanations(E.tenant_incidents(spark, sf), "organization")
+    checked = I.validate_citations(outputs, _tenant_ledger(spark, sf), ("organization",))
+    return checked.select("organization", "incident_id", "unsupported", F.coalesce("reason", F.lit("accepted")).alias("outcome"))
+
+
 @query("i9_tenant_knowledge", f"""WITH {A.KNOWLEDGE} SELECT 'ARCH-' || s_name AS id, 'architecture' AS kind, 'Service context for ' || s_name AS title,
   array_to_string(list_filter([s_name, n_name, 'dep-' || (s_suppkey % 3)], lambda x: x <> ''), '|') AS tags FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT id, kind, title, array_to_string(CASE WHEN len(tags) = len(list_distinct(tags)) THEN tags

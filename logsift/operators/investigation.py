@@ -15,7 +15,7 @@ from logsift import constants as C
 from logsift.functions import text as X
 from logsift.operators.features import KNOWLEDGE, TextOptions
 from logsift.operators.ordering import attach, top_per_group
-from logsift.operators.retrieval import build_index, search_batch
+from logsift.operators.retrieval import build_index, in_scope, search_batch
 
 
 def incident_summary(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -206,23 +206,26 @@ def plan_checks(evidence: DataFrame, hypotheses: DataFrame, k: int = 6, scope: S
         *key, "rank", "step", F.col("at.source_id").alias("source_id"))
 
 
-def evidence_ledger(evidence: DataFrame) -> DataFrame:
-    """The facts an explanation may cite."""
+def evidence_ledger(evidence: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The facts an explanation may cite, with the scope they belong to."""
     return evidence.filter(F.coalesce("id", F.lit("")) != "").select(
-        "incident_id", "id", "kind", "title", "root_cause", "resolution", "steps")
+        *scope, "incident_id", "id", "kind", "title", "root_cause", "resolution", "steps")
 
 
-def validate_citations(outputs: DataFrame, ledger: DataFrame) -> DataFrame:
+def validate_citations(outputs: DataFrame, ledger: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """I8: adds ``reason`` (null if accepted) to explanations.
 
-    ``outputs``: output_id, incident_id, explanation, uncertainty, cited_evidence_ids.
+    ``outputs``: scope, output_id, incident_id, explanation, uncertainty, cited_evidence_ids.
+    Evidence counts for the incident of its own scope only.
     """
-    cited = outputs.select("output_id", "incident_id", F.explode("cited_evidence_ids").alias("id"))
-    outside = cited.join(ledger.select("incident_id", "id"), ["incident_id", "id"], "left_anti")
-    flagged = outside.groupBy("output_id").agg(F.count_distinct("id").alias("unsupported"))
+    outputs, ledger = in_scope(outputs, scope), in_scope(ledger, scope)
+    facts, own = [*scope, "incident_id", "id"], [*scope, "output_id"]
+    cited = outputs.select(*own, "incident_id", F.explode("cited_evidence_ids").alias("id"))
+    outside = cited.join(ledger.select(*facts), facts, "left_anti")
+    flagged = outside.groupBy(*own).agg(F.count_distinct("id").alias("unsupported"))
     blank = (X.strip(F.coalesce("explanation", F.lit(""))) == "") | (
         X.strip(F.coalesce("uncertainty", F.lit(""))) == "")
-    return outputs.join(flagged, "output_id", "left").withColumn(
+    return outputs.join(flagged, own, "left").withColumn(
         "unsupported", F.coalesce("unsupported", F.lit(0).cast("bigint"))
     ).withColumn(
         "reason",

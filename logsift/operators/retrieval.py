@@ -153,12 +153,16 @@ def evidence_aggregate(matches: DataFrame, *keys: str) -> DataFrame:
 
 
 def evidence_summary(
-    matches: DataFrame, minimum_similarity: float = 0.55, key: str = "query_id"
+    matches: DataFrame, minimum_similarity: float = 0.55, key: str = "query_id", scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Majority vote of the matches, review when the best one is too weak."""
-    votes = evidence_aggregate(matches, key)
+    """Majority vote of the matches, review when the best one is too weak.
+
+    After a scoped search ids may repeat between tenants: pass the same ``scope``.
+    """
+    votes = evidence_aggregate(matches, *scope, key)
     strong = F.col("top_similarity") >= minimum_similarity
     return votes.select(
+        *scope,
         key,
         F.when(~strong, C.NEEDS_REVIEW)
         .when(F.col("anomaly_votes") > F.col("matches") / 2, C.LIKELY_ANOMALY)
@@ -174,11 +178,16 @@ def retrieval_decision(
     matches: DataFrame,
     minimum_score: float = C.DEPLOYED_MINIMUM_SCORE,
     key: str = "query_id",
+    scope: Sequence[str] = (),
 ) -> DataFrame:
-    """The common label of the matches if the best one is strong enough."""
-    votes = evidence_aggregate(matches, key)
+    """The common label of the matches if the best one is strong enough.
+
+    ``scope`` as in the search that found them.
+    """
+    votes = evidence_aggregate(matches, *scope, key)
     passed = (F.col("top_similarity") >= minimum_score) & F.col("unanimous")
     return votes.select(
+        *scope,
         key,
         F.when(passed & (F.col("evidence_label") == 1), C.LIKELY_ANOMALY)
         .when(passed, C.LIKELY_NORMAL)
@@ -203,12 +212,14 @@ def cite_lines(
     keys: Sequence[str] = ("query_id", "doc_id"),
     query: str = "query_text",
     evidence: str = "evidence_text",
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """The evidence lines that share most technical tokens with the query.
 
-    One row per cited line. Equal lines of one text count once, at their first place;
+    One row per cited line of a pair, which is named by ``scope`` and ``keys``. Equal lines of one text count once, at their first place;
     equal scores (to four decimals) keep the order of the text.
     """
+    keys = [*scope, *keys]
     lines = (
         pairs.withColumn("_query_tokens", X.meaningful_tokens(F.col(query)))
         .select(
@@ -226,22 +237,27 @@ def cite_lines(
         .select(*keys, "template", "score", "_pos")
     )
     return top_per_group(
-        scored, list(keys), [F.desc(F.round("score", 4)), F.asc("_pos")], max_lines, "line_rank"
+        scored, keys, [F.desc(F.round("score", 4)), F.asc("_pos")], max_lines, "line_rank"
     ).drop("_pos")
 
 
-def keyword_evidence(events: DataFrame, causes: DataFrame, key: str = "incident_id") -> DataFrame:
+def keyword_evidence(
+    events: DataFrame, causes: DataFrame, key: str = "incident_id", scope: Sequence[str] = (),
+) -> DataFrame:
     """Up to three events naming most keywords of the predicted cause.
 
-    ``events``: key, pos, message. ``causes``: key, root_cause.
+    ``events``: scope, key, pos, message. ``causes``: scope, key, root_cause.
     """
+    keys = [*scope, key]
+    events, causes = in_scope(events, scope), in_scope(causes, scope)
     hits = F.lit(0)
     for cause, words in C.CAUSE_EVIDENCE_KEYWORDS.items():
         found = sum(
             (F.lower("message").contains(word).cast("int") for word in words), F.lit(0)
         )
         hits = F.when(F.col("root_cause") == cause, found).otherwise(hits)
-    scored = events.join(causes.select(key, "root_cause"), key).withColumn("hits", hits)
+    # a key's events are cut to three in every partition before they meet
+    scored = events.join(causes.select(*keys, "root_cause"), keys).withColumn("hits", hits)
     return top_per_group(
-        scored.filter(F.col("hits") > 0), [key], [F.desc("hits"), F.asc("pos")], 3
+        scored.filter(F.col("hits") > 0), keys, [F.desc("hits"), F.asc("pos")], 3
     )

@@ -201,6 +201,54 @@ def test_tenants_share_ids_and_never_evidence(spark):
     assert {r.organization for r in flagged.filter("deployed").collect()} == {"b"}
 
 
+def test_votes_and_citations_stay_in_their_scope(spark):
+    """Two organizations that share incident, query, document and evidence ids."""
+    from logsift.operators import investigation as I
+
+    org = ("organization",)
+    matches = spark.createDataFrame(
+        [(o, "q", rank, f"d{rank}", 0.9, label) for o, label in (("a", 1), ("b", 0)) for rank in (1, 2, 3)],
+        "organization string, query_id string, rank int, doc_id string, score double, label int")
+    assert {(r.organization, r.recommendation) for r in R.retrieval_decision(matches, 0.5, scope=org).collect()} == {
+        ("a", C.LIKELY_ANOMALY), ("b", C.LIKELY_NORMAL)}
+    assert {(r.organization, r.anomaly_vote_ratio) for r in R.evidence_summary(matches, scope=org).collect()} == {("a", 1.0), ("b", 0.0)}
+    evidence = spark.createDataFrame(
+        [("a", "i", "KB-1"), ("b", "i", "KB-2"), (None, "i", "KB-3")], "organization string, incident_id string, id string").select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("kind", "title", "root_cause", "resolution", "steps")])
+    outputs = spark.createDataFrame(
+        [(o, "x", "i", "because", "low", cited) for o, cited in (("a", ["KB-1"]), ("b", ["KB-1", "KB-2"]), (None, ["KB-3"]), ("a2", ["KB-3"]))],
+        "organization string, output_id string, incident_id string, explanation string, uncertainty string, cited_evidence_ids array<string>")
+    checked = I.validate_citations(outputs, I.evidence_ledger(R.in_scope(evidence, org), org), org)
+    assert {(r.organization, r.reason) for r in checked.collect()} == {("a", None), ("b", "outside ledger"), ("", None), ("a2", "outside ledger")}
+    events = spark.createDataFrame([(o, "i", k, m) for o in "ab" for k, m in enumerate(("dns", "db query"))],
+                                   "organization string, incident_id string, pos int, message string")
+    causes = spark.createDataFrame([("a", "i", "network"), ("b", "i", "database")], "organization string, incident_id string, root_cause string")
+    assert {(r.organization, r.pos) for r in R.keyword_evidence(events, causes, scope=org).collect()} == {("a", 0), ("b", 1)}
+    pairs = spark.createDataFrame([(o, "q", "d", "disk failed on node", f"disk {o} failed") for o in "ab"],
+                                  "organization string, query_id string, doc_id string, query_text string, evidence_text string")
+    assert {(r.organization, r.template, r.line_rank) for r in R.cite_lines(pairs, scope=org).collect()} == {("a", "disk a failed", 1), ("b", "disk b failed", 1)}
+
+
+def test_triage_in_scope(spark):
+    """Incidents of two organizations share their ids; each meets its own evidence."""
+    from dataclasses import replace
+
+    from logsift.plans import holdout, triage as T
+
+    kinds = {0: "service ok request served from cache", 1: "fatal error disk failed on node"}
+    docs = spark.createDataFrame([(f"d{i}", i, f"{kinds[i % 2]} unit{i % 5} rack{i % 7}", i % 2) for i in range(80)],
+                                 "doc_id string, doc_pos long, text string, label int")
+    fitted = holdout.fit_triage(docs.filter("doc_pos < 60"), docs.filter("doc_pos >= 60"), conservative=False)
+    flipped = docs.withColumn("label", 1 - F.col("label"))
+    both = docs.withColumn("organization", F.lit("a")).unionByName(flipped.withColumn("organization", F.lit("b")))
+    scoped = replace(fitted, index=T.evidence_index(fitted.model, both, ("organization",)))
+    rows = T.assess(both.filter("doc_pos >= 70").select("organization", "doc_id", "text", "label"), scoped.model, scoped.index).collect()
+    assert len(rows) == 20 and all(r.evidence_label == r.label and r.matches == 3 for r in rows)
+    assert len({(r.doc_id, round(r.p, 9)) for r in rows}) == 10
+    cited = T.cited_triage(both.filter("doc_pos >= 78"), scoped).collect()
+    assert {(r.organization, r.query_id, r.label) for r in cited} == {(r.organization, r.doc_id, r.label) for r in rows if int(r.doc_id[1:]) >= 78}
+
+
 def test_vectors_may_be_missing(spark):
     known = spark.createDataFrame([(0, 0, None), (1, 1, [1.0, 0.0]), (2, 2, None)], "doc_id long, doc_pos long, embedding array<double>")
     asked = spark.createDataFrame([(7, None), (8, [1.0, 0.0])], "query_id long, embedding array<double>")
