@@ -11,7 +11,7 @@ from logsift import constants as C
 from logsift.functions import risk, text as X
 from logsift.operators import features as D, metrics as H, models as M, policy as P, retrieval as R
 from logsift.operators import splits, windows
-from logsift.plans import feedback, holdout
+from logsift.plans import feedback, holdout, studies
 from logsift.operators.ordering import exact_quantiles
 from logsift.sources import readers, writers
 
@@ -161,13 +161,13 @@ def _(spark, sf):
 @query("f10_few_shot_adapt")
 def _(spark, sf):
     source, target = block_incidents(spark, sf).persist(), window_incidents(spark, sf).persist()
-    return _results(spark, _seeds(lambda seed: holdout.few_shot_adapt(source, target, seed)), "few_shot")
+    return _results(spark, studies.few_shot_adapt(source, target), "few_shot")
 
 
 @query("f11_target_only_few_shot")
 def _(spark, sf):
     target = window_incidents(spark, sf).persist()
-    return _results(spark, _seeds(lambda seed: holdout.target_only_few_shot(target, seed)), "target_only")
+    return _results(spark, studies.target_only_few_shot(target), "target_only")
 
 
 @query("f12_domain_ensemble")
@@ -641,14 +641,14 @@ def _(spark, sf):
 @query("h15_temporal_backtest")
 def _(spark, sf):
     docs = window_incidents(spark, sf).persist()
-    return _results(spark, _seeds(lambda seed: holdout.temporal_backtest(docs, seed)), "backtest")
+    return _results(spark, studies.temporal_backtest(docs), "backtest")
 
 
 @query("h16_locked_holdout_evaluation")
 def _(spark, sf):
     split = splits.locked_holdout(window_incidents(spark, sf), number="doc_pos").persist()
     development, locked = (split.filter(F.col("period") == p).drop("period") for p in ("development", "locked"))
-    return _results(spark, _seeds(lambda seed: {600: holdout.locked_holdout_evaluation(development, locked, seed)}), "locked_holdout")
+    return _results(spark, studies.locked_holdout_evaluation(development, locked), "locked_holdout")
 
 
 @query("h17_retrieval_policy_metrics", f"""WITH {HYBRID_VOTES}, d AS (SELECT *, top_similarity >= 0.05 AND unanimous AS auto FROM votes)

@@ -38,13 +38,21 @@ def classification_metrics(
     )
 
 
-def average_precision(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def average_precision(
+    scores: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()
+) -> DataFrame:
     """H2: sum of recall gains times precision over distinct scores, highest first."""
-    points = scores.groupBy(score).agg(
+    by = list(by)
+    points = scores.groupBy(*by, score).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
-    totals = running_totals(points, [F.desc(score)], {"pos": "tp", "n": "predicted"})
-    return totals.agg(
+    totals = running_totals(points, [*[F.col(c) for c in by], F.desc(score)], {"pos": "tp", "n": "predicted"})
+    if by:  # less what the groups before have
+        before = totals.groupBy(*by).agg(
+            F.min(F.col("tp") - F.col("pos")).alias("_tp"), F.min(F.col("predicted") - F.col("n")).alias("_predicted"))
+        totals = attach(totals, before, by).withColumns(
+            {"tp": F.col("tp") - F.col("_tp"), "predicted": F.col("predicted") - F.col("_predicted")})
+    return totals.groupBy(*by).agg(
         F.when(
             F.sum("pos") > 0,
             F.sum(F.col("pos") * F.col("tp") / F.col("predicted")) / F.sum("pos"),

@@ -173,26 +173,23 @@ def assessed(scores: DataFrame, threshold: float | Column, label: str = "label")
     )
 
 
-def _grid_counts(
-    rows: DataFrame, confidence: Sequence[float], similarity: Sequence[float]
-) -> tuple[int, dict[tuple[int, int], tuple[int, int]]]:
-    """Total rows, and per (confidence cell, similarity cell) the eligible and wrong rows."""
+def grid_cells(
+    rows: DataFrame, confidence: Column, similarity: Column, by: Sequence[str] = ()
+) -> dict[tuple, tuple[int, dict[tuple[int, int], tuple[int, int]]]]:
+    """Per group: total rows, and per (confidence cell, similarity cell) the eligible and wrong rows."""
     eligible = (F.col("unanimous") & F.col("agrees")).cast("int")
     counted = (
-        rows.select(
-            grid_cell(F.col("confidence"), confidence).alias("c"),
-            grid_cell(F.col("top_similarity"), similarity).alias("s"),
-            eligible.alias("e"),
-            (eligible * F.col("wrong")).alias("w"),
-        )
-        .groupBy("c", "s")
+        rows.select(*by, confidence.alias("c"), similarity.alias("s"), eligible.alias("e"), (eligible * F.col("wrong")).alias("w"))
+        .groupBy(*by, "c", "s")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"), F.sum("w").alias("w"))
         .collect()
     )
-    return (
-        sum(r["n"] for r in counted),
-        {(r["c"], r["s"]): (r["e"], r["w"]) for r in counted},
-    )
+    found: dict[tuple, tuple[int, dict]] = {}
+    for r in counted:
+        key = tuple(r[c] for c in by)
+        total, cells = found.get(key, (0, {}))
+        found[key] = (total + r["n"], cells | {(r["c"], r["s"]): (r["e"], r["w"])})
+    return found
 
 
 def calibrate_abstention(
@@ -214,7 +211,24 @@ def calibrate_abstention(
     """
     similarity = sorted({float(s) for s in similarity})
     confidence = sorted({float(c) for c in confidence})
-    total, cells = _grid_counts(assessed(scores, threshold, label), confidence, similarity)
+    counted = grid_cells(
+        assessed(scores, threshold, label), grid_cell(F.col("confidence"), confidence), grid_cell(F.col("top_similarity"), similarity))
+    return best_policy(
+        *counted.get((), (0, {})), confidence, similarity, maximum_unsafe=maximum_unsafe,
+        minimum_automated=minimum_automated, familywise=familywise)
+
+
+def best_policy(
+    total: int,
+    cells: dict[tuple[int, int], tuple[int, int]],
+    confidence: Sequence[float],
+    similarity: Sequence[float],
+    *,
+    maximum_unsafe: float = C.MAX_UNSAFE_RATE,
+    minimum_automated: int = 1,
+    familywise: float | None = None,
+) -> Policy:
+    """The policy of ``calibrate_abstention`` from counted cells of ascending grids."""
     per_policy = (
         None if familywise is None
         else 1.0 - (1.0 - familywise) / (len(confidence) * len(similarity))
