@@ -337,6 +337,30 @@ def _(spark, sf):
         F.md5(X.incident_text(F.col("events"), "raw_newline")).alias("content"))
 
 
+def log_files(spark, sf, name: str) -> str:
+    """The alert log as several files whose names sort as its lines do, with blank lines between."""
+    path = scratch(spark, name) + "/data"
+    log = T.alert_log(spark, sf).repartitionByRange(5, "ts", "event_id").sortWithinPartitions("ts", "event_id")
+    log.select(F.concat(F.col("value"), F.when(F.col("event_id") % 9 == 0, "\n  ").otherwise("")).alias("value")).write.text(path)
+    return path
+
+
+@query("a2_numbered_log_lines", f"""WITH {T.ALERT_LOG}
+SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS line, md5(value) AS content FROM alert_log""")
+def _(spark, sf):
+    return readers.numbered_log_lines(spark, log_files(spark, sf, "numbered")).select("line", F.md5("value").alias("content"))
+
+
+@query("c1_file_windows", f"""WITH {T.NUMBERED}
+SELECT 'bgl-window-' || lpad(CAST(window_number AS VARCHAR), 6, '0') AS incident_id,
+  CAST(is_anomaly AS INTEGER) AS is_anomaly, 20 AS events, md5(text) AS content FROM windows""")
+def _(spark, sf):
+    lines = readers.numbered_log_lines(spark, log_files(spark, sf, "file-windows"))
+    opened = windows.count_windows(windows.alert_events(lines), number="line")
+    return opened.select("incident_id", "is_anomaly", F.size("events").alias("events"),
+                         F.md5(X.incident_text(F.col("events"), "raw_newline")).alias("content"))
+
+
 @query("c2_sliding_count_windows", f"""WITH {T.ALERT_LOG}, placed AS (
   SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
     count(*) OVER (PARTITION BY user_id) AS n FROM alert_log),

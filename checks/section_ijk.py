@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import section_abc as A, section_de as E, section_fgh as G, sql as Q, tables as T
 from logsift import constants as C
-from logsift.operators import audit, investigation as I
+from logsift.functions import text as X, vectors as V
+from logsift.operators import audit, investigation as I, metrics as H
 from logsift.plans import investigate as plan
 from logsift.streaming import counters, triage as stream, windows as stream_windows
 
@@ -92,6 +93,27 @@ def _(spark, sf):
     return I.correlate_deployments(I.incident_summary(user_events(spark, sf)), deployments(spark, sf))
 
 
+def _last_sql(own: str) -> str:
+    stamp = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+    org = f"coalesce({E.TENANT.format('user_id')}, '') AS organization"
+    return f"""WITH d AS (SELECT {org}, 'svc-' || (user_id % 5) AS service, {stamp} AS deployed_at, max(CAST(event_id AS VARCHAR)) AS id
+  FROM events WHERE event_type = 'click' GROUP BY 1, 2, 3),
+i AS (SELECT {org}, event_id AS incident_id, 'svc-' || (event_id % 5) AS service, {stamp} AS first_seen FROM events)
+SELECT {own}, i.incident_id, i.service, i.first_seen, d.id AS deployment_id, d.deployed_at FROM i ASOF LEFT JOIN d
+  ON i.organization = d.organization AND i.service = d.service AND i.first_seen >= d.deployed_at"""
+
+
+@query("i3_last_deployment", _last_sql("i.organization"))
+def _(spark, sf):
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    e = T.table(spark, sf, "events").withColumn("organization", E.tenant("user_id"))
+    service = lambda c: F.concat(F.lit("svc-"), (F.col(c) % 5).cast("string"))
+    released = e.filter("event_type = 'click'").select(
+        "organization", F.col("event_id").cast("string").alias("id"), service("user_id").alias("service"), stamp.alias("deployed_at"))
+    incidents = e.select("organization", F.col("event_id").alias("incident_id"), service("event_id").alias("affected_service"), stamp.alias("first_seen"))
+    return I.last_deployments(incidents, released, ("organization",))
+
+
 @query("i3_deployment_context", f"""WITH {SUMMARY} SELECT CAST(o_orderkey AS VARCHAR) AS id, 'svc-' || (o_custkey % 4) AS service, o_orderpriority AS summary
 FROM orders WHERE 'svc-' || (o_custkey % 4) IN (SELECT affected_service FROM summary)""")
 def _(spark, sf):
@@ -246,6 +268,57 @@ def _(spark, sf):
     return both.select("id", "kind", "title", F.array_join("tags", "|").alias("tags"))
 
 
+def _trials_sql(tail: str) -> str:
+    tfidf = lambda name, of: Q.tfidf(name, of, "knowledge_text", id_column="id", lower=True, sublinear=False, stop=C.ENGLISH_STOP_WORDS)
+    return f"""WITH {A.KNOWLEDGE}, asked AS (SELECT CAST(conv_id * 100000 + turn AS VARCHAR) AS id, conv_id, lower(text) AS text,
+    CASE WHEN conv_id % 3 > 0 THEN 'cause-' || (conv_id % 5 * 2) END AS expected FROM conversations WHERE trim(text) <> ''),
+{tfidf('qv', 'asked')}, {tfidf('dv', 'knowledge_text')}, {_keywords_sql()},
+unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+lex AS (SELECT q.id AS query_id, d.id, sum(q.w * d.w) AS s FROM qv q JOIN dv d USING (term) GROUP BY 1, 2),
+pairs AS (SELECT a.id AS incident_id, k.doc_pos, k.root_cause, coalesce(list_dot_product(ua.e, uk.e), 0.0) AS sem, coalesce(lex.s, 0.0) AS lex
+  FROM asked a CROSS JOIN knowledge k LEFT JOIN unit ua ON ua.vec_id = a.conv_id LEFT JOIN unit uk ON uk.vec_id = k.doc_pos
+  LEFT JOIN lex ON lex.query_id = a.id AND lex.id = k.id),
+weights(w) AS (VALUES {Q.values(C.INVESTIGATION_WEIGHTS)}), thresholds(t) AS (VALUES {Q.values(C.INVESTIGATION_EVIDENCE)}),
+found AS (SELECT *, row_number() OVER (PARTITION BY w, incident_id ORDER BY round(score, 9) DESC, doc_pos DESC) AS rank
+  FROM (SELECT *, w * sem + (1.0::DOUBLE - w) * lex AS score FROM pairs, weights)),
+ev AS (SELECT w, incident_id, root_cause AS cause, max(round(score, 4)) AS s FROM found WHERE rank <= 4 AND score > 0 AND root_cause IS NOT NULL GROUP BY 1, 2, 3),
+hyp AS (SELECT w, t, incident_id, cause, cause_order,
+    round(least(0.45 * (len(list_filter(keywords, lambda k: contains(text, k))) / len(keywords)) + 0.4 * s, 0.99), 4) AS confidence
+  FROM ev JOIN thresholds ON s >= t JOIN kw USING (cause) JOIN asked a ON a.id = incident_id),
+best AS (SELECT w, t, incident_id, list(cause) AS causes, max(cause) FILTER (rank = 1) AS first FROM (
+  SELECT *, row_number() OVER (PARTITION BY w, t, incident_id ORDER BY confidence DESC, cause_order) AS rank FROM hyp) WHERE rank <= 3 GROUP BY 1, 2, 3),
+judged AS (SELECT w, t, expected IS NOT NULL AS known, coalesce(first = expected, false) AS top1, coalesce(list_contains(causes, expected), false) AS top3,
+    coalesce(len(causes), 0) AS emitted
+  FROM (SELECT id AS incident_id, expected FROM asked) CROSS JOIN weights CROSS JOIN thresholds LEFT JOIN best USING (w, t, incident_id)),
+trials AS (SELECT w AS semantic_weight, t AS minimum_evidence, {G.KNOWN} FROM judged GROUP BY 1, 2)
+{tail}"""
+
+
+def _trials(spark, sf):
+    """Every conversation turn as a case under all sixteen configurations."""
+    unit = T.vectors(spark, sf).select(F.col("vec_id").alias("_vec"), V.unit_vector(F.col("embedding")).alias("embedding"))
+    turns = T.table(spark, sf, "conversations").filter(F.trim("text") != "")
+    cases = turns.select(
+        (F.col("conv_id") * 100000 + F.col("turn")).cast("string").alias("incident_id"), F.lower("text").alias("log_text"), F.col("conv_id").alias("_vec"),
+        F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("cause-"), (F.col("conv_id") % 5 * 2).cast("string"))).alias("expected_root_cause"))
+    known = A._knowledge(spark, sf).withColumn("_vec", F.col("doc_pos")).join(unit, "_vec", "left").drop("_vec")
+    return plan.configuration_trials(cases.join(unit, "_vec", "left").drop("_vec"), turn_events(spark, sf), known, deployments(spark, sf))
+
+
+@query("h12_configuration_trials", _trials_sql("SELECT * REPLACE (coalesce(known_hypothesis_precision, 0) AS known_hypothesis_precision) FROM trials"))
+def _(spark, sf):
+    trials = _trials(spark, sf)
+    return trials.select(*[F.round(c, 6).alias(c) if c in G.RATES else c for c in trials.columns])
+
+
+@query("h12_select_investigation_config", _trials_sql("""SELECT semantic_weight, minimum_evidence,
+  round(0.5 * unknown_abstention_rate + 0.35 * known_top_1_accuracy + 0.15 * coalesce(known_hypothesis_precision, 0), 4) AS objective
+FROM trials ORDER BY round(0.5 * unknown_abstention_rate + 0.35 * known_top_1_accuracy + 0.15 * coalesce(known_hypothesis_precision, 0), 9) DESC, 1, 2 LIMIT 1"""))
+def _(spark, sf):
+    best = H.select_investigation_config(_trials(spark, sf))
+    return best.select("semantic_weight", "minimum_evidence", F.round("objective", 4).alias("objective"))
+
+
 # ---- A7-A9, J --------------------------------------------------------------------------------------
 def decisions(spark, sf):
     e = T.table(spark, sf, "events")
@@ -334,7 +407,7 @@ def _(spark, sf):
 
 
 @query("j3_verified_feedback", f"""WITH {FEEDBACK} SELECT incident_id, final_anomaly_label FROM feedback
-WHERE organization_id = 'en' AND final_anomaly_label IN ('ANOMALY', 'NORMAL') ORDER BY created_at, incident_id LIMIT 10000""")
+WHERE organization_id = 'en' AND final_anomaly_label IN ('ANOMALY', 'NORMAL') """)
 def _(spark, sf):
     return audit.verified_feedback(feedback(spark, sf), "en").select("incident_id", "final_anomaly_label")
 
@@ -402,7 +475,7 @@ def drain(spark, stream_df, name: str, mode: str = "append"):
     return spark.read.parquet(path + "/data")
 
 
-@query("k1_stream_triage", f"""WITH {DECISIONS} SELECT source, recommendation, count(*) AS decisions FROM decisions GROUP BY 1, 2""")
+@query("k1_stream_decisions", f"""WITH {DECISIONS} SELECT source, recommendation, count(*) AS decisions FROM decisions GROUP BY 1, 2""")
 def _(spark, sf):
     path = A.scratch(spark, "stream")
     arriving = event_stream(spark, sf)
@@ -418,6 +491,29 @@ def _(spark, sf):
     return spark.read.parquet(path + "/table").groupBy("source", "recommendation").agg(F.count(F.lit(1)).alias("decisions"))
 
 
+@query("k1_stream_triage", """SELECT doc_id AS incident_id, 'documents' AS source, true AS as_in_batch, true AS known FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def _(spark, sf):
+    """Arriving documents against a model, an index and a policy fitted on the labelled ones."""
+    from logsift.plans import holdout
+    from logsift.plans.triage import triage
+
+    known = E.masked(spark, sf).join(T.labelled(spark, sf), "doc_id").withColumn("doc_pos", F.col("doc_id")).persist()
+    fitted = holdout.fit_triage(known.filter("doc_id % 3 > 0"), known.filter("doc_id % 3 = 0"), conservative=False)
+    labels = T.labelled(spark, sf).select("doc_id")
+    masked = X.normalize_cross_domain(F.col("text")).alias("text")
+    documents = spark.readStream.schema(T.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    arriving = documents.select("doc_id", masked).join(labels, "doc_id", "left_anti")
+    path = A.scratch(spark, "triage")
+    stream.stream_triage(arriving, fitted, path + "/table", path + "/checkpoint", "documents").awaitTermination()
+    batch = triage(E.masked(spark, sf).join(labels, "doc_id", "left_anti"), fitted).select(
+        F.col("doc_id").alias("incident_id"), F.col("recommendation").alias("_decided"), F.col("top_similarity").alias("_similarity"))
+    both = spark.read.parquet(path + "/table").join(batch, "incident_id", "full")
+    same = (F.col("recommendation") == F.col("_decided")) & (F.abs(F.col("top_similarity") - F.col("_similarity")) < 1e-9)
+    return both.select("incident_id", "source", same.alias("as_in_batch"),
+                       F.col("recommendation").isin(C.LIKELY_ANOMALY, C.LIKELY_NORMAL, C.NEEDS_REVIEW).alias("known"))
+
+
 COUNTERS = f"""WITH {DECISIONS} SELECT date_trunc('day', created_at) AS window_start, source, recommendation, count(*) AS requests
 FROM decisions GROUP BY 1, 2, 3"""
 
@@ -428,11 +524,14 @@ def _(spark, sf):
     return counters.windowed_counters(rows, width="1 day").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("k2_stream_counters")
+@query("k2_stream_counters", """WITH c AS (SELECT date_trunc('day', ts) AS window_start, 'events' AS source, event_type AS recommendation, count(*) AS requests FROM events GROUP BY 1, 2, 3)
+SELECT * FROM c WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(spark, sf):
+    """Windows that the watermark closed by the end of the input."""
     rows = event_stream(spark, sf).select(
         F.col("ts").cast("timestamp").alias("created_at"), F.lit("events").alias("source"), F.col("event_type").alias("recommendation"))
-    return drain(spark, counters.windowed_counters(rows, width="1 day"), "counters")
+    found = drain(spark, counters.windowed_counters(rows, width="1 day"), "counters")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("k3_stream_count_windows", f"""WITH {T.PARSED}, n AS (SELECT user_id, message, is_alert, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM parsed)

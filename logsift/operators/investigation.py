@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logsift import constants as C
 from logsift.functions import text as X
 from logsift.operators.features import KNOWLEDGE, TextOptions
-from logsift.operators.ordering import attach, top_per_group
+from logsift.operators.ordering import attach, last_before, top_per_group
 from logsift.operators.retrieval import build_index, in_scope, search_batch
 
 
@@ -106,17 +106,21 @@ def knowledge_index(knowledge: DataFrame, *, scope: Sequence[str] = (),
 
 
 def knowledge_evidence(
-    incidents: DataFrame, index, *, semantic_weight: float = C.INVESTIGATION_SEMANTIC_WEIGHT,
+    incidents: DataFrame, index, *, semantic_weight: float | Sequence[float] = C.INVESTIGATION_SEMANTIC_WEIGHT,
     k: int = C.KNOWLEDGE_TOP_K,
 ) -> DataFrame:
-    """Up to k documents per incident; those without any similarity are dropped."""
+    """Up to k documents per incident; those without any similarity are dropped.
+
+    Several weights are searched in one product and keep their column ``semantic_weight``.
+    """
+    one = isinstance(semantic_weight, (int, float))
     queries = incidents.withColumnRenamed("incident_id", "query_id").withColumnRenamed("log_text", "text")
-    found = search_batch(queries, index, k, semantic_weights=(semantic_weight,))
+    found = search_batch(queries, index, k, semantic_weights=(semantic_weight,) if one else tuple(semantic_weight))
     keys = [*index.scope, "doc_id"]
     documents = index.documents.select(*keys, "kind", "title", "root_cause", "resolution", "steps")
     # texts and steps: joined, not broadcast by their number of rows
     return found.filter(F.col("score") > 0).join(documents, keys).select(
-        *index.scope, F.col("query_id").alias("incident_id"), "rank", F.col("doc_id").alias("id"), "kind", "title",
+        *([] if one else ["semantic_weight"]), *index.scope, F.col("query_id").alias("incident_id"), "rank", F.col("doc_id").alias("id"), "kind", "title",
         "root_cause", "resolution", "steps", "score",
         F.round("score", 4).alias("hybrid_similarity"),
         F.round("semantic", 4).alias("semantic_similarity"),
@@ -145,6 +149,22 @@ def deployment_context(summary: DataFrame, deployments: DataFrame, scope: Sequen
     return attach(deployments, services, [*scope, "service"], "left_semi")
 
 
+def last_deployments(
+    summary: DataFrame, deployments: DataFrame, scope: Sequence[str] = (), time: str = "deployed_at"
+) -> DataFrame:
+    """I3, as of the incident: the last deployment of the affected service at or before ``first_seen``.
+
+    ``deployments``: scope, id, service, ``time`` (of the type of first_seen). Of several at one time the
+    largest id counts. Incidents without one have nulls.
+    """
+    incidents = in_scope(summary, scope).select(
+        *scope, F.col("affected_service").alias("service"), F.col("first_seen").alias("_time"), "incident_id")
+    marks = in_scope(deployments, scope).select(*scope, "service", F.col(time).alias("_time"), "id")
+    found = last_before(incidents, marks, [*scope, "service"], "_time", "_mark")
+    return found.select(*scope, "incident_id", "service", F.col("_time").alias("first_seen"),
+                        F.col("_mark.id").alias("deployment_id"), F.col("_mark._time").alias(time))
+
+
 def affected_by_deployment(summary: DataFrame, deployments: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """I3 as a flag: a service counts once, however many deployments it had."""
     services = deployments.select(*scope, F.col("service").alias("affected_service")).distinct()
@@ -155,24 +175,28 @@ def affected_by_deployment(summary: DataFrame, deployments: DataFrame, scope: Se
 
 def rank_hypotheses(
     incidents: DataFrame, evidence: DataFrame, causes: DataFrame, deployed: DataFrame,
-    *, minimum_evidence: float = C.MINIMUM_HYPOTHESIS_EVIDENCE, k: int = 3,
-    scope: Sequence[str] = (),
+    *, minimum_evidence: float | Sequence[float] = C.MINIMUM_HYPOTHESIS_EVIDENCE, k: int = 3,
+    scope: Sequence[str] = (), by: Sequence[str] = (),
 ) -> DataFrame:
     """I4: causes with enough evidence, scored by keywords, evidence and deployments.
 
     Only causes cited by the incident's own evidence can pass a positive threshold, so
-    at most four (incident, cause) rows arise per incident.
+    at most four (incident, cause) rows arise per incident. Several thresholds are cells
+    of the evidence score and give a column ``minimum_evidence``; ``by`` are columns of ``evidence``
+    that tell trials apart (semantic_weight).
     """
-    if not 0.0 < minimum_evidence <= 1.0:
+    one = isinstance(minimum_evidence, (int, float))
+    thresholds = [float(minimum_evidence)] if one else [float(t) for t in minimum_evidence]
+    if not thresholds or any(not 0.0 < t <= 1.0 for t in thresholds):
         raise ValueError("minimum_hypothesis_evidence must lie in (0, 1].")
     key = [*scope, "incident_id"]
     best = evidence.filter(F.col("root_cause").isNotNull()).groupBy(
-        *key, F.col("root_cause").alias("cause")
+        *by, *key, F.col("root_cause").alias("cause")
     ).agg(F.max("hybrid_similarity").alias("evidence_score"),
           F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"])
           .alias("evidence_ids"))
     rows = (
-        best.filter(F.col("evidence_score") >= minimum_evidence)
+        best.filter(F.col("evidence_score") >= min(thresholds))
         .join(incidents.select(*key, "log_text"), key)
         .join(deployed.select(*key, "deployed"), key, "left")
     )
@@ -183,9 +207,13 @@ def rank_hypotheses(
         + 0.15 * F.when((F.col("cause") == C.DEPLOYMENT_CAUSE) & F.col("deployed"), 1.0).otherwise(0.0)
     )
     scored = rows.withColumn("confidence", F.round(F.least(score, F.lit(0.99)), 4))
+    trial = list(by)
+    if not one:
+        reached = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("evidence_score"))
+        scored, trial = scored.withColumn("minimum_evidence", F.explode(reached)), [*by, "minimum_evidence"]
     return top_per_group(
-        scored, key, [F.desc("confidence"), F.asc("cause_order")], k
-    ).select(*key, "rank", "cause", "confidence", "evidence_ids", "keywords")
+        scored, [*trial, *key], [F.desc("confidence"), F.asc("cause_order")], k
+    ).select(*trial, *key, "rank", "cause", "confidence", "evidence_ids", "keywords")
 
 
 def plan_checks(evidence: DataFrame, hypotheses: DataFrame, k: int = 6, scope: Sequence[str] = ()) -> DataFrame:

@@ -188,14 +188,20 @@ def pooled_unsafe_rate(results: DataFrame) -> DataFrame:
         (F.sum("unsafe_decisions") / F.sum("automated_incidents")).alias("unsafe_rate"))
 
 
-def investigator_rows(cases: DataFrame, hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per case: hits of its ranked hypotheses (three at most) and evidence (four at most)."""
-    causes = hypotheses.groupBy("incident_id").agg(
+def investigator_rows(
+    cases: DataFrame, hypotheses: DataFrame, evidence: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per case: hits of its ranked hypotheses (three at most) and evidence (four at most).
+
+    ``by`` tells trials apart: columns of ``cases`` and ``hypotheses``; evidence has some of them.
+    """
+    seen = [c for c in by if c in evidence.columns]
+    causes = hypotheses.groupBy(*by, "incident_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("cause"))).alias("top_cause"),
         F.collect_list("cause").alias("predicted_causes"))
-    cited = evidence.groupBy("incident_id").agg(F.collect_list("id").alias("evidence_ids"))
+    cited = evidence.groupBy(*seen, "incident_id").agg(F.collect_list("id").alias("evidence_ids"))
     none = F.array().cast("array<string>")
-    rows = cases.join(causes, "incident_id", "left").join(cited, "incident_id", "left")
+    rows = cases.join(causes, [*by, "incident_id"], "left").join(cited, [*seen, "incident_id"], "left")
     expected = F.col("expected_root_cause")
     return rows.withColumn(
         "predicted_causes", F.coalesce("predicted_causes", none)

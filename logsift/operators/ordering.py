@@ -83,6 +83,39 @@ def running_totals(
     return joined.drop("_mid", "_part", *[f"_o_{c}" for c in totals])
 
 
+def last_before(
+    rows: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, name: str = "mark"
+) -> DataFrame:
+    """As-of join: to each row the last mark of its key at or before its time, as a struct ``name``.
+
+    ``marks``: keys, time and any columns; of equal times the mark that sorts last counts. Rows
+    and marks are sorted together by key and time; the last mark of a partition is carried over
+    the following ones, one row per partition, so a hot key stays spread. Rows without a mark (or with a null key or time) get null.
+    """
+    keys = list(keys)
+    own = [c for c in rows.columns if c not in (*keys, time)]
+    other = [c for c in marks.columns if c not in (*keys, time)]
+    side = rows.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_mark"), F.struct(*own).alias("_row"))
+    stamp = marks.filter(F.col(time).isNotNull()).select(
+        *keys, F.col(time).alias("_at"), F.lit(0).alias("_kind"), F.struct(time, *other).alias("_mark"), F.lit(None).alias("_row"))
+    both = stamp.unionByName(side)
+    order = [*[F.col(c) for c in keys], F.col("_at"), F.col("_kind"), F.col("_mark"), F.xxhash64("_row")]
+    cut = _sorted_cut(both, order).withColumn("_part", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
+        "_seen", F.when(F.col("_mark").isNotNull(), F.struct(*keys, "_mark")))
+    ends = cut.groupBy("_part").agg(F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_mid"))).alias("_end"))
+    # one row per partition
+    carried = ends.select("_part", F.last("_end", ignorenulls=True).over(
+        W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    inside = W.partitionBy("_part").orderBy("_mid").rowsBetween(W.unboundedPreceding, 0)
+    found = cut.withColumn("_here", F.last("_seen", ignorenulls=True).over(inside)).filter("_kind = 1").join(F.broadcast(carried), "_part")
+    found = found.withColumn("_last", F.coalesce("_here", "_carried"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(f"_last.{c}") == F.col(c))
+    return found.select(
+        *keys, F.col("_at").alias(time), "_row.*", F.when(same & F.col("_at").isNotNull(), F.col("_last._mark")).alias(name))
+
+
 def exact_quantiles(
     df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = (),
 ) -> DataFrame:

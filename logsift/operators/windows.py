@@ -18,9 +18,15 @@ def alert_events(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def numbered_events(events: DataFrame, *order: Column, size: int = C.WINDOW_SIZE) -> DataFrame:
-    """C1, normalised form: each event with its window number and place in the window."""
-    indexed = dense_index(events, *order, name="_line")
+def numbered_events(
+    events: DataFrame, *order: Column, size: int = C.WINDOW_SIZE, number: str | None = None
+) -> DataFrame:
+    """C1, normalised form: each event with its window number and place in the window.
+
+    ``number`` names a column with the events' places (``numbered_log_lines``); without it
+    they are found by sorting keys.
+    """
+    indexed = dense_index(events, *order, name="_line") if number is None else events.withColumnRenamed(number, "_line")
     return (
         indexed.withColumn("window_number", F.floor(F.col("_line") / size).cast("bigint"))
         .withColumn("place", (F.col("_line") % size).cast("int"))
@@ -28,14 +34,17 @@ def numbered_events(events: DataFrame, *order: Column, size: int = C.WINDOW_SIZE
     )
 
 
-def count_windows(events: DataFrame, *order: Column, size: int = C.WINDOW_SIZE) -> DataFrame:
+def count_windows(
+    events: DataFrame, *order: Column, size: int = C.WINDOW_SIZE, number: str | None = None
+) -> DataFrame:
     """Incidents of ``size`` consecutive events; the incomplete last one is dropped.
 
     A group holds ``size`` events at most, so packing them into an array is bounded.
+    Order and ``number`` as in ``numbered_events``.
     """
     event = F.struct("timestamp", "service", "severity", "message")
     return (
-        numbered_events(events, *order, size=size)
+        numbered_events(events, *order, size=size, number=number)
         .groupBy("window_number")
         .agg(
             F.count(F.lit(1)).alias("_events"),

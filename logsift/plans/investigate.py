@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from logsift import constants as C
 from logsift.operators import investigation as I, metrics as H
 from logsift.operators.retrieval import in_scope
+from logsift.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -71,22 +72,20 @@ def investigate(
 
 def configuration_trials(
     cases: DataFrame, events: DataFrame, knowledge: DataFrame, deployments: DataFrame,
+    weights: Sequence[float] = C.INVESTIGATION_WEIGHTS, thresholds: Sequence[float] = C.INVESTIGATION_EVIDENCE,
 ) -> DataFrame:
-    """H12 input: H11 metrics for each semantic weight and evidence threshold.
+    """H12 input: H11 metrics of all cases under each semantic weight and evidence threshold, as one plan.
 
-    Cases are searched once per weight; thresholds reuse that evidence.
+    All weights are searched in one product, a threshold is a cell of the evidence score, and
+    every case counts in every trial, with or without hypotheses.
     """
+    trial = ["semantic_weight", "minimum_evidence"]
     index = I.knowledge_index(knowledge)
-    causes = I.cause_keywords(knowledge).persist()
-    deployed = I.affected_by_deployment(I.incident_summary(events), deployments).persist()
-    trials = None
-    for weight in C.INVESTIGATION_WEIGHTS:
-        evidence = I.knowledge_evidence(
-            cases.select("incident_id", "log_text", "embedding"), index, semantic_weight=weight).persist()
-        for threshold in C.INVESTIGATION_EVIDENCE:
-            hypotheses = I.rank_hypotheses(cases, evidence, causes, deployed, minimum_evidence=threshold)
-            rows = H.investigator_rows(cases, hypotheses, evidence)
-            part = H.known_unknown_metrics(rows).select(
-                F.lit(weight).alias("semantic_weight"), F.lit(threshold).alias("minimum_evidence"), "*")
-            trials = part if trials is None else trials.unionByName(part)
-    return trials
+    deployed = I.affected_by_deployment(I.incident_summary(events), deployments)
+    evidence = cut_lineage(I.knowledge_evidence(
+        cases.select("incident_id", "log_text", "embedding"), index, semantic_weight=[float(w) for w in weights]))
+    hypotheses = I.rank_hypotheses(
+        cases, evidence, I.cause_keywords(knowledge), deployed, minimum_evidence=thresholds, by=trial[:1])
+    cells = F.array(*[F.struct(F.lit(float(w)).alias(trial[0]), F.lit(float(t)).alias(trial[1])) for w in weights for t in thresholds])
+    judged = cases.drop("log_text", "embedding").select("*", F.inline(cells))
+    return H.known_unknown_metrics(H.investigator_rows(judged, hypotheses, evidence, trial), trial)
