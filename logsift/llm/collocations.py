@@ -4,11 +4,11 @@ Texts (A-Z in lower case) are cut into pieces at ``.,;:!?`` and line ends, piece
 at spaces and tabs. A suffix is a word with the words after it in its piece, up to ``longest`` of
 them; words are known by 64 bits of a hash of language and word, 0 ends a suffix.
 
-1. Tasks count words by language and send them added up; words that occur ``least`` times or more
+1. Tasks count words by language and send them added up, in compressed blobs by bucket; words that occur ``least`` times or more
    mark a bitmap of bounded size, which every task gets. A word whose bit is not set can be in no
    candidate, so it ends suffixes before it.
 2. Suffixes are routed by their first two words to buckets, equal ones of a task once with
-   their number. A bucket sorts pointers to them with a three-way multikey quicksort, word after word:
+   their number, in blobs where the most frequent words are small numbers by frequency. A bucket sorts pointers to them with a three-way multikey quicksort, word after word:
    the weight of an equal partition is the count of its words as a phrase, and a partition lighter than
    ``least`` is abandoned. Buckets are sized from the number of words; a bucket keeps
    each distinct suffix once. Pairs that are frequent in the tasks' samples of pairs are split:
@@ -31,19 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.shared import checked_broadcast, cut
 
-#: Words of the corpus for each bucket.
+#: Words of the corpus for each bucket of suffixes, bytes of text for each bucket of words.
 BUCKET_WORDS = 1 << 19
+WORD_BYTES = 16 << 20
 #: Suffixes that leave a task together; distinct words that a task adds up.
-FLUSH = 1 << 20
-MOST_HELD = 1 << 19
+FLUSH = 1 << 19
+MOST_HELD = 1 << 18
 #: Bits of the bitmap of frequent words, at most.
 MOST_BITS = 1 << 27
+#: Words that travel as numbers by frequency instead of hashes, at most.
+COMMON = 1 << 18
 #: Pairs that are split, at most, and how often one must come up in a slice's sample.
 SPLIT_PAIRS = 1 << 16
 SAMPLE = 1 << 14
@@ -73,7 +77,7 @@ def _read(batches: Iterator[pa.RecordBatch]):
                 continue
             data = T.LOWER[part.data]
             key = np.maximum(T.mix(found.hash ^ hashes[part.first : part.last][found.row]), np.uint64(1))
-            ends = np.concatenate([[0], np.cumsum(~_END[data])])
+            ends = np.cumsum(~_END[data], dtype=np.int32)  # a word's first byte ends nothing
             piece = ends[found.start]
             joined = np.append(False, (found.row[1:] == found.row[:-1]) & (piece[1:] == piece[:-1]))
             yield langs[part.first : part.last], data, found, key, joined
@@ -84,12 +88,23 @@ def _binary(keys: np.ndarray, width: int = 8) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
 
 
+_BLOB_SQL = "bucket long, payload binary"
 _COUNTED = ("key", "lang", "word", "c")
 _COUNTED_SQL = "key binary, lang string, word string, c long"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]):
-    """Words by language with their number; pairs that a sample finds often, without words."""
+def _table(lang: pa.Array, word: pa.Array, n: np.ndarray) -> bytes:
+    """Words and their numbers as a compressed Arrow message; sorted words compress well."""
+    batch = pa.RecordBatch.from_arrays([lang, word, pa.array(n)], names=["lang", "word", "c"])
+    batch = batch.take(pc.sort_indices(batch, [("lang", "ascending"), ("word", "ascending")]))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def _counted(batches: Iterator[pa.RecordBatch], buckets: int):
+    """Blobs of words by language with their number; in buckets below zero, of pairs that a sample finds often."""
     held: list[tuple] = []
     size = 0
 
@@ -101,9 +116,11 @@ def _counted(batches: Iterator[pa.RecordBatch]):
 
     def sent():
         key, lang, word, n = merged()
-        for first in range(0, len(key), 1 << 15):
-            yield pa.RecordBatch.from_arrays(
-                [_binary(key[first : first + (1 << 15)]), lang.slice(first, 1 << 15), word.slice(first, 1 << 15), pa.array(n[first : first + (1 << 15)])], names=_COUNTED)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for first, last in _runs(bucket[order]):
+            some = order[first:last]
+            yield _blob(int(bucket[some[0]]), _table(lang.take(pa.array(some)), word.take(pa.array(some)), n[some]))
 
     for langs, data, found, key, joined in _read(batches):
         some, first, n = np.unique(key, return_index=True, return_counts=True)
@@ -116,10 +133,10 @@ def _counted(batches: Iterator[pa.RecordBatch]):
         at = np.flatnonzero(joined[1:])
         at = at[:: max(1, len(at) // SAMPLE)]
         pair, often = np.unique(T.mix(key[at] * T._MULTIPLY + key[at + 1]), return_counts=True)
-        pair, often = pair[often >= OFTEN], often[often >= OFTEN]
-        if len(pair):
-            none = pa.nulls(len(pair), pa.string())
-            yield pa.RecordBatch.from_arrays([_binary(pair), none, none, pa.array(often)], names=_COUNTED)
+        pair, often = pair[often >= OFTEN], often[often >= OFTEN].astype(np.int64)
+        bucket = -1 - (pair % np.uint64(buckets)).astype(np.int64)
+        for b in np.unique(bucket).tolist():
+            yield _blob(b, pair[bucket == b].tobytes() + often[bucket == b].tobytes())
         if size > MOST_HELD:
             held = [merged()]
             size = len(held[0][0])
@@ -130,6 +147,51 @@ def _counted(batches: Iterator[pa.RecordBatch]):
         yield from sent()
 
 
+def _blob(bucket: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+
+
+def _keys(lang: pa.Array, word: pa.Array) -> np.ndarray:
+    """The keys of words, as ``_read`` has them."""
+    offsets = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1].astype(np.int64)
+    found = T.hash_spans(np.frombuffer(word.buffers()[2], np.uint8), offsets[:-1], offsets[1:])
+    coded = lang.dictionary_encode()
+    hashes = np.array([_language(x) for x in coded.dictionary.to_pylist()], np.uint64)
+    return np.maximum(T.mix(found ^ hashes[coded.indices.to_numpy()]), np.uint64(1))
+
+
+def _added(batches: Iterator[pa.RecordBatch]):
+    """Blobs sorted by bucket: a row for each word (or pair) of a bucket."""
+    for bucket, payloads in _by_bucket(batches):
+        if bucket < 0:
+            raw = [np.frombuffer(p, np.uint64).reshape(2, -1) for p in payloads]
+            key, own = np.unique(np.concatenate([r[0] for r in raw]), return_inverse=True)
+            n = np.bincount(own, weights=np.concatenate([r[1] for r in raw])).astype(np.int64)
+            lang = word = pa.nulls(len(key), pa.string())
+        else:
+            table = pa.concat_tables([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(p)).read_all() for p in payloads]).combine_chunks()
+            lang, word = (table[c].combine_chunks() for c in ("lang", "word"))
+            key, first, own = np.unique(_keys(lang, word), return_index=True, return_inverse=True)
+            n = np.bincount(own, weights=table["c"].to_numpy()).astype(np.int64)
+            lang, word = lang.take(pa.array(first)), word.take(pa.array(first))
+        for first in range(0, len(key), 1 << 15):
+            yield pa.RecordBatch.from_arrays(
+                [_binary(key[first : first + (1 << 15)]), lang.slice(first, 1 << 15), word.slice(first, 1 << 15), pa.array(n[first : first + (1 << 15)])], names=_COUNTED)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    current, waiting = None, []
+    for batch in batches:
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+            if bucket != current and waiting:
+                yield current, waiting
+                waiting = []
+            current = bucket
+            waiting.append(payload.as_py())
+    if waiting:
+        yield current, waiting
+
+
 def _bits(batches: Iterator[pa.RecordBatch], bits: int):
     """The words' places in the bitmap, by block of 2^16 bits."""
     for batch in batches:
@@ -183,21 +245,72 @@ def _distinct(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return words[first], np.bincount(own, weights=n, minlength=len(first)).astype(np.int64)
 
 
-def _encoded(words: np.ndarray, n: np.ndarray) -> bytes:
-    order = np.lexsort(words.T[::-1])  # columns of sorted suffixes compress well
-    raw = np.int64(len(n)).tobytes() + words[order].T.tobytes() + n[order].astype(np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+class CommonWords:
+    """Numbers, from 1 by frequency, of the most frequent words; others keep their hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.numbers = keys[order], (order + 1).astype(np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, ``_OTHER`` if it has none, 0 for the end."""
+        if not len(self.keys):
+            return np.where(keys == 0, 0, _OTHER).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], np.where(keys == 0, 0, _OTHER)).astype(np.uint32)
+
+    def names(self, keys: np.ndarray) -> np.ndarray:
+        """What a word is called from here on: its number, or its hash."""
+        number = self.find(keys)
+        return np.where(number == _OTHER, _other(keys), number)
+
+
+_OTHER = np.uint32(0xFFFFFFFF)
+
+
+def _other(keys: np.ndarray) -> np.ndarray:
+    return np.maximum(keys, np.uint64(1 << 32))  # apart from all numbers
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first: small numbers compress well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _encoded(words: np.ndarray, numbers: np.ndarray, n: np.ndarray) -> bytes:
+    """A blob of suffixes by their words' numbers; words without one follow as hashes."""
+    others = [words[numbers[:, j] == _OTHER, j] for j in range(words.shape[1])]
+    raw = np.array([len(n), *map(len, others)], np.int64).tobytes() + _planes(n.astype(np.int64)) + b"".join(
+        _planes(np.ascontiguousarray(x)) for x in numbers.T) + b"".join(x.tobytes() for x in others)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _decoded(blob: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by the words' names, and how often they occur."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.uint64, n * longest, 8).reshape(longest, n).T, np.frombuffer(raw, np.int64, n, 8 + 8 * n * longest)
+    n, *others = np.frombuffer(raw, np.int64, 1 + longest).tolist()
+    at = 8 * (1 + longest)
+
+    def values(kind) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        found = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel()
+        at += n * size
+        return found
+
+    times = values(np.int64)
+    numbers = [values(np.uint32) for _ in range(longest)]
+    words = np.zeros((n, longest), np.uint64)
+    for j in range(longest):
+        words[:, j] = numbers[j]
+        words[numbers[j] == _OTHER, j] = _other(np.frombuffer(raw, np.uint64, others[j], at))
+        at += 8 * others[j]
+    return words, times
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, known):
     """Blobs of suffixes by bucket: (bucket, payload). Buckets from ``buckets`` on are of split pairs."""
-    bitmap, split = known.value
+    bitmap, split, common = known.value
     bits = np.uint64(len(bitmap) * 8 - 1)
     held: list[np.ndarray] = []
     size = 0
@@ -218,13 +331,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, kno
             words, n, bucket = (
                 np.concatenate([words[cold], words[hot][longer], rest]), np.concatenate([n[cold], n[hot][longer], sums]),
                 np.concatenate([bucket[cold], own[longer], (T.mix(rest[:, 0] * T._MULTIPLY + rest[:, 1]) % np.uint64(buckets)).astype(np.int64)]))
-        order = np.argsort(bucket, kind="stable")
-        words, n, bucket = words[order], n[order], bucket[order]
+        numbers = common.find(words.ravel()).reshape(words.shape)
+        order = np.lexsort((*numbers.T[::-1], bucket))  # neighbours alike: they compress well
+        words, numbers, n, bucket = words[order], numbers[order], n[order], bucket[order]
         runs = _runs(bucket)
         for first in range(0, len(runs), 64):
             some = runs[first : first + 64]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[a]) for a, _ in some]), pa.array([_encoded(words[a:b], n[a:b]) for a, b in some], pa.binary())], names=["bucket", "payload"])
+                [pa.array([int(bucket[a]) for a, _ in some]), pa.array([_encoded(words[a:b], numbers[a:b], n[a:b]) for a, b in some], pa.binary())], names=["bucket", "payload"])
 
     for _, _, _, key, joined in _read(batches):
         place = key & bits
@@ -315,24 +429,39 @@ def _phrases(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, leas
         yield from done()
 
 
-def phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(key, lang, word, c) of all words, and (phrase, c) of the phrases with ``least`` occurrences.
+def _named(batches: Iterator[pa.RecordBatch], known):
+    """Words under the names that phrases use."""
+    for batch in batches:
+        key = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint64)
+        yield pa.RecordBatch.from_arrays([_binary(known.value[2].names(key)), *(batch.column(c) for c in _COUNTED[1:])], names=_COUNTED)
+
+
+def phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, lang, word, c) of all words, the same of words and (phrase, c) of phrases with ``least`` occurrences.
 
-    A phrase is the keys (8 bytes each) of its two to ``longest`` words.
+    A phrase is the keys (8 bytes each) of its two to ``longest`` words; in the last two tables the key is a
+    number for the ``COMMON`` most frequent words, which every task gets, and a hash for all others.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = cut(texts.mapInArrow(_counted, _COUNTED_SQL).groupBy("key", "lang", "word").agg(F.sum("c").alias("c")))
+    parts = (texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // WORD_BYTES + 1
+    most = 20 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = cut(
+        texts.mapInArrow(lambda b: _counted(b, parts), _BLOB_SQL)
+        .repartition(min(2 * parts, most), "bucket").sortWithinPartitions("bucket").mapInArrow(_added, _COUNTED_SQL))
     words = counted.where("word IS NOT NULL")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     pairs = counted.where("word IS NULL").orderBy(F.desc("c"), "key").limit(SPLIT_PAIRS).select("key").collect()
     split = np.sort(np.array([np.frombuffer(r.key, np.uint64)[0] for r in pairs], np.uint64))
-    known = spark.sparkContext.broadcast((frequent_bitmap(words.where(F.col("c") >= least)), split))
+    often = words.where(F.col("c") >= least)
+    top = often.orderBy(F.desc("c"), "key").limit(COMMON).select("key").toArrow().column("key").to_pylist()
+    common = CommonWords(np.frombuffer(b"".join(top), np.uint64))
+    known = spark.sparkContext.broadcast((frequent_bitmap(often), split, common))
     buckets = total // BUCKET_WORDS + 1
-    tasks = max(1, min(2 * buckets, 20 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return words, cut(
-        texts.mapInArrow(lambda b: _suffixes(b, longest, buckets, known), "bucket long, payload binary")
-        .repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    frequent = cut(often.mapInArrow(lambda b: _named(b, known), _COUNTED_SQL))
+    return words, frequent, cut(
+        texts.mapInArrow(lambda b: _suffixes(b, longest, buckets, known), _BLOB_SQL)
+        .repartition(min(2 * buckets, most), "bucket").sortWithinPartitions("bucket")
         .mapInArrow(lambda b: _phrases(b, longest, buckets, least), "phrase binary, c long"))
 
 
@@ -345,8 +474,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, explained:
     """
     if longest < 2 or least < 1:
         raise ValueError("longest must be 2 or more, least 1 or more.")
-    words, phrases = phrase_counts(docs, longest, least)
-    often = words.where(F.col("c") >= least)
+    words, often, phrases = phrase_counts(docs, longest, least)
     counts = cut(often.select(F.col("key").alias("part"), F.col("c").alias("f"), "lang").unionByName(
         phrases.select(F.col("phrase").alias("part"), F.col("c").alias("f"), F.lit(None).cast("string").alias("lang"))))
     size = (F.octet_length("phrase") / 8).cast("int")

@@ -156,7 +156,8 @@ def test_suffixes_split_and_flushed(monkeypatch, buckets, flush, often):
     docs = [("en", t) for t in _sentences(4, 30)]
     batches = [pa.RecordBatch.from_pydict({"lang": [x for x, _ in some], "text": [t for _, t in some]}) for some in (docs[:7], docs[7:])]
     counts, split, names = Counter(), set(), {}
-    for batch in C._counted(iter(batches)):
+    blobs = sorted((b, p) for r in C._counted(iter(batches), buckets) for b, p in zip(r.column("bucket").to_pylist(), r.column("payload").to_pylist()))
+    for batch in C._added(pa.RecordBatch.from_pydict({"bucket": [b], "payload": [p]}) for b, p in blobs):
         for key, _, word, c in zip(*[batch.column(n).to_pylist() for n in C._COUNTED]):
             if word is None:
                 split.add(np.frombuffer(key, np.uint64)[0])
@@ -170,7 +171,11 @@ def test_suffixes_split_and_flushed(monkeypatch, buckets, flush, often):
     for key, word in names.items():
         place = int(np.frombuffer(key, np.uint64)[0]) & 0xFFFF
         bitmap[place >> 3] |= (128 >> (place & 7)) * (counts[word] >= 4)
-    known = SimpleNamespace(value=(bitmap, np.sort(np.array(list(split), np.uint64))))
+    # some of the words travel as numbers, the others as hashes
+    common = C.CommonWords(np.array([np.frombuffer(k, np.uint64)[0] for k, w in names.items() if counts[w] >= 20], np.uint64))
+    names = {common.names(np.frombuffer(k, np.uint64)).tobytes(): w for k, w in names.items()}
+    assert {len(k) for k in names} == {8} and min(int(np.frombuffer(k, np.uint64)[0]) for k in names) == 1
+    known = SimpleNamespace(value=(bitmap, np.sort(np.array(list(split), np.uint64)), common))
     blobs = sorted((b, p) for r in C._suffixes(iter(batches), 3, buckets, known) for b, p in zip(r.column("bucket").to_pylist(), r.column("payload").to_pylist()))
     sent = [pa.RecordBatch.from_pydict({"bucket": [b], "payload": [p]}) for b, p in blobs]
     found = [(p, c) for r in C._phrases(iter(sent), 3, buckets, 4) for p, c in zip(r.column("phrase").to_pylist(), r.column("c").to_pylist())]
