@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logsift import constants as C
 from logsift.functions import text as X
-from logsift.operators.ordering import BROADCAST_ROWS, attach, dense_index
+from logsift.operators.ordering import BROADCAST_ROWS, attach, attach_frequent, dense_index
 
 
 @dataclass(frozen=True)
@@ -135,12 +135,12 @@ def weigh(counts: DataFrame, vocabulary: Vocabulary, keys: Sequence[str]) -> Dat
     tf = F.col("tf").cast("double")
     if vocabulary.options.sublinear:
         tf = 1.0 + F.log(tf)
-    terms = vocabulary.terms.select(*vocabulary.scope, "term", "term_id", "idf")
+    terms = vocabulary.terms.select(*vocabulary.scope, "term", "term_id", "idf", "df")
     limit = vocabulary.options.max_features
     if limit is not None and limit <= BROADCAST_ROWS:
         joined = counts.join(F.broadcast(terms), "term")
     else:
-        joined = attach(counts, terms, [*vocabulary.scope, "term"])
+        joined = attach_frequent(counts, terms, [*vocabulary.scope, "term"], "df")
     return joined.select(*keys, "term", "term_id", (tf * F.col("idf")).alias("weight"))
 
 

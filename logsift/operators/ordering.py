@@ -30,6 +30,28 @@ def attach(
     return df.join(F.broadcast(lookup) if small else lookup, on, how)
 
 
+def attach_frequent(df: DataFrame, lookup: DataFrame, on: list[str], frequency: str) -> DataFrame:
+    """Inner join with a lookup table that says how often each of its keys occurs in ``df``.
+
+    Small lookups are broadcast. Of larger ones the most frequent keys, ``BROADCAST_ROWS`` at most, are
+    broadcast and their rows stay where they are; only rows of rare keys are shuffled, so no
+    task gets a hot key.
+    """
+    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(lookup), on)
+    # keys of every frequency, from the highest; the first that doesn't fit any more and all below are rare
+    counted = lookup.groupBy(frequency).count().orderBy(F.desc(frequency)).limit(BROADCAST_ROWS + 1).collect()
+    held, rare = 0, None
+    for row in counted:
+        held += row["count"]
+        if held > BROADCAST_ROWS:
+            rare = row[frequency]
+            break
+    hot = F.broadcast(lookup.filter(F.col(frequency) > rare))
+    rest = df.join(hot.select(*on), on, "left_anti").join(lookup.filter(F.col(frequency) <= rare), on)
+    return df.join(hot, on).unionByName(rest)
+
+
 def _sorted_cut(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return cut_lineage(placed).withColumn("_mid", F.monotonically_increasing_id())
