@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import section_abc as A, sql as Q, tables as T
 from logsift import constants as C
 from logsift.functions import text as X, vectors as V
-from logsift.operators import features as D, investigation as I, retrieval as R, splits
+from logsift.operators import cells, features as D, investigation as I, retrieval as R, splits
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -192,6 +192,32 @@ def _(spark, sf):
         "query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("e2_all_cells", f"""WITH {VECTOR_PARTS}, s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.e, d.e) AS score
+  FROM u q, u d WHERE NOT q.old AND d.old)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 3""")
+def _(spark, sf):
+    """The approximate search with every cell is the exact one."""
+    old, late = vector_parts(spark, sf)
+    index = cells.build_cells(old, 16)
+    found = cells.search_cells(late.select("query_id", "embedding"), index, probes=16)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("e2_approximate_recall", """WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT 16 AS cells, 12 AS probes, n - CAST(floor(n * 0.6::DOUBLE) AS BIGINT) AS queries, true AS recall_at_3 FROM n""")
+def _(spark, sf):
+    """Three quarters of the cells: these vectors spread evenly, so their neighbours lie in many cells."""
+    old, late = vector_parts(spark, sf)
+    asked = late.select("query_id", "embedding")
+    exact = R.search_batch(asked, R.build_index(old, None), semantic_weights=(1.0,))
+    found = cells.search_cells(asked, cells.build_cells(old, 16), probes=12)
+    share = cells.recall(found, exact).first()["recall"]
+    return asked.agg(F.count(F.lit(1)).alias("queries")).select(
+        F.lit(16).alias("cells"), F.lit(12).alias("probes"), "queries", F.lit(share >= 0.9).alias("recall_at_3"))
+
+
 def hybrid_parts(spark, sf):
     """All documents, split chronologically; half of them have a vector, whose class gives the label."""
     docs = splits.chronological_split(T.documents(spark, sf).select("doc_id", "text"), ["doc_id"]).join(

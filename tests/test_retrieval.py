@@ -258,6 +258,30 @@ def test_vectors_may_be_missing(spark):
     assert [(r.doc_id, r.score) for r in none] == [(2, 0.0)]
 
 
+def test_cells_find_neighbours(spark):
+    import numpy as np
+
+    from logsift.operators import cells
+
+    draw = np.random.default_rng(2)
+    middles = draw.normal(size=(12, 8))
+    unit = lambda x: (x / np.linalg.norm(x)).tolist()
+    rows = [("a" if i // 12 % 3 else None, i, i, unit(middles[i % 12] + 0.2 * draw.normal(size=8)) if i % 50 else None) for i in range(600)]
+    known = spark.createDataFrame(rows, "organization string, doc_id long, doc_pos long, embedding array<double>")
+    asked = spark.createDataFrame([("a" if i % 2 else None, i, unit(middles[i % 12] + 0.2 * draw.normal(size=8)) if i else None) for i in range(40)],
+                                  "organization string, query_id long, embedding array<double>")
+    exact = R.search_batch(asked, R.build_index(known, None, scope=("organization",)), semantic_weights=(1.0,)).persist()
+    index = cells.build_cells(known, 12, scope=("organization",))
+    key = lambda df: {(r.organization, r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect()}
+    assert key(cells.search_cells(asked, index, probes=12)) == key(exact)
+    near = cells.search_cells(asked, index, probes=2)
+    assert cells.recall(near, exact, ("organization",)).first()["recall"] >= 0.9
+    assert index.packed.agg(F.sum("rows")).first()[0] == 600
+    assert cells.search_cells(asked.limit(0), index, probes=2).collect() == []
+    nothing = cells.build_cells(known.filter("doc_id < 0"), 4, scope=("organization",))
+    assert cells.search_cells(asked, nothing, probes=2).collect() == []
+
+
 def test_exact_quantiles(spark):
     from logsift.operators.ordering import exact_quantiles
 
