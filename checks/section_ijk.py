@@ -79,6 +79,17 @@ def _(spark, sf):
     return I.cause_keywords(A._knowledge(spark, sf)).withColumn("keywords", F.array_join("keywords", " "))
 
 
+@query("i2_keyword_table", f"""WITH {A.KNOWLEDGE}, {_keywords_sql()}
+SELECT cause, word, CAST(seen // 1000000 AS BIGINT) AS doc_pos, row_number() OVER (PARTITION BY cause ORDER BY seen) AS place FROM kw_first""".replace(
+    "seen // 1000000", "CASE WHEN seen < 0 THEN -1 ELSE seen // 1000000 END"))
+def _(spark, sf):
+    from logsift.operators.ordering import position_within
+
+    table = I.keyword_table(A._knowledge(spark, sf)).select("cause", "word", "seen")
+    placed = position_within(table, ["cause"], F.col("seen"), F.col("word"), name="place")
+    return placed.select("cause", "word", F.col("seen.doc_pos").alias("doc_pos"), (F.col("place") + 1).alias("place"))
+
+
 def deployments(spark, sf):
     o = T.table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").cast("string").alias("id"),

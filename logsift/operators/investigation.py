@@ -7,8 +7,10 @@ partial counts, so an incident with very many events is no single task's problem
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift import constants as C
@@ -17,6 +19,9 @@ from logsift.operators.features import KNOWLEDGE, TextOptions
 from logsift.operators.ordering import attach, last_before, top_per_group
 from logsift.operators.retrieval import build_index, in_scope, search_batch
 
+# Keywords sent to the tasks at once, with their causes.
+KEYWORD_BYTES = 8 << 20
+
 
 def incident_summary(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Affected service, counts, first and last time, without the templates."""
@@ -55,10 +60,11 @@ def dominant_errors(events: DataFrame, k: int = 3, scope: Sequence[str] = ()) ->
         *key, "rank", "template", "n")
 
 
-def cause_keywords(knowledge: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Keywords of each cause: the fixed taxonomy plus tokens of labelled documents.
+def keyword_table(knowledge: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Keywords of each cause, one row each: the fixed taxonomy plus tokens of labelled documents.
 
-    Returns (scope..., cause, cause_order, keywords). ``knowledge`` needs ``doc_pos``.
+    Returns (scope..., cause, cause_order, seen, word); ``seen`` sorts a cause's words by their first place.
+    ``knowledge`` needs ``doc_pos``.
     """
     scope = list(scope)
     spark = knowledge.sparkSession
@@ -88,15 +94,70 @@ def cause_keywords(knowledge: DataFrame, scope: Sequence[str] = ()) -> DataFrame
         "doc_pos",
         F.posexplode(F.regexp_extract_all(source, F.lit(X.KEYWORD_TOKEN), F.lit(0))).alias("place", "word"),
     ).filter(~F.col("word").isin(list(C.COMMON_KEYWORDS)))
-    first = fixed.unionByName(own).groupBy(*scope, "cause", "word").agg(
+    return fixed.unionByName(own).groupBy(*scope, "cause", "word").agg(
         F.min("cause_order").alias("cause_order"),
         F.min(F.struct("doc_pos", "place")).alias("seen"))
-    return first.groupBy(*scope, "cause").agg(
+
+
+def cause_keywords(knowledge: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """I2, nested form for reading: (scope..., cause, cause_order, keywords)."""
+    return keyword_table(knowledge, scope).groupBy(*scope, "cause").agg(
         F.min("cause_order").alias("cause_order"),
         F.transform(F.sort_array(F.collect_list(F.struct("seen", "word"))), lambda s: s["word"])
         .alias("keywords"))
 
 
+def keyword_hits(texts: DataFrame, table: DataFrame, key: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """How many different keywords of its wanted causes a text contains: (scope..., key..., cause, hits).
+
+    ``texts``: scope, key, text, wanted (a few causes). One automaton finds the keywords of all causes in one pass
+    over a text. Keywords are sent to the tasks in parts of ``KEYWORD_BYTES``; more than one part takes a pass each.
+    """
+    scope, key = list(scope), list(key)
+    spark = texts.sparkSession
+    words = table.select(*scope, "cause", "word")
+    size = words.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("cause") + 16), F.lit(0))).first()[0]
+    parts = -(-size // KEYWORD_BYTES) or 1
+    rows = texts.select(*scope, *key, "text", "wanted")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*scope, *key))
+    found = None
+    for part in range(parts):
+        some = words if parts == 1 else words.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == part)
+        known: dict[str, list[tuple]] = {}
+        for row in some.toArrow().to_pylist():  # at most KEYWORD_BYTES
+            known.setdefault(row["word"], []).append((*[row[c] for c in scope], row["cause"]))
+        hits = rows.mapInArrow(_counted_hits(spark.sparkContext.broadcast(known), scope, key), f"{kinds}, cause string, hits long")
+        found = hits if found is None else found.unionByName(hits)
+    return found if parts == 1 else found.groupBy(*scope, *key, "cause").agg(F.sum("hits").alias("hits"))
+
+
+def _counted_hits(known, scope: list[str], key: list[str]):
+    def work(batches: Iterator[pa.RecordBatch]):
+        automaton = ahocorasick.Automaton()
+        for word, causes in known.value.items():
+            automaton.add_word(word, causes)
+        if known.value:
+            automaton.make_automaton()
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in scope]
+            rows, causes, hits = [], [], []
+            for k, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist())):
+                own = tuple(n[k] for n in names)
+                counted = {(*own, cause): 0 for cause in wanted or ()}
+                # matches of one word are one object
+                matched = {id(m): m for _, m in automaton.iter(text or "")} if known.value else {}
+                for match in matched.values():
+                    for cause in match:
+                        if cause in counted:
+                            counted[cause] += 1
+                rows += [k] * len(counted)
+                causes += [c[-1] for c in counted]
+                hits += counted.values()
+            kept = batch.select([*scope, *key]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(causes, pa.string()), pa.array(hits, pa.int64())], names=[*scope, *key, "cause", "hits"])
+    return work
+
+
 def knowledge_index(knowledge: DataFrame, *, scope: Sequence[str] = (),
                     options: TextOptions = KNOWLEDGE):
     """Searchable corpus; needs id, doc_pos and, for hybrid search, embedding."""
@@ -174,13 +235,13 @@ def affected_by_deployment(summary: DataFrame, deployments: DataFrame, scope: Se
 
 
 def rank_hypotheses(
-    incidents: DataFrame, evidence: DataFrame, causes: DataFrame, deployed: DataFrame,
+    incidents: DataFrame, evidence: DataFrame, keywords: DataFrame, deployed: DataFrame,
     *, minimum_evidence: float | Sequence[float] = C.MINIMUM_HYPOTHESIS_EVIDENCE, k: int = 3,
     scope: Sequence[str] = (), by: Sequence[str] = (),
 ) -> DataFrame:
     """I4: causes with enough evidence, scored by keywords, evidence and deployments.
 
-    Only causes cited by the incident's own evidence can pass a positive threshold, so
+    ``keywords``: ``keyword_table``. Only causes cited by the incident's own evidence can pass a positive threshold, so
     at most four (incident, cause) rows arise per incident. Several thresholds are cells
     of the evidence score and give a column ``minimum_evidence``; ``by`` are columns of ``evidence``
     that tell trials apart (semantic_weight).
@@ -195,15 +256,14 @@ def rank_hypotheses(
     ).agg(F.max("hybrid_similarity").alias("evidence_score"),
           F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"])
           .alias("evidence_ids"))
-    rows = (
-        best.filter(F.col("evidence_score") >= min(thresholds))
-        .join(incidents.select(*key, "log_text"), key)
-        .join(deployed.select(*key, "deployed"), key, "left")
-    )
-    rows = attach(rows, causes, [*scope, "cause"])
-    found = F.size(F.filter("keywords", lambda w: F.col("log_text").contains(w)))
+    best = best.filter(F.col("evidence_score") >= min(thresholds))
+    wanted = best.groupBy(*key).agg(F.collect_set("cause").alias("wanted"))  # four at most for each search
+    hits = keyword_hits(wanted.join(incidents.select(*key, F.col("log_text").alias("text")), key), keywords, ["incident_id"], scope)
+    per_cause = keywords.groupBy(*scope, "cause").agg(F.min("cause_order").alias("cause_order"), F.count(F.lit(1)).alias("words"))
+    rows = best.join(hits, [*key, "cause"]).join(deployed.select(*key, "deployed"), key, "left")
+    rows = attach(rows, per_cause, [*scope, "cause"])
     score = (
-        0.45 * (found / F.size("keywords")) + 0.40 * F.col("evidence_score")
+        0.45 * (F.col("hits") / F.col("words")) + 0.40 * F.col("evidence_score")
         + 0.15 * F.when((F.col("cause") == C.DEPLOYMENT_CAUSE) & F.col("deployed"), 1.0).otherwise(0.0)
     )
     scored = rows.withColumn("confidence", F.round(F.least(score, F.lit(0.99)), 4))
@@ -213,18 +273,23 @@ def rank_hypotheses(
         scored, trial = scored.withColumn("minimum_evidence", F.explode(reached)), [*by, "minimum_evidence"]
     return top_per_group(
         scored, [*trial, *key], [F.desc("confidence"), F.asc("cause_order")], k
-    ).select(*trial, *key, "rank", "cause", "confidence", "evidence_ids", "keywords")
+    ).select(*trial, *key, "rank", "cause", "confidence", "evidence_ids")
 
 
-def plan_checks(evidence: DataFrame, hypotheses: DataFrame, k: int = 6, scope: Sequence[str] = ()) -> DataFrame:
-    """The first k distinct steps of relevant cited runbooks, in evidence order."""
+def plan_checks(
+    evidence: DataFrame, hypotheses: DataFrame, keywords: DataFrame, k: int = 6, scope: Sequence[str] = ()
+) -> DataFrame:
+    """The first k distinct steps of relevant cited runbooks, in evidence order.
+
+    A runbook is relevant if its cause is among the hypotheses or its title names a keyword of theirs.
+    """
     key = [*scope, "incident_id"]
-    wanted = hypotheses.groupBy(*key).agg(
-        F.collect_set("cause").alias("causes"),
-        F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("words"))
+    wanted = hypotheses.groupBy(*key).agg(F.collect_set("cause").alias("wanted"))  # three at most
     books = evidence.filter(F.col("kind") == "runbook").join(wanted, key)
-    relevant = F.coalesce(F.array_contains("causes", F.col("root_cause")), F.lit(False)) | F.exists(
-        "words", lambda w: F.lower("title").contains(w))
+    titles = books.select(*key, "id", F.lower("title").alias("text"), "wanted")
+    named = keyword_hits(titles, keywords, ["incident_id", "id"], scope).filter("hits > 0").select(*key, "id").distinct()
+    books = books.join(named.withColumn("_named", F.lit(True)), [*key, "id"], "left")
+    relevant = F.coalesce(F.array_contains("wanted", F.col("root_cause")), F.lit(False)) | F.coalesce("_named", F.lit(False))
     steps = books.filter(relevant).select(
         *key, F.col("rank").alias("book"), F.col("id").alias("source_id"),
         F.posexplode("steps").alias("place", "step"))

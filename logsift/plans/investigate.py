@@ -55,8 +55,9 @@ def investigate(
     evidence = I.knowledge_evidence(
         incidents.select(*columns), index, semantic_weight=semantic_weight).persist()
     deployed = I.affected_by_deployment(summary, deployments, scope)
+    keywords = cut_lineage(I.keyword_table(knowledge, scope))
     hypotheses = I.rank_hypotheses(
-        incidents, evidence, I.cause_keywords(knowledge, scope), deployed,
+        incidents, evidence, keywords, deployed,
         minimum_evidence=minimum_evidence, scope=scope).persist()
     return Investigation(
         summary=summary,
@@ -65,7 +66,7 @@ def investigate(
         deployments=I.correlate_deployments(summary, deployments, scope),
         deployment_context=I.deployment_context(summary, deployments, scope),
         hypotheses=hypotheses,
-        checks=I.plan_checks(evidence, hypotheses, scope=scope),
+        checks=I.plan_checks(evidence, hypotheses, keywords, scope=scope),
         decisions=incidents.drop("log_text").withColumn("decision", F.lit(C.ENGINEER_REVIEW)),
     )
 
@@ -85,7 +86,7 @@ def configuration_trials(
     evidence = cut_lineage(I.knowledge_evidence(
         cases.select("incident_id", "log_text", "embedding"), index, semantic_weight=[float(w) for w in weights]))
     hypotheses = I.rank_hypotheses(
-        cases, evidence, I.cause_keywords(knowledge), deployed, minimum_evidence=thresholds, by=trial[:1])
+        cases, evidence, cut_lineage(I.keyword_table(knowledge)), deployed, minimum_evidence=thresholds, by=trial[:1])
     cells = F.array(*[F.struct(F.lit(float(w)).alias(trial[0]), F.lit(float(t)).alias(trial[1])) for w in weights for t in thresholds])
     judged = cases.drop("log_text", "embedding").select("*", F.inline(cells))
     return H.known_unknown_metrics(H.investigator_rows(judged, hypotheses, evidence, trial), trial)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from logsift import constants as C, schemas as S
@@ -90,3 +91,22 @@ def test_configuration_search_runs_all_trials(spark):
     best = H.select_investigation_config(spark.createDataFrame(trials)).first()
     top = max(0.5 * t["unknown_abstention_rate"] + 0.35 * t["known_top_1_accuracy"] + 0.15 * (t["known_hypothesis_precision"] or 0) for t in trials)
     assert abs(best["objective"] - top) < 1e-9
+
+
+@pytest.mark.parametrize("most", [8 << 20, 400])
+def test_keyword_hits_of_many_keywords(spark, monkeypatch, most):
+    monkeypatch.setattr(I, "KEYWORD_BYTES", most)
+    number = 100_000 if most > 400 else 60
+    words = spark.range(number).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("organization"),
+        F.concat(F.lit("cause-"), (F.col("id") % 7).cast("string")).alias("cause"), F.concat(F.lit("kw"), F.col("id").cast("string")).alias("word"))
+    texts = [("a", "i1", "kw2 xkw20y kw20 kw3 nothing", ["cause-2", "cause-6", "cause-5"]), ("b", "i1", "kw3kw5 kw59", ["cause-3", "cause-5"]),
+             ("b", "i2", "", ["cause-3"]), ("a", "i3", None, ["cause-0"]), ("a", "i4", "kw2", None), ("c", "i5", "kw2", ["cause-2"])]
+    rows = spark.createDataFrame(texts, "organization string, incident_id string, text string, wanted array<string>")
+    found = {(r.organization, r.incident_id, r.cause): r.hits for r in I.keyword_hits(rows, words, ["incident_id"], ["organization"]).collect()}
+    own = {}
+    for k in range(min(number, 1000)):
+        own.setdefault(("ab"[k % 2], f"cause-{k % 7}"), []).append(f"kw{k}")
+    assert found == {(o, i, c): sum(w in (t or "") for w in own.get((o, c), [])) for o, i, t, wanted in texts for c in wanted or []}
+    assert I.keyword_hits(rows.limit(0), words, ["incident_id"], ["organization"]).collect() == []
+    assert {r.hits for r in I.keyword_hits(rows, words.limit(0), ["incident_id"], ["organization"]).collect()} == {0}
