@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MODEL = os.environ.get("LLM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 _UNIT = re.compile(f" +[^ \n{SPACE}]*|\n|{SPACE}|[^ \n{SPACE}]+")
-#: Segmented words that a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+#: Segmented words of each of the two generations that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 100_000, 64
 #: Positions of words that are segmented together.
 CELLS = 1 << 20
 
@@ -70,6 +70,7 @@ class Pieces:
         self.text = {i: piece for i, piece, _ in normal}
         self._automaton([(i, piece) for i, piece, _ in normal], scores)
         self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _automaton(self, normal: list[tuple[int, str]], scores: np.ndarray) -> None:
         """Trie, failure links and output links; children are one sorted array of (node, sign)."""
@@ -159,10 +160,21 @@ class Pieces:
         return out
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Segments words that aren't remembered; long ones are returned, not kept."""
+        """Segments words that aren't remembered; long ones are returned, not kept.
+
+        When a generation is full, it becomes the older one, and a word that is met again moves on
+        from there: what is forgotten wasn't seen for a whole generation.
+        """
         if len(self.remembered) + len(units) > REMEMBERED:
-            self.remembered.clear()
-        fresh = sorted((u for u in units if u not in self.remembered), key=len, reverse=True)
+            self.older, self.remembered = self.remembered, {}
+        fresh = []
+        for unit in units.difference(self.remembered):
+            ids = self.older.get(unit)
+            if ids is None:
+                fresh.append(unit)
+            else:
+                self.remembered[unit] = ids
+        fresh.sort(key=len, reverse=True)
         known, first = {}, 0
         while first < len(fresh):
             last = first + max(1, CELLS // (len(fresh[first]) + 1))
@@ -215,7 +227,6 @@ def _encode(batches: Iterator[pa.RecordBatch], shared):
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)),
                                            mask=pa.array([p is None for p in packed]))
             yield pa.RecordBatch.from_arrays([*some.columns, ids], names=[*some.schema.names, "ids"])
-    pieces.remembered.clear()  # the worker process outlives the task
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
