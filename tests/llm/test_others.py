@@ -149,3 +149,85 @@ def test_pipeline_keeps_rows_with_missing_and_repeated_ids(spark, tmp_path):
     sf = _tables(spark, tmp_path, rows, "doc_id long, text string")
     found = sorted(((r.doc_id, r.text) for r in _pipeline().run(spark, sf).collect()), key=str)
     assert found == sorted([(1, a), (1, b), (None, c), (None, d), (None, e), (None, ""), (3, None), (4, "short")], key=str)
+
+
+def test_pipeline_keeps_columns_with_clashing_names(spark, tmp_path):
+    draw = np.random.default_rng(13)
+    a, b, c = (" ".join(draw.choice([f"w{k}" for k in range(3000)], 60)) for _ in range(3))
+    repeated = " ".join(a.split()[5:40])
+
+    def rows(one, other):
+        return [(1, a, 9.0, [7], "yes", 3, "t1"), (2, b + " " + repeated, 0.1, None, None, None, None), (3, c, -1.0, [], "no", 5, "t3"), (4, one, 1.0, [1], "x", 1, "t4"),
+                (5, a, 1.0, [1], "x", 1, "t5")]
+    sf = _tables(spark, tmp_path, rows, "doc_id long, text string, score double, ids array<int>, restored string, n_words long, _tag string")
+    found = _pipeline().run(spark, sf)
+    assert found.columns == ["doc_id", "text", "score", "ids", "restored", "n_words", "_tag", "ids_", "restored_"]
+    assert sorted(map(str, found.drop("ids_").collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, a, 9.0, [7], "yes", 3, "t1", True), (2, b, 0.1, None, None, None, None, True), (3, c, -1.0, [], "no", 5, "t3", True)], found.drop("ids_").schema).collect()))
+
+
+def _words(text, lower=False):
+    import re
+    text = "".join(x.lower() if "A" <= x <= "Z" else x for x in text or "") if lower else text or ""
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Each stage on what the one before really kept: exact rows and texts."""
+    from logsift.llm import pieces, quality
+    from logsift.llm.decontamination import contaminated
+
+    pipeline, sf = _pipeline(), "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(pipeline.STAGES)
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    def after(name, df):
+        stages[name](spark, df, sf).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    good = after("quality", docs)
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    assert texts(good) == {i: t for i, t in texts(docs).items() if scores[i] >= 0.5}
+
+    before = texts(good)
+    words = {i: _words(t, lower=True) for i, t in before.items()}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
+    group = {i: i for i in before}
+    for i in sorted(before):
+        for j in sorted(before):
+            if i < j and shingles[i] and shingles[j] and 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    lone = after("near_duplicates", good)
+    assert texts(lone) == {i: t for i, t in before.items() if group[i] == i} and len(set(group.values())) < len(group)
+
+    before = texts(lone)
+    words = {i: _words(t) for i, t in before.items()}
+    first, expected = {}, {}
+    for i in sorted(before):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), i)
+    for i, w in words.items():
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        if not gone:
+            expected[i] = before[i]
+        elif len(gone) < len(w):
+            expected[i] = " ".join(x for p, x in enumerate(w) if p not in gone)
+    rest = after("substrings", lone)
+    assert texts(rest) == expected and expected != before
+
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    leaks = {r.doc_id for r in contaminated(rest.select("doc_id", "text"), items).collect()}
+    whole = {i for i, t in texts(rest).items() if any(r.text in t for r in items.collect())}
+    clean = after("benchmark", rest)
+    assert whole <= leaks and texts(clean) == {i: t for i, t in texts(rest).items() if i not in leaks}
+
+    last = after("pieces", clean)
+    model = pieces.Pieces(open(pieces.MODEL, "rb").read())
+    assert texts(last) == texts(clean) and all(r.restored for r in last.collect())
+    for r in last.limit(5).collect():  # word by word as the whole text at once
+        unit = (" " + r.text[:200]).replace(" ", pieces.SPACE)
+        if "\n" not in unit and pieces.SPACE not in r.text:
+            at_once = np.frombuffer(model.segment([unit])[0], np.int32).tolist()
+            assert at_once[:20] == r.ids[:20]
