@@ -22,10 +22,21 @@ from logsift.llm.shared import checked_broadcast, cut, free_name, one_row_per_ke
 from logsift.llm.substring_dedup import substring_dedup
 
 
+def _apart(docs: DataFrame, *kept: str) -> DataFrame:
+    """The documents' columns under names that no operator's result has, but for text and ``kept``."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", *kept) else f"own_{k}") for k, c in enumerate(docs.columns)])
+
+
+def _together(rows: DataFrame, docs: DataFrame, *kept: str) -> DataFrame:
+    """``rows`` of ``_apart`` under the documents' own names."""
+    return rows.select(*[F.col(c if c in ("text", *kept) else f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of 0.5 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score_quality(docs, labels).where("score >= 0.5").select(*docs.columns)
+    scored = quality.score_quality(_apart(docs, "doc_id"), labels).where("score >= 0.5")
+    return _together(scored, docs, "doc_id")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +79,15 @@ def without_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their SentencePiece ids, each decoded again and compared."""
-    decoded = pieces.encode_and_decode(docs)
-    return decoded.select(*docs.columns, "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    """The documents with their SentencePiece ids, each decoded again and compared.
+
+    A document's own column ``ids`` or ``restored`` stays; the new one then gets underscores behind its name.
+    """
+    decoded = pieces.encode_and_decode(_apart(docs))
+    own = [F.col("text" if c == "text" else f"own_{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return decoded.select(
+        *own, F.col("ids").alias(free_name("ids", docs.columns)),
+        F.col("decoded").eqNullSafe(F.col("text")).alias(free_name("restored", docs.columns)))
 
 
 STAGES = [
