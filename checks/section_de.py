@@ -78,7 +78,7 @@ def _(spark, sf):
 
     docs = masked(spark, sf)
     v, size = D.numbered_vocabulary(D.fit_vocabulary(docs, D.FOREST))
-    vectors = D.to_sparse(D.tfidf(docs, v), size)
+    vectors = D.jvm_features(docs, v, size)
     from pyspark.ml.functions import vector_to_array
 
     stats = vectors.select(Summarizer.metrics("count", "numNonZeros", "sum").summary(F.col("features")).alias("s"))

@@ -446,7 +446,7 @@ def _(spark, sf):
     QUANTILE_SIMS, "a > 0 AND 1.0::DOUBLE - (a - e)::DOUBLE / a <= 0.05::DOUBLE"))
 def _(spark, sf):
     s = T.scored(spark, sf)
-    return _policy_row(spark, P.calibrate_abstention(s, 0.5, similarity=P.quantile_grid(s, P.ood_threshold(s))))
+    return _policy_row(spark, P.calibrate_abstention(s, 0.5, similarity=P.similarity_candidates(s)[1]))
 
 
 _Z60 = risk.normal_quantile(1.0 - (1.0 - C.FAMILYWISE_CONFIDENCE) / 60)
@@ -457,7 +457,7 @@ _Z60 = risk.normal_quantile(1.0 - (1.0 - C.FAMILYWISE_CONFIDENCE) / 60)
     f", round({_wilson('e', 'a', _Z60)}, 6) AS unsafe_upper_bound"))
 def _(spark, sf):
     s = T.scored(spark, sf)
-    return _policy_row(spark, P.calibrate_safety_policy(s, 0.5, P.ood_threshold(s)), "unsafe_upper_bound")
+    return _policy_row(spark, P.calibrate_safety_policy(s, 0.5), "unsafe_upper_bound")
 
 
 POLICY = P.Policy(0.55, 0.25, 0.0, 0.0, 0.0, 0, 0)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logsift import constants as C
@@ -217,16 +219,32 @@ def numbered_vocabulary(vocabulary: Vocabulary) -> tuple[Vocabulary, int]:
     return Vocabulary(terms, vocabulary.options, vocabulary.scope), terms.count()
 
 
-@F.udf(VectorUDT())
+def jvm_features(docs: DataFrame, vocabulary: Vocabulary, size: int, id_column: str = "doc_id") -> DataFrame:
+    """D4 without Python: (id, ``features``) by Spark ML's own counting, scaling and norm.
+
+    For a numbered vocabulary without scope, without sublinear counts and of at most ``BROADCAST_ROWS`` terms,
+    which the transformers hold (see ``to_sparse`` for the others).
+    """
+    if vocabulary.scope or vocabulary.options.sublinear or size > BROADCAST_ROWS:
+        raise ValueError("Counted features need a small vocabulary without scope and sublinear counts.")
+    grams = term_arrays(docs, vocabulary.options, [id_column]).withColumn(
+        "_grams", F.coalesce("_grams", F.array().cast("array<string>")))
+    if not size:
+        return grams.select(id_column, array_to_vector(F.array().cast("array<double>")).alias("features"))
+    rows = vocabulary.terms.select("term_id", "term", "idf").orderBy("term_id").collect()  # size terms
+    counted = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="_grams", outputCol="_counts").transform(grams)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_counts", outputCol="_weighed").transform(counted)
+    return Normalizer(p=2.0, inputCol="_weighed", outputCol="features").transform(scaled).select(id_column, "features")
+
+
+# Vectors travel in Arrow batches; Spark SQL has no expression that makes a sparse one
+@F.udf(VectorUDT(), useArrow=True)
 def _sparse(size, indices, values):
     return SparseVector(size, indices, values)
 
 
 def to_sparse(packed: DataFrame, size: int) -> DataFrame:
-    """Adds ``features`` for Spark ML to rows packed under a numbered vocabulary.
-
-    The only Python step, one call per document.
-    """
+    """Adds ``features`` for Spark ML to rows packed under a numbered vocabulary."""
     pairs = F.sort_array(F.arrays_zip("term_ids", "weights"))
     return packed.withColumn("_pairs", pairs).withColumn(
         "features", _sparse(F.lit(size), F.col("_pairs.term_ids"), F.col("_pairs.weights"))

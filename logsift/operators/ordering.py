@@ -19,6 +19,9 @@ from logsift.session import cut_lineage
 # skewed partitions). Rows of such sides are a few numbers and a key.
 BROADCAST_ROWS = 500_000
 
+# Up to this many counted values are put in order by one window.
+WINDOW_ROWS = 50_000
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
 
@@ -150,11 +153,16 @@ def exact_quantiles(
     keys = list(by)
     if not keys:
         present, keys = present.withColumn("_all", F.lit(0)), ["_all"]
-    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_totals(counted, [F.col(c) for c in (*keys, value)], {"_n": "_upto"})
-    upto = upto.select(*keys, value, "_n", "_upto")
-    groups = upto.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max("_upto").alias("_end"))
-    placed = attach(upto, groups, keys).withColumn("_at", F.col("_upto") - (F.col("_end") - F.col("_total")))
+    counted = cut_lineage(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    if counted.limit(WINDOW_ROWS + 1).count() <= WINDOW_ROWS:  # few values: a window holds them
+        group = W.partitionBy(*keys)
+        placed = counted.withColumn("_total", F.sum("_n").over(group)).withColumn(
+            "_at", F.sum("_n").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        upto = running_totals(counted, [F.col(c) for c in (*keys, value)], {"_n": "_upto"})
+        upto = upto.select(*keys, value, "_n", "_upto")
+        groups = upto.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max("_upto").alias("_end"))
+        placed = attach(upto, groups, keys).withColumn("_at", F.col("_upto") - (F.col("_end") - F.col("_total")))
 
     def position(q: float) -> Column:
         return F.lit(float(q)) * (F.col("_total") - 1)

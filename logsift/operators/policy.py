@@ -269,12 +269,19 @@ def quantile_grid(scores: DataFrame, cutoff: float, score: str = "top_similarity
     return sorted({cutoff, *score_quantiles(scores, C.SIMILARITY_QUANTILES, score)})
 
 
+def similarity_candidates(scores: DataFrame, score: str = "top_similarity") -> tuple[float, list[float]]:
+    """G4 and G12 in one pass: the out-of-distribution cutoff and the similarity candidates."""
+    cutoff, *rest = score_quantiles(scores, [C.OOD_RATE, *C.SIMILARITY_QUANTILES], score)
+    return cutoff, sorted({cutoff, *rest})
+
+
 def calibrate_safety_policy(
-    scores: DataFrame, threshold: float, cutoff: float, label: str = "label"
+    scores: DataFrame, threshold: float, cutoff: float | None = None, label: str = "label"
 ) -> Policy:
-    """G13."""
+    """G13. Without a cutoff it is the one of ``ood_threshold``, found with the other candidates."""
+    grid = similarity_candidates(scores)[1] if cutoff is None else quantile_grid(scores, cutoff)
     return calibrate_abstention(
-        scores, threshold, similarity=quantile_grid(scores, cutoff),
+        scores, threshold, similarity=grid,
         minimum_automated=C.MIN_AUTOMATED, familywise=C.FAMILYWISE_CONFIDENCE, label=label,
     )
 

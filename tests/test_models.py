@@ -15,6 +15,18 @@ def docs(spark, n=40):
         (1 - F.col("id") % 2).cast("int").alias("label"))
 
 
+def test_features_of_both_ways_are_equal(spark):
+    rows = docs(spark, 40).select("doc_id", F.when(F.col("doc_id") == 3, "").when(F.col("doc_id") == 4, "unseen words").otherwise(F.col("text")).alias("text"))
+    vocabulary, size = D.numbered_vocabulary(D.fit_vocabulary(rows.filter("doc_id <> 4"), D.FOREST))
+    packed = {r.doc_id: r.features.toArray() for r in D.to_sparse(D.tfidf(rows, vocabulary), size).collect()}
+    counted = D.jvm_features(rows, vocabulary, size)
+    found = {r.doc_id: r.features.toArray() for r in counted.collect()}
+    assert found.keys() == packed.keys() and all(np.allclose(found[i], packed[i], atol=1e-12) for i in packed)
+    assert "Python" not in counted._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        D.jvm_features(rows, D.fit_vocabulary(rows, D.RETRIEVAL), 10)
+
+
 def test_logistic_equals_direct_solution(spark):
     rows = docs(spark, 30).filter("doc_id % 3 > 0").persist()
     space = M.fit_space(rows, D.RETRIEVAL)

@@ -282,9 +282,13 @@ def test_cells_find_neighbours(spark):
     assert cells.search_cells(asked, nothing, probes=2).collect() == []
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_exact_quantiles(spark, monkeypatch, few):
+    from logsift.operators import ordering
     from logsift.operators.ordering import exact_quantiles
 
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", few)
+
     values = [0.5, 0.5, 0.1, 0.9, None, 0.7, 0.2]
     df = spark.createDataFrame([(g, v) for g in "xy" for v in values[: 4 if g == "y" else None]], "g string, v double")
     found = {r.g: r.quantiles for r in exact_quantiles(df, "v", [0.0, 0.3, 1.0], ["g"]).collect()}
