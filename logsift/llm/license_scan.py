@@ -14,6 +14,7 @@ null, score 0. Repeated rows and null ids are kept as they come.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -57,9 +58,17 @@ def detections(text: str, tried: list[int]) -> tuple[list, list]:
             if m.end() > m.start():
                 (found if priority else base).append((priority, m.start() - m.end(), m.start(), m.end(), label, confidence))
     taken: list = []
+    # taken intervals that no other holds: starts and ends both ascend, so one place decides
+    starts, ends = [], []
     for _, _, start, end, label, confidence in sorted(found):
-        if not any(a <= start and end <= b for a, b, *_ in taken):
-            taken.append((start, end, label, confidence))
+        at = bisect.bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        taken.append((start, end, label, confidence))
+        first = last = bisect.bisect_left(starts, start)
+        while last < len(ends) and ends[last] <= end:
+            last += 1
+        starts[first:last], ends[first:last] = [start], [end]
     return [(s, e, label, c) for _, _, s, e, label, c in sorted(base, key=lambda d: d[2])], sorted(taken)
 
 

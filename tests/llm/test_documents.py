@@ -294,3 +294,37 @@ def test_every_token_has_a_vector_of_its_own(spark, monkeypatch, common, held):
     for t in texts:
         own = found[hashlib.sha256((t or "").encode()).digest()[:16]]
         assert own == pytest.approx(np.mean([vector[w] for w in tokens[t]], axis=0) if tokens[t] else np.zeros(quality.DIMENSIONS), abs=1e-5)
+
+
+def test_passages_at_the_edge_of_a_window(spark):
+    """Strings of 399, 400 and 401 bytes that two documents share."""
+    draw = np.random.default_rng(21)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    some = lambda n: "".join(draw.choice(letters, n))
+    rows, expected = [], {}
+    for k, n in enumerate((399, 400, 401)):
+        shared = some(n)
+        for j in range(2):
+            # other signs on both sides, so that nothing longer is shared
+            rows.append((2 * k + j, some(700) + "XY"[j] + shared + "PQ"[j] + some(300)))
+            expected[2 * k + j] = n if n >= 400 else 0
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: (n, int(n > 0)) for i, n in expected.items()}
+
+
+def test_contained_detections_are_dropped():
+    from logsift.llm import license_scan
+
+    draw = np.random.default_rng(4)
+    grants = ["licensed under the mit license", "under the terms of the gnu general public license version 2", "gpl 2", "apache license version 2 0", "the bsd license", "word"]
+    for n in (3, 40):
+        text = " ".join(draw.choice(grants, n))
+        compiled, _, by_keyword = license_scan._compiled()
+        tried = sorted(set().union(*map(set, by_keyword)))
+        found = sorted((p, m.start() - m.end(), m.start(), m.end(), label, c) for label, p, c, pattern in (compiled[k] for k in tried) if p
+                       for m in pattern.finditer(text) if m.end() > m.start())
+        taken = []
+        for _, _, a, b, label, c in found:  # by comparing with all that were taken
+            if not any(x <= a and b <= y for x, y, *_ in taken):
+                taken.append((a, b, label, c))
+        assert license_scan.detections(text, tried)[1] == sorted(taken)
