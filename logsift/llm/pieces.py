@@ -254,16 +254,22 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.mapInArrow(lambda b: _decode(b, shared), schema)
 
 
-def _both(batches: Iterator[pa.RecordBatch], shared):
-    return _decode(_encode(batches, shared), shared)
+def _both(batches: Iterator[pa.RecordBatch], shared, keep: bool):
+    yield from _decode(_encode(batches, shared), shared)
+    if not keep:
+        pieces = _pieces(shared)
+        pieces.remembered, pieces.older = {}, {}
 
 
-def encode_and_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``decode(encode(docs))`` with one worker process and one automaton for a task."""
+def encode_and_decode(docs: DataFrame, model: str = MODEL, keep: bool = True) -> DataFrame:
+    """``decode(encode(docs))`` with one worker process and one automaton for a task.
+
+    ``keep``: whether words are remembered from task to task; other work of the same workers has their memory otherwise.
+    """
     rows = docs.drop("ids", "decoded").withColumn("text", F.col("text").cast("string"))
     shared = _shared_model(docs.sparkSession, model)
     schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", ids array<int>, decoded string"
-    return rows.mapInArrow(lambda b: _both(b, shared), schema)
+    return rows.mapInArrow(lambda b: _both(b, shared, keep), schema)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

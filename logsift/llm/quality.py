@@ -6,8 +6,8 @@ its own: the sum, over the whole corpus, of the index vectors of the tokens up t
 places away in the same text, less the corpus mean and scaled to unit length. A document is
 the mean of its tokens' vectors.
 
-Tasks add the contexts of ``MOST_HELD`` tokens at a time and send sums of whole numbers, which
-meet again by token: the table of vectors grows with the vocabulary and lies in the shared
+Tasks add up the contexts of ``MOST_HELD`` tokens at a time, in place, and send sums of whole numbers
+in compressed blobs, which meet again in buckets of tokens: the table of vectors grows with the vocabulary and lies in the shared
 folder. The ``COMMON`` most frequent vectors are broadcast. What a text has of other tokens is
 counted by text and token and joined with the table, so no token is left out or shares
 another's vector; only how a vector is reached depends on its frequency.
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift.llm import textbytes as T
-from logsift.llm.shared import checked_broadcast, cut
+from logsift.llm.shared import checked_broadcast, cut, discard
 
 DIMENSIONS = 32
 NONZERO = 4
@@ -41,7 +42,9 @@ HIDDEN = 16
 #: Frequent tokens whose vectors every worker has; the others are joined.
 COMMON = 1 << 18
 #: Distinct tokens whose contexts a task adds up before it sends them.
-MOST_HELD = 1 << 19
+MOST_HELD = 1 << 18
+#: Bytes of text for each bucket in which the tasks' sums meet.
+BUCKET_BYTES = 4 << 20
 _TOKENS = 1 << 16
 
 #: Bytes by class: 0 separates, letters and digits and non-ASCII 1, other signs 2.
@@ -88,22 +91,81 @@ def _wide(packed: list[bytes]) -> np.ndarray:
     return out
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first: small numbers compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel()
+
+
+def _blob(token: np.ndarray, n: np.ndarray, sums: np.ndarray) -> bytes:
+    """Tokens with their numbers and sums, compressed: sums of rare tokens are small numbers, dimension by dimension."""
+    wide = np.abs(sums).max(1, initial=0) > 127
+    order = np.argsort(wide, kind="stable")  # those whose sums fit one byte first
+    token, n, sums, few = token[order], n[order], sums[order], int((~wide).sum())
+    raw = np.array([len(token), few], np.int64).tobytes() + token.tobytes() + _planes(n.astype(np.int64))
+    raw += sums[:few].astype(np.int8).T.tobytes() + _planes(sums[few:].astype(np.int64).T.ravel())
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    size, few = np.frombuffer(raw, np.int64, 2).tolist()
+    token, at = np.frombuffer(raw, np.uint64, size, 16), 16 + 8 * size
+    n, at = _from_planes(raw, at, size, np.int64), at + 8 * size
+    sums = np.empty((size, DIMENSIONS), np.int64)
+    sums[:few] = np.frombuffer(raw, np.int8, few * DIMENSIONS, at).reshape(DIMENSIONS, few).T
+    sums[few:] = _from_planes(raw, at + few * DIMENSIONS, (size - few) * DIMENSIONS, np.int64).reshape(DIMENSIONS, size - few).T
+    return token, n, sums
+
+
+class _Held:
+    """Context sums of a task's tokens, added up in place: rows stay where they are, only keys are sorted."""
+
+    def __init__(self) -> None:
+        self.token = np.zeros(0, np.uint64)
+        self.n = np.zeros(0, np.int64)
+        self.sums = np.zeros((0, DIMENSIONS), np.int32)
+        self.used = 0
+        self.sorted = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def add(self, token: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+        keys, rows = self.sorted
+        at = np.minimum(np.searchsorted(keys, token), max(0, len(keys) - 1))
+        old = keys[at] == token if len(keys) else np.zeros(len(token), bool)
+        self.n[rows[at[old]]] += n[old]
+        self.sums[rows[at[old]]] += sums[old]
+        new = np.flatnonzero(~old)
+        last = self.used + len(new)
+        if last > len(self.token):
+            room = max(last, min(2 * len(self.token), MOST_HELD + (MOST_HELD >> 1)))
+            for name in ("token", "n", "sums"):
+                held = getattr(self, name)
+                grown = np.zeros((room, *held.shape[1:]), held.dtype)
+                grown[: self.used] = held[: self.used]
+                setattr(self, name, grown)
+        self.token[self.used : last], self.n[self.used : last], self.sums[self.used : last] = token[new], n[new], sums[new]
+        self.used = last
+        order = np.argsort(self.token[:last])
+        self.sorted = self.token[order], order
+
+    def sent(self, buckets: int):
+        """Blobs by bucket; the rows are given up."""
+        bucket = (self.token[: self.used] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for first, last in zip(heads, [*heads[1:], self.used]):
+            some = order[first:last]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[some[0]])]), pa.array([_blob(self.token[some], self.n[some], self.sums[some])], pa.binary())], names=["bucket", "payload"])
+        self.used, self.sorted = 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def merged():
-        token, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
-        return token, np.add.reduceat(np.concatenate([v for _, v in held])[order], heads)
-
-    def sent():
-        token, sums = merged()
-        for first in range(0, len(token), 1 << 14):
-            some = slice(first, first + (1 << 14))
-            yield _rows(token[some].view(np.int64), sums[some, DIMENSIONS].astype(np.int64), sums[some, :DIMENSIONS])
 
+def _contexts(batches: Iterator[pa.RecordBatch], buckets: int):
+    held = _Held()
     for batch in batches:
         for part in T.slices(batch.column("text")):
             found = T.words(part, _KINDS, lower=True)
@@ -112,45 +174,46 @@ def _contexts(batches: Iterator[pa.RecordBatch]):
             token, own = np.unique(found.hash, return_inverse=True)
             index = np.vstack([index_vectors(token), np.zeros((1, DIMENSIONS), np.int8)])  # the last row: no token
             order = np.argsort(own, kind="stable")
-            sums = np.zeros((len(token), DIMENSIONS + 1), np.int32)
+            sums = np.zeros((len(token), DIMENSIONS), np.int32)
             for first in range(0, len(order), _TOKENS):
                 here = order[first : first + _TOKENS]
-                around = np.zeros((len(here), DIMENSIONS), np.int32)
+                around = np.zeros((len(here), DIMENSIONS), np.int16)
                 for step in (*range(-REACH, 0), *range(1, REACH + 1)):
                     there = np.clip(here + step, 0, len(own) - 1)
                     same = (found.row[there] == found.row[here]) & (there == here + step)
                     around += index[np.where(same, own[there], len(token))]
                 heads = np.flatnonzero(np.diff(own[here], prepend=-1))
-                sums[own[here[heads]], :DIMENSIONS] += np.add.reduceat(around, heads)
-            sums[:, DIMENSIONS] = np.bincount(own, minlength=len(token))
-            held.append((token, sums))
-            size += len(token)
-            if size > MOST_HELD:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > MOST_HELD // 2:
-                    yield from sent()
-                    held, size = [], 0
-    if held:
-        yield from sent()
+                sums[own[here[heads]]] += np.add.reduceat(around, heads, dtype=np.int32)
+            held.add(token, np.bincount(own, minlength=len(token)), sums)
+            if held.used > MOST_HELD:
+                yield from held.sent(buckets)
+    if held.used:
+        yield from held.sent(buckets)
 
 
 def _by_token(batches: Iterator[pa.RecordBatch]):
-    """Rows sorted by token: one row for each."""
-    last = None
+    """Blobs sorted by bucket: one row for each token of a bucket."""
+    current, waiting = None, []
+
+    def done():
+        token, n, sums = (np.concatenate(x) for x in zip(*map(_from_blob, waiting)))
+        token, own = np.unique(token, return_inverse=True)
+        order = np.argsort(own, kind="stable")
+        heads = np.flatnonzero(np.diff(own[order], prepend=-1))
+        n, sums = np.add.reduceat(n[order], heads), np.add.reduceat(sums[order], heads)
+        for first in range(0, len(token), 1 << 14):
+            some = slice(first, first + (1 << 14))
+            yield _rows(token[some].view(np.int64), n[some], sums[some])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, n, sums = batch.column("token").to_numpy(), batch.column("n").to_numpy(), _wide(batch.column("vector").to_pylist())
-        if last is not None:
-            token, n, sums = (np.concatenate(x) for x in zip(last, (token, n, sums)))
-        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        token, n, sums = token[heads], np.add.reduceat(n, heads), np.add.reduceat(sums, heads)
-        last = token[-1:], n[-1:], sums[-1:]  # the next batch may go on with it
-        if len(token) > 1:
-            yield _rows(token[:-1], n[:-1], sums[:-1])
-    if last is not None:
-        yield _rows(*last)
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+            if bucket != current and waiting:
+                yield from done()
+                waiting = []
+            current = bucket
+            waiting.append(payload.as_py())
+    if waiting:
+        yield from done()
 
 
 def _totals(batches: Iterator[pa.RecordBatch]):
@@ -234,9 +297,13 @@ def text_key() -> Column:
 
 def pooled_texts(docs: DataFrame) -> DataFrame:
     """(text_key, pooled) of every distinct text, from a vector for each token of the corpus."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    buckets = (texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BUCKET_BYTES + 1
+    tasks = min(2 * buckets, 20 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sums = cut(
-        docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, _SUMS_SQL)
-        .repartition("token").sortWithinPartitions("token").mapInArrow(_by_token, _SUMS_SQL))
+        texts.mapInArrow(lambda b: _contexts(b, buckets), "bucket long, payload binary")
+        .repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_token, _SUMS_SQL))
     totals = sums.mapInArrow(_totals, "n long, sums binary").collect()  # a row from each task
     mean = sum((np.frombuffer(r.sums, np.int64) for r in totals), np.zeros(DIMENSIONS)) / max(1, sum(r.n for r in totals))
     # tokens that occur more often than the first frequency which no longer fits
@@ -261,7 +328,9 @@ def pooled_texts(docs: DataFrame) -> DataFrame:
         others = known.selectExpr("text_key", "inline(rare)").join(sums.where(F.col("n") <= least), "token")
         parts = parts.unionByName(others.selectExpr("text_key", "0L AS tokens", "times", "n", "vector"))
         parts = parts.repartition("text_key").sortWithinPartitions("text_key")
-    return cut(parts.mapInArrow(lambda b: _added(b, mean), "text_key binary, pooled binary"))
+    pooled = cut(parts.mapInArrow(lambda b: _added(b, mean), "text_key binary, pooled binary"))
+    discard(known, sums)
+    return pooled
 
 
 class Network:
