@@ -83,7 +83,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document's own column ``ids`` or ``restored`` stays; the new one then gets underscores behind its name.
     """
-    decoded = pieces.encode_and_decode(_apart(docs))
+    decoded = pieces.encode_and_decode(_apart(docs), keep=False)
     own = [F.col("text" if c == "text" else f"own_{k}").alias(c) for k, c in enumerate(docs.columns)]
     return decoded.select(
         *own, F.col("ids").alias(free_name("ids", docs.columns)),
