@@ -111,6 +111,31 @@ def test_blocks_by_broadcast_or_in_pairs(spark, corpus, monkeypatch, sent, hot,
     assert len(found) == 2 * len(expected_rows)
 
 
+@pytest.mark.parametrize("larger", ["queries", "both"])
+def test_larger_sides_are_not_copied(spark, corpus, monkeypatch, larger):
+    """A small index goes to the queries; two large sides meet without a shuffle of index blocks for each query block."""
+    docs, queries = corpus
+    monkeypatch.setattr(R, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(M, "HELD_BYTES", 12 << 20)
+    monkeypatch.setattr(M, "PASSING_BYTES", 12 << 20)
+    sizes = iter([33 << 20, (1 if larger == "queries" else 33) << 20])
+    monkeypatch.setattr(M, "_packed_bytes", lambda blocks: next(sizes))
+    known = spark.createDataFrame([(i, i, t) for i, t in enumerate(docs)], "doc_id long, doc_pos long, text string")
+    asked = spark.createDataFrame([(100 * n + i, t) for n in range(6) for i, t in enumerate(queries)], "query_id long, text string")
+    found = R.search_batch(asked, R.build_index(known))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("CartesianProduct" in plan) == (larger == "both") and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    rows = found.collect()
+    for n in range(6):
+        assert {(r.query_id - 100 * n, r["rank"], r.doc_id) for r in rows if r.query_id // 100 == n} == expected(docs, queries, 3)
+
+
+def test_blocks_of_a_small_index_are_few(spark):
+    """However many partitions hold its rows."""
+    known = spark.range(400).repartition(40).selectExpr("id AS doc_id", "id AS doc_pos", "concat('word ', id) AS text")
+    assert R.build_index(known).packed.count() == 1
+
+
 def test_postings_equal_the_plain_product(monkeypatch):
     import numpy as np
     import pyarrow as pa
