@@ -16,8 +16,8 @@ sorted hash arrays; above, the n-grams of the texts are joined with it. Both giv
 A document's cross-entropy per language is the cost of its characters over their number;
 the lowest wins (ties: the first language in order). The score is the winner's share of
 exp(-entropy / temperature); temperature and the score below which a prediction counts as
-``rejected`` are fitted on at most ``MOST_CALIBRATED`` calibration documents (those
-with the smallest hash of their id), the one sample: the threshold is the lowest at which accepted
+``rejected`` are fitted on all calibration documents, on the driver up to ``MOST_CALIBRATED`` of them and as
+grouped sums above: the threshold is the lowest at which accepted
 predictions are wrong in at most ``most_wrong`` of the cases. The winner is named all the same.
 
 Null, empty and letterless texts are ``und``, score 0, rejected; so is every text if there
@@ -38,11 +38,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsift.llm import textbytes as T
 from logsift.llm.shared import checked_broadcast, cut
+from logsift.operators.ordering import running_totals
 
 ORDER = 4
 UNKNOWN = "und"
 CALIBRATION = 16
+#: Calibration documents whose costs the driver gets (a few numbers each).
 MOST_CALIBRATED = 20_000
+TEMPERATURES = np.geomspace(0.005, 2, 60)
 #: N-grams times languages of a model that every worker holds (8 bytes each).
 MODEL_CELLS = 1 << 22
 #: N-grams that a task adds up before it sends them.
@@ -392,17 +395,15 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, most_wrong: floa
         return None
     table, any_character = kneser_ney(grams)
     model = LanguageModel(table, langs, any_character)
-    # documents are chosen by ids and digests; texts stay where they are until they are few
-    aside_rows = rows.where(aside & F.col("lang").isin(langs)).withColumn("digest", F.xxhash64("text"))
-    names = ["doc_id", "lang", "digest"]
-    ids = aside_rows.select(*names, F.xxhash64(F.col("doc_id").cast("string")).alias("draw")).distinct()
-    ids = cut(ids.orderBy("draw", *names).limit(MOST_CALIBRATED).select(*names))
-    chosen = aside_rows.join(checked_broadcast(ids, 64), names, "left_semi").select("lang", "text")
-    sample = cut(chosen.withColumn("doc_id", F.monotonically_increasing_id()))
-    found = sums(sample, model).where("letters > 0").join(checked_broadcast(sample.select("doc_id", "lang"), 48), "doc_id").select("lang", "n", "costs").toPandas()
-    if len(found):
+    held = rows.where(aside & F.col("lang").isin(langs)).select(F.col("lang").alias("doc_id"), "text")
+    found = cut(sums(held, model).where("letters > 0").select(F.col("doc_id").alias("lang"), "n", "costs"))
+    many = found.count()
+    if many > MOST_CALIBRATED:
+        model.temperature, model.threshold = calibrated_rows(found, langs, most_wrong)
+    elif many:
+        few = found.toPandas()
         model.temperature, model.threshold = calibrated(
-            np.vstack(found["costs"].to_numpy()) / found["n"].to_numpy()[:, None], np.array([langs.index(x) for x in found["lang"]]), most_wrong)
+            np.vstack(few["costs"].to_numpy()) / few["n"].to_numpy()[:, None], np.array([langs.index(x) for x in few["lang"]]), most_wrong)
     return model
 
 
@@ -410,7 +411,7 @@ def calibrated(entropies: np.ndarray, truth: np.ndarray, most_wrong: float) -> t
     """Temperature of least log loss, and the lowest threshold with at most ``most_wrong`` of the accepted wrong."""
     fall = entropies.min(1, keepdims=True) - entropies
     own = fall[np.arange(len(truth)), truth]
-    temperature = min(np.geomspace(0.005, 2, 60), key=lambda t: float(np.mean(np.log(np.exp(fall / t).sum(1)) - own / t)))
+    temperature = min(TEMPERATURES, key=lambda t: float(np.mean(np.log(np.exp(fall / t).sum(1)) - own / t)))
     score, right = 1 / np.exp(fall / temperature).sum(1), entropies.argmin(1) == truth
     order = np.argsort(-score, kind="stable")
     wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
@@ -420,6 +421,23 @@ def calibrated(entropies: np.ndarray, truth: np.ndarray, most_wrong: float) -> t
     return float(temperature), float(score[order][fine[-1]]) if len(fine) else 1.0
 
 
+def calibrated_rows(found: DataFrame, langs: list[str], most_wrong: float) -> tuple[float, float]:
+    """``calibrated`` for any number of rows (lang, n, costs), a table read from the shared folder."""
+    entropies, least = F.transform("costs", lambda x: x / F.col("n")), F.array_min("entropies")
+    truth = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+    rows = found.select(entropies.alias("entropies"), truth.alias("truth")).select(
+        F.transform("entropies", lambda x: least - x).alias("fall"), "truth", (F.array_position("entropies", least) != F.col("truth")).cast("int").alias("wrong"))
+    total = lambda t: F.aggregate("fall", F.lit(0.0), lambda a, x: a + F.exp(x / F.lit(float(t))))
+    own = F.col("fall")[F.col("truth") - 1]
+    losses = rows.agg(*[F.avg(F.log(total(t)) - own / F.lit(float(t))) for t in TEMPERATURES]).first()
+    temperature = float(TEMPERATURES[int(np.argmin(losses))])
+    # equal scores are accepted together
+    scores = rows.select((1 / total(temperature)).alias("score"), "wrong").groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("wrong").alias("wrong"))
+    upto = running_totals(scores, [F.desc("score")], {"n": "all_n", "wrong": "all_wrong"})
+    threshold = upto.where(F.col("all_wrong") / F.col("all_n") <= most_wrong).agg(F.min("score")).first()[0]
+    return temperature, 1.0 if threshold is None else threshold
+
+
 def identify_languages(docs: DataFrame, learn: Column | None = None, most_wrong: float = 0.01) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected of every row of ``docs``, learnt from some of them."""
     model = fit_languages(docs, learn, most_wrong)

@@ -281,3 +281,16 @@ def test_calibration():
     score = 1 / np.exp((entropies.min(1, keepdims=True) - entropies) / temperature).sum(1)
     assert (score[:3] >= threshold).all() and score[3] < threshold
     assert L.calibrated(entropies, truth, 0.25)[1] == pytest.approx(score[3])
+
+
+def test_calibration_reads_all_documents(spark, monkeypatch):
+    """Beyond what the driver gets, sums over all rows give the same temperature and threshold."""
+    draw = np.random.default_rng(3)
+    docs = [(i, t, lang if draw.random() > 0.15 else "aa") for i, t, lang in _texts(5, 600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    fitted = []
+    for most in (20_000, 3):
+        monkeypatch.setattr(L, "MOST_CALIBRATED", most)
+        model = L.fit_languages(frame, most_wrong=0.1)
+        fitted.append((model.temperature, model.threshold))
+    assert fitted[0] == pytest.approx(fitted[1], rel=1e-9)
