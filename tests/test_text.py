@@ -93,3 +93,11 @@ def test_bigrams(spark):
         X.with_bigrams(F.array(F.lit("a"))).alias("one"),
         X.with_bigrams(F.array().cast("array<string>")).alias("none")).first()
     assert row["three"] == ["a", "b", "c", "a b", "b c"] and row["one"] == ["a"] and row["none"] == []
+
+
+def test_terms_are_counted_in_as_many_tasks_as_a_shuffle_has(spark):
+    """Texts of a merged partition would all be held as terms by one task."""
+    from logsift.operators import features as D
+
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('disk failed ', id) AS text")
+    assert D.term_counts(docs, D.DEMO, ["doc_id"]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
