@@ -83,8 +83,10 @@ def configuration_trials(
     trial = ["semantic_weight", "minimum_evidence"]
     index = I.knowledge_index(knowledge)
     deployed = I.affected_by_deployment(I.incident_summary(events), deployments)
-    evidence = cut_lineage(I.knowledge_evidence(
-        cases.select("incident_id", "log_text", "embedding"), index, semantic_weight=[float(w) for w in weights]))
+    found = I.knowledge_evidence(
+        cases.select("incident_id", "log_text", "embedding"), index, semantic_weight=[float(w) for w in weights])
+    # every case's evidence under every weight: kept without the documents' texts and steps
+    evidence = cut_lineage(found.select("semantic_weight", "incident_id", "rank", "id", "root_cause", "hybrid_similarity"))
     hypotheses = I.rank_hypotheses(
         cases, evidence, cut_lineage(I.keyword_table(knowledge)), deployed, minimum_evidence=thresholds, by=trial[:1])
     cells = F.array(*[F.struct(F.lit(float(w)).alias(trial[0]), F.lit(float(t)).alias(trial[1])) for w in weights for t in thresholds])
