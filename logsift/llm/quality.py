@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift.llm import textbytes as T
-from logsift.llm.shared import checked_broadcast, cut, discard
+from logsift.llm.shared import BROADCAST_BYTES, checked_broadcast, cut, discard
 
 DIMENSIONS = 32
 NONZERO = 4
@@ -45,6 +45,8 @@ COMMON = 1 << 18
 MOST_HELD = 1 << 18
 #: Bytes of text for each bucket in which the tasks' sums meet.
 BUCKET_BYTES = 4 << 20
+#: Copied texts whose keys (64 bytes each) every task gets, at most.
+MOST_COPIED = BROADCAST_BYTES // 64
 _TOKENS = 1 << 16
 
 #: Bytes by class: 0 separates, letters and digits and non-ASCII 1, other signs 2.
@@ -72,7 +74,11 @@ def _rows(token: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     """Tokens, their number and their sums as bytes of the smallest whole numbers that hold them."""
     most = np.abs(sums).max(1, initial=0)
     packed = np.empty(len(sums), object)
-    low = 0
+    at = np.flatnonzero(most <= 7)  # two to a byte
+    low = sums[at].astype(np.uint8) & 15
+    raw, size = (low[:, ::2] | (low[:, 1::2] << 4)).tobytes(), DIMENSIONS // 2
+    packed[at] = [raw[k : k + size] for k in range(0, len(raw), size)]
+    low = 8
     for bits, kind in ((7, np.int8), (15, np.int16), (31, np.int32), (63, np.int64)):
         high = (1 << bits) - 1
         at = np.flatnonzero((most >= low) & (most <= high))
@@ -85,6 +91,9 @@ def _rows(token: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
 def _wide(packed: list[bytes]) -> np.ndarray:
     out = np.zeros((len(packed), DIMENSIONS), np.int64)
     sizes = np.array([len(p) for p in packed])
+    at = np.flatnonzero(sizes == DIMENSIONS // 2)
+    raw = np.frombuffer(b"".join([packed[k] for k in at.tolist()]), np.uint8).reshape(-1, DIMENSIONS // 2)
+    out[at, ::2], out[at, 1::2] = ((raw & 15) ^ 8).astype(np.int64) - 8, ((raw >> 4) ^ 8).astype(np.int64) - 8
     for kind in (np.int8, np.int16, np.int32, np.int64):
         at = np.flatnonzero(sizes == DIMENSIONS * np.dtype(kind).itemsize)
         out[at] = np.frombuffer(b"".join([packed[k] for k in at.tolist()]), kind).reshape(-1, DIMENSIONS)
@@ -295,6 +304,33 @@ def text_key() -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
+def known_texts(docs: DataFrame, common) -> DataFrame:
+    """``_known`` of every distinct text, written once.
+
+    Most texts have no copy: only the keys meet, and of copied texts the rows. Where too many are
+    copied for their keys to go to every task, the rows of all texts meet.
+    """
+    def found(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(lambda b: _known(b, common), "text_key binary, tokens long, sums binary, rare array<struct<token: long, times: long>>")
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("tokens", "sums", "rare")])
+
+    texts = docs.select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    copied = cut(texts.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
+    number = copied.limit(MOST_COPIED + 1).count()
+    if number > MOST_COPIED:
+        known = once(found(texts))
+    elif number:
+        keys = F.broadcast(copied)
+        known = found(texts.join(keys, "text_key", "left_anti")).unionByName(once(found(texts.join(keys, "text_key", "left_semi"))))
+    else:
+        known = found(texts)
+    known = cut(known)
+    discard(copied)
+    return known
+
+
 def pooled_texts(docs: DataFrame) -> DataFrame:
     """(text_key, pooled) of every distinct text, from a vector for each token of the corpus."""
     spark = docs.sparkSession
@@ -319,10 +355,7 @@ def pooled_texts(docs: DataFrame) -> DataFrame:
     order = np.argsort(token)
     vectors = unit(_wide(rows.column("vector").to_pylist()), rows.column("n").to_numpy(), mean)
     common = docs.sparkSession.sparkContext.broadcast((token[order], vectors[order]))
-    known = cut(
-        docs.select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(lambda b: _known(b, common), "text_key binary, tokens long, sums binary, rare array<struct<token: long, times: long>>")
-        .groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("tokens", "sums", "rare")]))
+    known = known_texts(docs, common)
     parts = known.selectExpr("text_key", "tokens", "0L AS times", "0L AS n", "sums AS vector")
     if least:
         others = known.selectExpr("text_key", "inline(rare)").join(sums.where(F.col("n") <= least), "token")

@@ -328,3 +328,35 @@ def test_contained_detections_are_dropped():
             if not any(x <= a and b <= y for x, y, *_ in taken):
                 taken.append((a, b, label, c))
         assert license_scan.detections(text, tried)[1] == sorted(taken)
+
+
+@pytest.mark.parametrize("most", [0, 1, 100])
+def test_only_copied_texts_meet(spark, monkeypatch, most):
+    """Rows of a text without a copy are not shuffled to be one; copies are pooled once however they are found (op4)."""
+    plans, cut = [], quality.cut
+
+    def spy(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df)
+    monkeypatch.setattr("logsift.llm.quality.cut", spy)
+    monkeypatch.setattr("logsift.llm.quality.MOST_COPIED", most)
+    known = lambda: next(plan for columns, plan in reversed(plans) if "rare" in columns)
+    texts = ["one two three", "two three four five", "six", None]
+    single = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = {bytes(r.text_key): r.pooled for r in quality.pooled_texts(single).collect()}
+    assert len(once) == 4 and "Exchange" not in known()
+    twice = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "six", None, "", "six"])], "doc_id long, text string")
+    found = quality.pooled_texts(twice).collect()
+    assert len(found) == 4 and {bytes(r.text_key) for r in found} == set(once)
+    assert known().count("MapInArrow") == (1 if most < 2 else 2)
+
+
+def test_sums_travel_in_the_fewest_bytes():
+    """Sums of rare tokens take half a byte each and come back as they were, as larger ones do (op4)."""
+    draw = np.random.default_rng(8)
+    sums = np.vstack([draw.integers(-most, most + 1, (50, quality.DIMENSIONS)) for most in (1, 7, 8, 127, 128, 40_000, 1 << 40)] + [
+        np.full((1, quality.DIMENSIONS), v) for v in (-7, 7, -8, 8, 0, -128, 127)])
+    packed = quality._rows(np.arange(len(sums)), np.ones(len(sums), np.int64), sums).column("vector").to_pylist()
+    assert (quality._wide(packed) == sums).all()
+    assert {len(p) for p, own in zip(packed, sums) if np.abs(own).max() <= 7} == {quality.DIMENSIONS // 2}
+    assert quality._wide([]).shape == (0, quality.DIMENSIONS)
